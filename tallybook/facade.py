@@ -1,35 +1,42 @@
 """Short entry points that group the operators by task."""
 
-from tallybook.operators import filters, rule_changes, rules
-from tallybook.plans import dashboard, drift, load, reports
-from tallybook.sources import rule_store, tables
-from tallybook.streaming import ingest
+from tallybook.operators.filters import rules_by_flag, search_rules
+from tallybook.operators.rule_changes import apply_rule_changes
+from tallybook.operators.rules import rule_counts, rule_overlaps, rule_terms
+from tallybook.plans.dashboard import dashboard_bundle
+from tallybook.plans.drift import validation_bundle
+from tallybook.plans.load import load_checks, load_ledger
+from tallybook.plans.reports import budget_table, describe_series, expense_report, report_bundle
+from tallybook.sources.rule_store import scan_rules
+from tallybook.sources.tables import as_json_records, scan_ledger, scan_ledger_csv, sink_csv, sink_parquet
+from tallybook.streaming.ingest import ingest
 
 
 class Ledger:
-    load = staticmethod(load.load_ledger)
-    checks = staticmethod(load.load_checks)
-    scan = staticmethod(tables.scan_ledger)
-    scan_csv = staticmethod(tables.scan_ledger_csv)
-    save = staticmethod(tables.sink_parquet)
-    save_csv = staticmethod(tables.sink_csv)
-    records = staticmethod(tables.as_json_records)
-    ingest = staticmethod(ingest.ingest)
+    load = staticmethod(load_ledger)
+    checks = staticmethod(load_checks)
+    scan = staticmethod(scan_ledger)
+    scan_csv = staticmethod(scan_ledger_csv)
+    save = staticmethod(sink_parquet)
+    save_csv = staticmethod(sink_csv)
+    records = staticmethod(as_json_records)
+    ingest = staticmethod(ingest)
 
 
 class Report:
-    describe = staticmethod(reports.describe_series)
-    budget = staticmethod(reports.budget_table)
-    expense = staticmethod(reports.expense_report)
-    report = staticmethod(reports.report_bundle)
-    dashboard = staticmethod(dashboard.dashboard_bundle)
-    validate = staticmethod(drift.validation_bundle)
+    describe = staticmethod(describe_series)
+    budget = staticmethod(budget_table)
+    expense = staticmethod(expense_report)
+    report = staticmethod(report_bundle)
+    dashboard = staticmethod(dashboard_bundle)
+    validate = staticmethod(validation_bundle)
 
 
 class Rules:
-    scan = staticmethod(rule_store.scan_rules)
-    terms = staticmethod(rules.rule_terms)
-    search = staticmethod(filters.search_rules)
-    overlaps = staticmethod(rules.rule_overlaps)
-    counts = staticmethod(rules.rule_counts)
-    apply = staticmethod(rule_changes.apply_rule_changes)
+    scan = staticmethod(scan_rules)
+    search = staticmethod(search_rules)
+    by_flag = staticmethod(rules_by_flag)
+    terms = staticmethod(rule_terms)
+    overlaps = staticmethod(rule_overlaps)
+    counts = staticmethod(rule_counts)
+    apply = staticmethod(apply_rule_changes)

@@ -39,10 +39,11 @@ def fill_gaps(buckets: DataFrame, grain: str, value: str = "value", bucket: str
     """
     by = by or []
     nxt = F.lead(bucket).over(Window.partitionBy(*by).orderBy(bucket))
-    last_own = F.coalesce(nxt - _step(grain), F.col(bucket)).cast("date")
-    span = buckets.select(*by, value, F.posexplode(F.sequence(F.col(bucket), last_own, _step(grain))).alias("gap", bucket))
-    return span.select(
-        *by, bucket, F.when(F.col("gap") == 0, F.col(value)).otherwise(F.lit(0).cast(buckets.schema[value].dataType)).alias(value)
+    spans = buckets.withColumn("last_own", F.coalesce(nxt - _step(grain), F.col(bucket)).cast("date"))
+    days = F.sequence(F.col(bucket), F.col("last_own"), _step(grain))
+    nothing = F.lit(0).cast(buckets.schema[value].dataType)
+    return spans.select(*by, value, F.posexplode(days).alias("gap", bucket)).select(
+        *by, bucket, F.when(F.col("gap") == 0, F.col(value)).otherwise(nothing).alias(value)
     )
 
 

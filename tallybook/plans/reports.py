@@ -187,7 +187,7 @@ def unmapped_classes(ledger: DataFrame, groups: dict[str, list[str]] = CATEGORY_
 def budget_cube(ledger: DataFrame, as_of: AsOf | str | date, year: int | None = None, groups: dict[str, list[str]] = CATEGORY_GROUPS, consistent_ytd: bool = False) -> DataFrame:
     """Category by month sums of a year with all margins, in long form: ``(category, month_no, month, total)``.
 
-    ``month_no`` is null on the yearly total. In the reference year the current month
+    ``month_no`` is 0 on the yearly total. In the reference year the current month
     shows 0; ``consistent_ytd`` also leaves it out of the totals.
     """
     ctx = AsOf.of(as_of)
@@ -203,7 +203,7 @@ def budget_cube(ledger: DataFrame, as_of: AsOf | str | date, year: int | None =
     names = F.array(*[F.lit(m) for m in MONTH_NAMES_IT])
     return cube.select(
         F.when(F.col("all_categories") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("category")).alias("category"),
-        "month_no",
+        F.coalesce("month_no", F.lit(0)).alias("month_no"),
         F.when(F.col("all_months") == 1, F.lit(TOTAL_LABEL)).otherwise(F.get(names, F.col("month_no") - 1)).alias("month"),
         shown.alias("total"),
     )

@@ -173,14 +173,14 @@ def load_bank_pages(
         "file", "owner", "page", F.array_position("cells", amount_header).cast("int").alias("amount_at")
     ).filter("amount_at > 0")
     body = cells.filter("row_no > 1").join(headers, ["file", "owner", "page"])
-    spent = body.filter((F.element_at("cells", F.col("amount_at")) != "") & ~F.contains(F.element_at("cells", -1), F.lit(drop_containing)))
+    spent = body.filter((F.try_element_at("cells", F.col("amount_at")) != "") & ~F.contains(F.try_element_at("cells", F.lit(-1)), F.lit(drop_containing)))
     blank = F.get("cells", F.lit(0)) == ""
     pick = lambda i, patch: F.when(blank, F.lit(patch)).otherwise(F.get("cells", F.lit(i)))
     amount = parse_amount(pick(3, blank_patch[2]))
     return spent.select(
         parse_date(pick(1, blank_patch[1]), "dd/MM/yy", strict).alias("txn_date"),
         parse_date(pick(0, blank_patch[0]), "dd/MM/yy", strict).alias("booking_date"),
-        F.element_at("cells", -1).alias("description"),
+        F.try_element_at("cells", F.lit(-1)).alias("description"),
         amount.alias("amount"),
         F.col("file").alias("source_file"),
         "owner",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,10 @@ STATUS = "status"
 def ledger_so_far(spark: SparkSession, target: str) -> DataFrame:
     """All ingested rows with their status and batch; empty before the first batch."""
     schema = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("batch_id", T.LongType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(target) if exists else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(target)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def mark_repeats(batch: DataFrame, history: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
