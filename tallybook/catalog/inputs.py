@@ -26,11 +26,17 @@ RULE_ROWS = [
     ("WIDGET", "viaggi", ["widget"], False, True, 0, 0, 0),
 ]
 CONFLICT_RULE = ("OLD STOCK", "spesa", ["old"], False, False, 0, 0, 0)
+# Tables that feed row-wise work; the others are looked up in joins.
+SPREAD = {"lineitem"}
 TYPE_CLASS = {"ECONOMY": "spesa", "LARGE": "casa", "MEDIUM": "auto", "PROMO": "shopping", "SMALL": "utenze", "STANDARD": "viaggi"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One stored in fewer splits than half the cores is spread over them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    splits = rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if splits * 2 <= cores and name in SPREAD else rows
 
 
 def ledger_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +84,10 @@ def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged ledger in which all returned lines arrive a second time in another file."""
-    items = ledger_items(spark, sf_dir)
-    again = items.filter("l_returnflag = 'R'").withColumn("source_file", F.lit("redelivered"))
-    return tag_ledger(items.unionByName(again).select(*RAW_LEDGER.fieldNames()), ledger_rules(spark))
+    """The stored ledger, in which all rows of one source arrive a second time in another file."""
+    ledger = stored_ledger(spark, sf_dir)
+    again = ledger.filter("source_file = 'src_P'").withColumn("source_file", F.lit("redelivered"))
+    return ledger.unionByName(again)
 
 
 def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

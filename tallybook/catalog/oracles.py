@@ -229,7 +229,7 @@ DESCRIBE_STATS = {
     "25%": "QUANTILE_CONT(total, 0.25)", "50%": "QUANTILE_CONT(total, 0.5)", "75%": "QUANTILE_CONT(total, 0.75)", "max": "MAX(total)",
 }
 DESCRIBE = f"{LED}, " + ", ".join(series_cte(g.lower(), g, "led", REPORT) for g in "DWM") + ", described AS (" + " UNION ALL ".join(
-    f"SELECT '{s}' AS statistic, (SELECT round({e}, 6) FROM d) AS day, (SELECT round({e}, 6) FROM w) AS week, (SELECT round({e}, 6) FROM m) AS month"
+    f"SELECT '{s}' AS statistic, (SELECT round({e}, 4) FROM d) AS day, (SELECT round({e}, 4) FROM w) AS week, (SELECT round({e}, 4) FROM m) AS month"
     for s, e in DESCRIBE_STATS.items()
 ) + ")"
 ORACLES["describe_series"] = f"{DESCRIBE} SELECT * FROM described"
@@ -250,7 +250,7 @@ MATRIX = f"{LED}, {matrix_cte(CTX.report_window)}"
 ORACLES["expense_matrix"] = f"{MATRIX} SELECT * FROM matrix"
 MATRIX_COLUMNS = [*GROUP_NAMES, "Totale"]
 MEAN_ROWS = f"""SELECT CAST(bucket AS VARCHAR) AS bucket, {', '.join(f'{cents(c)} AS {c}' for c in MATRIX_COLUMNS)} FROM matrix
-UNION ALL SELECT 'Mean', {', '.join(f'{cents(f"AVG({c})")}' for c in MATRIX_COLUMNS)} FROM matrix"""
+UNION ALL SELECT 'Mean', {', '.join(f'round_even(SUM(CAST(round({c} * 100) AS BIGINT)) / COUNT(*), 0) / 100' for c in MATRIX_COLUMNS)} FROM matrix"""
 ORACLES["expense_matrix_mean"] = f"{MATRIX} {MEAN_ROWS}"
 
 YEAR = CTX.day.year
@@ -299,7 +299,7 @@ SELECT f.series, f.bucket, round(a + b * (n + k - 1) + COALESCE(e, 0), 4) AS tot
 # --- dashboard
 
 DASH = f"{LED}, rows_in AS (SELECT * FROM led WHERE {between(RANGE)})"
-ORACLES["top_vendors"] = f"""{DASH} SELECT std_description, lower(substr(std_description, 1, 10)) AS label, {total()} AS total, round({total()} / COUNT(*), 6) AS mean
+ORACLES["top_vendors"] = f"""{DASH} SELECT std_description, lower(substr(std_description, 1, 10)) AS label, {total()} AS total, round({total()} / COUNT(*), 4) AS mean
 FROM rows_in GROUP BY std_description ORDER BY total DESC, std_description LIMIT 10"""
 ORACLES["channel_share"] = f"""{DASH}, sums AS (SELECT channel, {total()} AS total FROM rows_in GROUP BY channel),
 listed(channel) AS (VALUES ('negozio'), ('online'))
@@ -325,21 +325,25 @@ ORACLES["class_cumsum"] = f"""{SERIES} SELECT classification, bucket, total,
   CAST(SUM({money('total')}) OVER (PARTITION BY classification ORDER BY bucket) AS DOUBLE) AS running_total FROM series"""
 ORACLES["class_trend"] = f"""{SERIES}, placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY classification ORDER BY bucket) - 1 AS t FROM series),
 fit AS (SELECT classification, regr_slope(total, t) AS b, regr_intercept(total, t) AS a, round_even(AVG(total), 0) AS mean FROM placed GROUP BY classification)
-SELECT classification, bucket, total, round(b, 6) AS slope, round(a, 6) AS intercept, round(a + b * t, 6) AS fitted, mean FROM placed JOIN fit USING (classification)"""
+SELECT classification, bucket, total, round(b, 4) AS slope, round(a, 4) AS intercept, round(a + b * t, 4) AS fitted, mean FROM placed JOIN fit USING (classification)"""
 YEARS = f"""{LED}, {series_cte('ym', 'M', 'led', f"txn_date BETWEEN {day(RANGE[0])} - 365 AND {day(RANGE[1])}")},
 months AS (SELECT CAST(year(bucket) AS INTEGER) AS year, CAST(month(bucket) AS INTEGER) AS month_no, {month_it('bucket')} AS month, NULLIF(total, 0) AS total FROM ym)"""
 COMPARED = range(RANGE[0].year - 1, RANGE[1].year + 1)
 ORACLES["year_compare"] = f"""{YEARS} SELECT month_no, month, {', '.join(f'SUM(total) FILTER (year = {y}) AS y{y}' for y in COMPARED)} FROM months GROUP BY month_no, month"""
 ORACLES["year_stats"] = f"""{YEARS}, means AS (SELECT year, AVG(total) AS mean FROM months GROUP BY year)
-SELECT year, round(mean, 6) AS mean, round((mean / LAG(mean) OVER (ORDER BY year) - 1) * 100, 6) AS change_pct FROM means"""
+SELECT year, round(mean, 4) AS mean, round((mean / LAG(mean) OVER (ORDER BY year) - 1) * 100, 6) AS change_pct FROM means"""
 ORACLES["year_cumsum"] = f"""{YEARS} SELECT year, month_no, total, CASE WHEN total IS NOT NULL THEN
   CAST(SUM({money('total')}) OVER (PARTITION BY year ORDER BY month_no) AS DOUBLE) END AS running_total FROM months"""
 
 # --- quality
 
-REDELIVERED = f"""WITH {ITEMS},
-twice AS (SELECT * FROM items UNION ALL SELECT * REPLACE ('redelivered' AS source_file) FROM items WHERE l_returnflag = 'R'),
+def redelivered(condition: str) -> str:
+    return f"""WITH {ITEMS},
+twice AS (SELECT * FROM items UNION ALL SELECT * REPLACE ('redelivered' AS source_file) FROM items WHERE {condition}),
 {tag_cte('twice')}"""
+
+
+REDELIVERED = redelivered("source_file = 'src_P'")
 ORACLES["duplicates"] = f"""{REDELIVERED}, ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY}
     ORDER BY source_file, booking_date, channel, update_exception, essential, recurrent, product) AS rn FROM led)
 SELECT {TAGGED} FROM ranked WHERE rn > 1"""
@@ -378,7 +382,7 @@ SELECT {by}, mode, MEDIAN(total) AS median, AVG(total) AS mean, CASE WHEN COUNT(
 
 STATS = ["mode", "median", "mean", "skewness", "count", "std", "min", "25%", "50%", "75%", "max"]
 ORACLES["numeric_profile"] = f"""{LED}, {series_cte('s', 'D', 'led', by='classification')},
-profile AS {profile_sql('s', 'classification')} SELECT classification, {', '.join(f'round("{s}", 6) AS "{s}"' for s in STATS)} FROM profile"""
+profile AS {profile_sql('s', 'classification')} SELECT classification, {', '.join(f'round("{s}", 4) AS "{s}"' for s in STATS)} FROM profile"""
 EV_START = f"{day(EVENT_DRIFT[0])} - CAST({day(EVENT_DRIFT[1])} - {day(EVENT_DRIFT[0])} AS INTEGER)"
 EVENTS = f"""WITH ev AS (SELECT CAST(ts AS DATE) AS txn_date, event_type, value AS amount,
     CASE WHEN CAST(ts AS DATE) <= {day(EVENT_DRIFT[0])} THEN 'base' ELSE 'eval' END AS period FROM events
@@ -451,7 +455,7 @@ SELECT 'numeric' AS section, statistic AS item, base, eval, diff_pct FROM numeri
 UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST(SUM(n) FILTER (period = 'base') AS DOUBLE), CAST(SUM(n) FILTER (period = 'eval') AS DOUBLE), NULL FROM hist GROUP BY bin
 UNION ALL SELECT 'new:classification', event_type, NULL, NULL, NULL FROM news
 UNION ALL SELECT 'new:std_description', event_type, NULL, NULL, NULL FROM news"""
-ORACLES["stream_ingest"] = f"""{REDELIVERED}
+ORACLES["stream_ingest"] = f"""{redelivered("l_returnflag = 'R'")}
 SELECT {KEY}, channel, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY source_file) = 1 THEN 'new' ELSE 'repeat' END AS status FROM led"""
 
 # --- rule maintenance

@@ -589,22 +589,22 @@ def rule_change_set(spark: SparkSession, sf: str) -> DataFrame:
     """
     part = _names_of(spark, sf, "true")
     types = {f.name: f.dataType for f in rule_changes.CHANGES.fields}
+    missing = F.lit(None)
 
-    def change(kind: str, step: int, op: str, extra_filter: str = "true", name=None, **fields) -> DataFrame:
-        given = {"seq": F.col("seq") * 10 + step, "op": F.lit(op), "name": name if name is not None else F.col("name"), **fields}
-        return part.filter(f"p_type = '{kind}' and {extra_filter}").select(
-            *[given.get(f, F.lit(None)).cast(t).alias(f) for f, t in types.items()]
-        )
+    def change(kind: str, step: int, op: str, when=F.lit(True), **fields):
+        given = {"seq": F.col("seq") * 10 + step, "op": F.lit(op), "name": F.col("name"), **fields}
+        record = F.struct(*[given.get(f, missing).cast(t).alias(f) for f, t in types.items()])
+        return F.when((F.col("p_type") == kind) & when, record)
 
-    new_name = F.concat(F.lit("NEW "), F.col("name"))
-    parts = [
+    term, new_name = F.col("term"), F.concat(F.lit("NEW "), F.col("name"))
+    records = F.array(
         change("ECONOMY", 1, "add_term", term=F.lit("lost")),
         change("ECONOMY", 2, "remove"),
-        change("ECONOMY", 3, "insert", "p_size > 25", classification=F.lit("salute"), descriptions=F.array(F.lit("again"))),
-        change("LARGE", 1, "remove_term", term=F.col("term")),
-        change("LARGE", 2, "remove_term", term=F.col("term")),
-        change("LARGE", 3, "remove_term", term=F.col("term")),
-        change("LARGE", 4, "add_term", term=F.col("term")),
+        change("ECONOMY", 3, "insert", F.col("p_size") > 25, classification=F.lit("salute"), descriptions=F.array(F.lit("again"))),
+        change("LARGE", 1, "remove_term", term=term),
+        change("LARGE", 2, "remove_term", term=term),
+        change("LARGE", 3, "remove_term", term=term),
+        change("LARGE", 4, "add_term", term=term),
         change("MEDIUM", 1, "update", essential=F.lit(1), web=F.lit(True)),
         change("MEDIUM", 2, "update", classification=F.lit("salute"), essential=F.lit(2)),
         change("PROMO", 1, "insert", classification=F.lit("salute")),
@@ -612,11 +612,8 @@ def rule_change_set(spark: SparkSession, sf: str) -> DataFrame:
         change("SMALL", 1, "rename", new_name=F.concat(F.col("name"), F.lit(" BIS"))),
         change("STANDARD", 1, "insert", name=new_name, classification=F.lit("asporto"), descriptions=F.array(F.lit("one"))),
         change("STANDARD", 2, "add_term", name=new_name, term=F.lit("two")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    )
+    return part.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 @query

@@ -18,16 +18,16 @@ def collapse_copies(ledger: DataFrame, n: str = "n") -> DataFrame:
 
 
 def expand_copies(rows: DataFrame, n: str, per_task: int = COPIES_PER_TASK) -> DataFrame:
-    """Undo :func:`collapse_copies`, adding ``copy_no`` from 1. Very large counts are spread over tasks."""
-    few = rows.filter(F.col(n).between(1, per_task)).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(n))))
-    blocks = (
-        rows.filter(F.col(n) > per_task)
-        .withColumn("block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n), F.lit(per_task).cast("bigint"))))
-        .repartition(*rows.columns, "block")
-    )
+    """Undo :func:`collapse_copies`, adding ``copy_no`` from 1.
+
+    Counts are cut into blocks and the blocks are shuffled, so that many copies of one
+    row come from many tasks.
+    """
+    step = F.lit(per_task).cast("bigint")
+    blocks = rows.filter(F.col(n) > 0).withColumn("block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n), step)))
     last = F.least(F.col("block") + per_task - 1, F.col(n))
-    many = blocks.withColumn("copy_no", F.explode(F.sequence(F.col("block"), last))).drop("block")
-    return few.withColumn("copy_no", F.col("copy_no").cast("bigint")).unionByName(many).drop(n)
+    spread = blocks.repartition(*rows.columns, "block")
+    return spread.withColumn("copy_no", F.explode(F.sequence(F.col("block"), last))).drop("block", n)
 
 
 def duplicates(ledger: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
@@ -67,7 +67,8 @@ def dedup_suffix(ledger: DataFrame, key: list[str] = COPY_KEY, counter_by: str =
     """
     counted = collapse_copies(ledger)
     group_size = counted.groupBy(*key).agg(F.sum("n").alias("group_n")).filter("group_n > 1")
-    hit = match_nulls(counted, group_size, key).select(*ledger.columns, "n")
+    sized = match_nulls(counted, group_size, key, "left").select(*ledger.columns, "n", "group_n")
+    hit = sized.filter("group_n is not null").drop("group_n")
     counter = [c for c in ledger.columns if c != text] if counter_by == "all" else list(key)
     within = [text] if counter_by == "all" else [c for c in ledger.columns if c not in key]
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within]))
@@ -85,7 +86,8 @@ def dedup_suffix(ledger: DataFrame, key: list[str] = COPY_KEY, counter_by: str =
     numbered = expand_copies(placed, "n").withColumn(
         text, F.concat(F.col(text), F.lit("_"), (F.col("start") + F.col("copy_no")).cast("string"))
     )
-    unique = match_nulls(ledger, group_size, key, "left_anti")
+    # A row outside every copy group occurs once.
+    unique = sized.filter("group_n is null").select(*ledger.columns)
     return unique.unionByName(numbered.select(*ledger.columns))
 
 

@@ -72,7 +72,7 @@ def with_position(series: DataFrame, by: list[str], bucket: str = "bucket") -> D
     return series.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(bucket)) - 1)
 
 
-def trend_and_mean(series: DataFrame, by: list[str], value: str = "total", bucket: str = "bucket", digits: int = 6) -> DataFrame:
+def trend_and_mean(series: DataFrame, by: list[str], value: str = "total", bucket: str = "bucket", digits: int = 4) -> DataFrame:
     """Least squares of the value on its position: slope, intercept and fitted value per row, mean per group."""
     whole = Window.partitionBy(*by)
     slope = F.regr_slope(value, "position").over(whole)
@@ -84,7 +84,7 @@ def trend_and_mean(series: DataFrame, by: list[str], value: str = "total", bucke
         F.round(slope, digits).alias("slope"),
         F.round(intercept, digits).alias("intercept"),
         F.round(intercept + slope * F.col("position"), digits).alias("fitted"),
-        F.bround(F.avg(value).over(whole), 0).alias("mean"),
+        F.bround(F.avg(F.col(value).cast("decimal(24,6)")).over(whole), 0).cast("double").alias("mean"),
     )
 
 

@@ -14,7 +14,7 @@ from tallybook.operators.series import month_ends_within, resample, trend_and_me
 from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB
 
 
-def top_vendors(ledger: DataFrame, n: int = 10, digits: int = 6) -> DataFrame:
+def top_vendors(ledger: DataFrame, n: int = 10, digits: int = 4) -> DataFrame:
     """The n standard names with the largest sums; ties by name, fewer rows if there are fewer names."""
     sums = ledger.groupBy("std_description").agg(total("amount").alias("exact"), F.count("amount").alias("n_rows"))
     top = sums.orderBy(F.desc("exact"), "std_description").limit(n)
@@ -140,7 +140,7 @@ def year_cumsum(ledger: DataFrame, start: str | date, end: str | date, classific
     )
 
 
-def year_stats(ledger: DataFrame, start: str | date, end: str | date, classification: str | None = None, digits: int = 6) -> DataFrame:
+def year_stats(ledger: DataFrame, start: str | date, end: str | date, classification: str | None = None, digits: int = 4) -> DataFrame:
     """Mean of the non-zero months per year and its change against the year before in percent."""
     means = year_months(ledger, start, end, classification).groupBy("year").agg(F.avg("total").alias("mean"))
     before = F.lag("mean").over(Window.orderBy("year"))

@@ -34,7 +34,7 @@ def _skewness(value: str) -> Column:
     return F.when(n >= 3, F.coalesce(corrected, F.lit(0.0)))
 
 
-def numeric_profile(series: DataFrame, by: list[str], value: str = "total", digits: int = 6) -> DataFrame:
+def numeric_profile(series: DataFrame, by: list[str], value: str = "total", digits: int = 4) -> DataFrame:
     """Statistics of each group's values, one row per group; the mode is the largest of the most frequent."""
     mode = (
         series.filter(F.col(value).isNotNull())

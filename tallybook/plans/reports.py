@@ -40,7 +40,7 @@ def describe_columns(value: str) -> list[Column]:
     ]
 
 
-def describe_series(ledger: DataFrame, as_of: AsOf | str | date, digits: int = 6) -> DataFrame:
+def describe_series(ledger: DataFrame, as_of: AsOf | str | date, digits: int = 4) -> DataFrame:
     """Statistics of the daily, weekly and monthly sums side by side: ``(statistic, day, week, month)``."""
     rows = in_range(ledger, *AsOf.of(as_of).report_window)
     daily = rows.groupBy("txn_date").agg(total("amount").cast("double").alias("amount"))
@@ -147,9 +147,11 @@ def forecast_matrix(matrix: DataFrame, periods: int = 3) -> DataFrame:
 def with_mean_row(matrix: DataFrame, digits: int = 2) -> DataFrame:
     """Months as text plus a footer row with the column means, all values rounded half even."""
     columns = [c for c in matrix.columns if c != "bucket"]
-    footer = matrix.agg(*[F.avg(f"`{c}`").alias(c) for c in columns]).withColumn("bucket", F.lit(MEAN_LABEL))
-    rows = matrix.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd")).unionByName(footer)
-    return rows.select("bucket", *[F.bround(f"`{c}`", digits).alias(c) for c in columns])
+    # Decimal means, because a mean of doubles depends on row order where it ties.
+    means = [F.bround(F.avg(F.col(f"`{c}`").cast("decimal(24,6)")), digits).cast("double").alias(c) for c in columns]
+    footer = matrix.agg(*means).withColumn("bucket", F.lit(MEAN_LABEL))
+    shown = matrix.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), *[F.bround(f"`{c}`", digits).alias(c) for c in columns])
+    return shown.unionByName(footer)
 
 
 def expense_report(

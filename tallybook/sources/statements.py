@@ -172,16 +172,24 @@ def load_bank_pages(
     headers = cells.filter("row_no = 1").select(
         "file", "owner", "page", F.array_position("cells", amount_header).cast("int").alias("amount_at")
     ).filter("amount_at > 0")
-    body = cells.filter("row_no > 1").join(headers, ["file", "owner", "page"])
-    spent = body.filter((F.try_element_at("cells", F.col("amount_at")) != "") & ~F.contains(F.try_element_at("cells", F.lit(-1)), F.lit(drop_containing)))
-    blank = F.get("cells", F.lit(0)) == ""
-    pick = lambda i, patch: F.when(blank, F.lit(patch)).otherwise(F.get("cells", F.lit(i)))
-    amount = parse_amount(pick(3, blank_patch[2]))
-    return spent.select(
-        parse_date(pick(1, blank_patch[1]), "dd/MM/yy", strict).alias("txn_date"),
-        parse_date(pick(0, blank_patch[0]), "dd/MM/yy", strict).alias("booking_date"),
-        F.try_element_at("cells", F.lit(-1)).alias("description"),
-        amount.alias("amount"),
+    body = cells.filter("row_no > 1").join(headers, ["file", "owner", "page"]).select(
         F.col("file").alias("source_file"),
         "owner",
+        F.try_element_at("cells", F.col("amount_at")).alias("spent"),
+        F.get("cells", F.lit(0)).alias("booking_text"),
+        F.get("cells", F.lit(1)).alias("txn_text"),
+        F.get("cells", F.lit(3)).alias("amount_text"),
+        F.try_element_at("cells", F.lit(-1)).alias("description"),
+    )
+    kept = body.filter((F.col("spent") != "") & ~F.contains("description", F.lit(drop_containing)))
+    patches = dict(zip(("booking_text", "txn_text", "amount_text"), blank_patch))
+    blank = F.col("booking_text") == ""
+    patched = kept.withColumns({c: F.when(blank, F.lit(p)).otherwise(F.col(c)) for c, p in patches.items()})
+    return patched.select(
+        parse_date("txn_text", "dd/MM/yy", strict).alias("txn_date"),
+        parse_date("booking_text", "dd/MM/yy", strict).alias("booking_date"),
+        "description",
+        parse_amount("amount_text").alias("amount"),
+        "source_file",
+        "owner",
     ).filter("amount is null or amount <= 0").withColumn("amount", F.abs("amount"))

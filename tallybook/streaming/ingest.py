@@ -47,9 +47,9 @@ def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str)
     Only the date range of the batch is read from history.
     """
     spark = batch.sparkSession
-    if batch.isEmpty():
+    n, first, last = batch.agg(F.count("*"), F.min("txn_date"), F.max("txn_date")).first()
+    if n == 0:
         return
-    first, last = batch.agg(F.min("txn_date"), F.max("txn_date")).first()
     history = ledger_so_far(spark, target).filter((F.col("batch_id") < batch_id) & (F.col(STATUS) == "new"))
     nearby = history.filter(F.col("txn_date").between(F.lit(first), F.lit(last)) | F.col("txn_date").isNull())
     marked = mark_repeats(tag_ledger(batch, rules), nearby)
