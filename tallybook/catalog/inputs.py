@@ -188,8 +188,9 @@ def bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))
     kind = F.when(F.col("o_orderstatus") == "P", F.lit("ENTRATE")).otherwise(F.lit("USCITE"))
     text = lambda *values: F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
-    title = orders.select("page", F.lit(0).alias("row_no"), text("ESTRATTO CONTO", "", "", "", "").alias("cells"))
-    header = orders.select("page", F.lit(1).alias("row_no"), text("DATA", "VALUTA", "NOTE", kind, "DESCRIZIONE").alias("cells"))
+    title = F.struct(F.lit(0).alias("row_no"), text("ESTRATTO CONTO", "", "", "", "").alias("cells"))
+    header = F.struct(F.lit(1).alias("row_no"), text("DATA", "VALUTA", "NOTE", kind, "DESCRIZIONE").alias("cells"))
+    heads = orders.select("page", F.explode(F.array(title, header)).alias("head")).select("page", "head.row_no", "head.cells")
     items = ledger_items(spark, sf_dir)
     short = lambda c: F.date_format(c, "dd/MM/yy")
     minus = F.concat(F.lit("- "), format_amount("amount"))
@@ -200,8 +201,9 @@ def bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = items.select(
         F.col("l_orderkey").alias("page"), (F.col("l_linenumber") + 1).alias("row_no"), text(first, short("txn_date"), "", shown, label).alias("cells")
     )
-    pages = title.unionByName(header).unionByName(body)
-    return pages.select(F.lit("conto.pdf").alias("file"), F.lit("conto").alias("owner"), "page", "row_no", "cells")
+    path = scratch_path(spark, "bank-cells")
+    heads.unionByName(body).select(F.lit("conto.pdf").alias("file"), F.lit("conto").alias("owner"), "page", "row_no", "cells").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def manual_json(spark: SparkSession, sf_dir: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.schema import KEPT_EXCEPTION, RULES
+from tallybook.session import as_lookup
 from tallybook.sources.rule_store import with_defaults
 
 OPS = ["insert", "update", "add_term", "remove_term", "remove"]
@@ -50,7 +51,7 @@ def rejected_inserts(rules: DataFrame, new: DataFrame) -> DataFrame:
     """The inserts that :func:`insert_rules` does not take: ``(seq, name)``."""
     first = new.groupBy("name").agg(F.min("seq").alias("first_seq"))
     known = rules.select("name", F.lit(True).alias("known")).distinct()
-    return new.select("seq", "name").join(first, "name").join(known, "name", "left").filter(
+    return new.select("seq", "name").join(as_lookup(first), "name").join(as_lookup(known), "name", "left").filter(
         F.col("known") | (F.col("seq") > F.col("first_seq"))
     ).select("seq", "name")
 
@@ -155,7 +156,7 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     edits = changes.filter(F.col("op").isin(OPS))
     removed = edits.filter("op = 'remove'").groupBy("name").agg(F.max("seq").alias("removed_at"))
     known = rules.select("name", F.lit(True).alias("known")).distinct()
-    inserts = edits.filter("op = 'insert'").join(removed, "name", "left").join(known, "name", "left")
+    inserts = edits.filter("op = 'insert'").join(as_lookup(removed), "name", "left").join(as_lookup(known), "name", "left")
     able = F.when(F.col("removed_at").isNotNull(), F.col("seq") > F.col("removed_at")).otherwise(F.col("known").isNull())
     docs = [*SCALARS, "descriptions"]
     born = inserts.filter(able).groupBy("name").agg(
@@ -168,13 +169,13 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     alive = survivors.unionByName(newborn)
 
     starts = alive.groupBy("name").agg(F.max("from_seq").alias("from_seq"))
-    live = edits.filter(F.col("op").isin("update", "add_term", "remove_term")).join(starts, "name").filter("seq > from_seq").drop("from_seq")
+    live = edits.filter(F.col("op").isin("update", "add_term", "remove_term")).join(as_lookup(starts), "name").filter("seq > from_seq").drop("from_seq")
     given = live.filter("op = 'update'").groupBy("name").agg(
         *[_last_given(f).alias(f"new_{f}") for f in docs],
         F.max(F.when(F.col("descriptions").isNotNull(), F.col("seq"))).alias("reset_at"),
     )
     # A new term list replaces what came before it.
-    term_ops = live.filter(F.col("op") != "update").join(given.select("name", "reset_at"), "name", "left").filter(
+    term_ops = live.filter(F.col("op") != "update").join(as_lookup(given.select("name", "reset_at")), "name", "left").filter(
         "reset_at is null or seq > reset_at"
     )
     added = term_ops.filter("op = 'add_term'").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "term"))).alias("added"))

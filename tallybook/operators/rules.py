@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import trim_all
-from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB
+from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB, GROUPS
+from tallybook.session import as_lookup, small_table
 
 # Terms are found through their first characters; shorter terms use all they have.
 GRAM = 4
@@ -61,7 +62,7 @@ def standardize(ledger: DataFrame, rules: DataFrame, text: str = "description")
     :func:`rule_conflicts`.
     """
     names = matched_names(ledger, rules, text).select(text, F.col("first_name").alias("std_name"))
-    return ledger.join(names, text, "left").select(
+    return ledger.join(as_lookup(names), text, "left").select(
         *ledger.columns, F.coalesce("std_name", text).alias("std_description")
     )
 
@@ -128,9 +129,10 @@ def tag_ledger(ledger: DataFrame, rules: DataFrame, text: str = "description") -
     description and joined back.
     """
     texts = ledger.select(text).filter(F.col(text).isNotNull()).distinct()
-    named = standardize(texts, rules, text)
-    dictionary = tag_attributes(classify(named, rules), rules)
-    tagged = ledger.join(dictionary, text, "left")
+    names = matched_names(texts, rules, text).select(text, F.col("first_name").alias("std_name"))
+    named = texts.join(names, text, "left").select(text, F.coalesce("std_name", text).alias("std_description"))
+    dictionary = named.join(tags_by_name(rules), "std_description", "left")
+    tagged = ledger.join(as_lookup(dictionary), text, "left")
     return tagged.select(
         *ledger.columns,
         "std_description",
@@ -166,7 +168,7 @@ def rule_overlaps(rules: DataFrame) -> DataFrame:
     ).withColumn("term", trim_all("term"))
     distinct = entries.filter(F.length("term") > 0).select("term").distinct()
     holders = distinct.select(F.col("term").alias("matches_with"), F.explode(_inner_phrases(F.col("term"))).alias("term"))
-    held = distinct.join(holders, "term")
+    held = holders.join(as_lookup(distinct), "term")
     inner = entries.select("term", F.col("name").alias("entity"), "classification", "rule_ord", "pos")
     outer = entries.select(
         F.col("term").alias("matches_with"),
@@ -207,4 +209,4 @@ def map_category(ledger: DataFrame, groups: DataFrame) -> DataFrame:
 
 def groups_table(spark, groups: dict[str, list[str]]) -> DataFrame:
     rows = [(g, i, c) for i, (g, classes) in enumerate(groups.items(), start=1) for c in classes]
-    return spark.createDataFrame(rows, "grp string, grp_ord int, classification string")
+    return small_table(spark, rows, GROUPS)

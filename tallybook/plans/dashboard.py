@@ -6,12 +6,14 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.functions.dates import AsOf, check_range, to_date
 from tallybook.functions.scalars import month_name, null_if_zero, short_label, total
 from tallybook.operators.filters import in_range
 from tallybook.operators.series import month_ends_within, resample, trend_and_mean
 from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB
+from tallybook.session import small_table
 
 
 def top_vendors(ledger: DataFrame, n: int = 10, digits: int = 4) -> DataFrame:
@@ -29,7 +31,7 @@ def top_vendors(ledger: DataFrame, n: int = 10, digits: int = 4) -> DataFrame:
 def channel_share(ledger: DataFrame, channels: tuple[str, ...] = (CHANNEL_SHOP, CHANNEL_WEB), digits: int = 6) -> DataFrame:
     """Share of the amount by channel in percent; listed channels are always present."""
     sums = ledger.groupBy("channel").agg(total("amount").alias("amount"))
-    listed = ledger.sparkSession.createDataFrame([(c,) for c in channels], "channel string")
+    listed = small_table(ledger.sparkSession, [(c,) for c in channels], T.StructType([T.StructField("channel", T.StringType())]))
     padded = sums.unionByName(listed.withColumn("amount", F.lit(0).cast("decimal(28,2)"))).groupBy("channel").agg(
         F.sum("amount").cast("double").alias("total")
     )

@@ -65,5 +65,11 @@ RULE_FIELDS = T.StructType([
 
 RULES = T.StructType([T.StructField("rule_ord", T.IntegerType())] + RULE_FIELDS.fields)
 
+GROUPS = T.StructType([
+    T.StructField("grp", T.StringType()),
+    T.StructField("grp_ord", T.IntegerType()),
+    T.StructField("classification", T.StringType()),
+])
+
 # Copies are rows that agree on these; neither the file nor the booking date counts.
 COPY_KEY = ["txn_date", "description", "amount", "owner", "std_description", "classification"]

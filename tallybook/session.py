@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "tallybook", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +48,21 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the scratch folder that no other run uses."""
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A table given in code. Built from Arrow, so the optimizer knows its exact size."""
+    names = schema.fieldNames()
+    columns = {n: [row[i] for row in rows] for i, n in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
+def as_lookup(table: DataFrame) -> DataFrame:
+    """The right side of a join on the key the table was grouped by.
+
+    A grouped table already sits where the join wants it, so it would be joined without
+    a shuffle whose size the adaptive planner could measure. Rebalancing it first lets
+    the planner broadcast it when it is small and split hot keys of the other side
+    when it is not.
+    """
+    return table.hint("rebalance")

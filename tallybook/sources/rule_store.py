@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.schema import RULE_FIELDS, RULES
+from tallybook.schema import RULES
+from tallybook.session import small_table
 
 
 def with_defaults(rules: DataFrame) -> DataFrame:
@@ -33,7 +34,5 @@ def invalid_rules(rules: DataFrame) -> DataFrame:
 def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A rule table from tuples in document order, without the order number."""
     numbered = [(i, *row) for i, row in enumerate(rows, start=1)]
-    return spark.createDataFrame(numbered, RULES)
+    return small_table(spark, numbered, RULES)
 
-
-__all__ = ["RULE_FIELDS", "invalid_rules", "rules_from_rows", "scan_rules", "with_defaults"]

@@ -10,7 +10,7 @@ from tallybook.schema import BANK_BLANK_PATCH, CARD_PAYMENT_MARK
 from tallybook.sources.tables import provenance
 
 # Fixed patterns of the statement format.
-TRANSACTION_LINE = r"(\d{2}/\d{2}/\d{4})\s(\d{2}/\d{2}/\d{4})\s(.+)"
+TRANSACTION_LINE = r"\d{2}/\d{2}/\d{4}\s\d{2}/\d{2}/\d{4}\s.+"
 AMOUNT = r"[\d.]*\d,\d{2}-?"
 AMOUNT_NO_THOUSANDS = r"\d+,\d{2}-?"
 CARD_HEADERS = {
@@ -55,22 +55,23 @@ def pair_amounts(lines: DataFrame, amount_pattern: str = AMOUNT) -> DataFrame:
     values are built per block and shifted by the totals of the blocks before, so a
     file of any size is spread over tasks. A transaction without an amount keeps null.
     """
-    found = lines.select(
+    # Both marks are cheap to test, so most other lines go before a pattern is tried.
+    likely = lines.filter(F.contains("line", F.lit(",")) | F.contains("line", F.lit("/")))
+    found = likely.select(
         "path",
         "block",
         "pos",
-        F.regexp_extract("line", TRANSACTION_LINE, 1).alias("txn_text"),
-        F.regexp_extract("line", TRANSACTION_LINE, 2).alias("booking_text"),
-        F.regexp_extract("line", TRANSACTION_LINE, 3).alias("description"),
+        F.regexp_extract("line", TRANSACTION_LINE, 0).alias("txn_line"),
         F.regexp_extract("line", amount_pattern, 0).alias("amount_text"),
     ).withColumns({
-        "is_txn": (F.col("txn_text") != "").cast("bigint"),
+        "is_txn": (F.col("txn_line") != "").cast("bigint"),
         "has_amount": (F.col("amount_text") != "").cast("bigint"),
-    }).filter("is_txn = 1 or has_amount = 1")
+    })
 
     in_block = Window.partitionBy("path", "block").orderBy("pos")
-    local = found.withColumns({"d": F.sum("is_txn").over(in_block), "x": F.sum("has_amount").over(in_block)})
-    local = local.withColumn("low", F.min(F.col("d") - F.col("x")).over(in_block))
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = found.withColumns({"d": F.sum("is_txn").over(so_far), "x": F.sum("has_amount").over(so_far)})
+    local = local.withColumn("low", F.min(F.col("d") - F.col("x")).over(so_far))
 
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -90,15 +91,20 @@ def pair_amounts(lines: DataFrame, amount_pattern: str = AMOUNT) -> DataFrame:
     shifted = shifted.withColumn("is_taken", F.col("taken") > previous)
 
     nothing = F.lit(None).cast("string")
-    as_txn = F.when(F.col("is_txn") == 1, F.struct(F.col("txn_no").alias("k"), "txn_text", "booking_text", "description", nothing.alias("amount_text")))
-    as_amount = F.when(F.col("is_taken"), F.struct(F.col("taken").alias("k"), nothing.alias("txn_text"), nothing.alias("booking_text"), nothing.alias("description"), "amount_text"))
-    halves = shifted.select("path", F.explode(F.filter(F.array(as_txn, as_amount), lambda e: e.isNotNull())).alias("e"))
-    # Two rows at most share a (path, k).
-    return halves.groupBy("path", F.col("e.k").alias("k")).agg(
-        F.max("e.txn_text").alias("txn_text"),
-        F.max("e.booking_text").alias("booking_text"),
-        F.max("e.description").alias("description"),
-        F.max("e.amount_text").alias("amount_text"),
+    as_txn = F.when(F.col("is_txn") == 1, F.struct(F.col("txn_no").alias("k"), "txn_line", nothing.alias("amount_text")))
+    as_amount = F.when(F.col("is_taken"), F.struct(F.col("taken").alias("k"), nothing.alias("txn_line"), "amount_text"))
+    halves = shifted.select("path", F.explode(F.filter(F.array(as_txn, as_amount), lambda e: e.isNotNull())).alias("e")).select("path", "e.*")
+    # Two rows at most share a (path, k), so aggregating before the shuffle would not pay.
+    whole = halves.repartition("path", "k").groupBy("path", "k").agg(
+        F.max("txn_line").alias("txn_line"), F.max("amount_text").alias("amount_text")
+    )
+    return whole.select(
+        "path",
+        "k",
+        F.substring("txn_line", 1, 10).alias("txn_text"),
+        F.substring("txn_line", 12, 10).alias("booking_text"),
+        F.expr("substring(txn_line, 23)").alias("description"),
+        "amount_text",
     )
 
 

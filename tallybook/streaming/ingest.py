@@ -47,6 +47,7 @@ def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str)
     Only the date range of the batch is read from history.
     """
     spark = batch.sparkSession
+    batch.persist()
     n, first, last = batch.agg(F.count("*"), F.min("txn_date"), F.max("txn_date")).first()
     if n == 0:
         return
@@ -54,6 +55,7 @@ def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str)
     nearby = history.filter(F.col("txn_date").between(F.lit(first), F.lit(last)) | F.col("txn_date").isNull())
     marked = mark_repeats(tag_ledger(batch, rules), nearby)
     marked.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    batch.unpersist()
 
 
 def ingest(
