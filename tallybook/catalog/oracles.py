@@ -349,7 +349,7 @@ ORACLES["duplicates"] = f"""{REDELIVERED}, ranked AS (SELECT *, ROW_NUMBER() OVE
 SELECT {TAGGED} FROM ranked WHERE rn > 1"""
 REST = "txn_date, booking_date, amount, source_file, owner, std_description, classification, channel, update_exception, essential, recurrent, product"
 SUFFIXED = f"""sized AS (SELECT *, COUNT(*) OVER (PARTITION BY {KEY}) AS size FROM led),
-numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {REST}, size > 1 ORDER BY md5(description)) AS k FROM sized),
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {REST}, size > 1 ORDER BY md5('=' || description)) AS k FROM sized),
 unique_led AS (SELECT * EXCLUDE (size, k) REPLACE (CASE WHEN size > 1 THEN description || '_' || k ELSE description END AS description) FROM numbered)"""
 ORACLES["dedup_suffix"] = f"{REDELIVERED}, {SUFFIXED} SELECT {TAGGED} FROM unique_led"
 ORACLES["derived_fees"] = f"""WITH {ITEMS}, files AS (SELECT source_file || '_' || strftime(txn_date, '%Y-%m') AS source_file, owner, MIN(txn_date) AS first_day, SUM({money()}) AS v

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import money, parse_date
@@ -17,16 +17,16 @@ def collapse_copies(ledger: DataFrame, n: str = "n") -> DataFrame:
     return ledger.groupBy(*ledger.columns).agg(F.count("*").alias(n))
 
 
-def expand_copies(rows: DataFrame, n: str, per_task: int = COPIES_PER_TASK) -> DataFrame:
+def expand_copies(rows: DataFrame, n: str, by: list[str] | None = None, per_task: int = COPIES_PER_TASK) -> DataFrame:
     """Undo :func:`collapse_copies`, adding ``copy_no`` from 1.
 
-    Counts are cut into blocks and the blocks are shuffled, so that many copies of one
-    row come from many tasks.
+    Counts are cut into blocks and the blocks are shuffled (by all columns or those of
+    ``by``), so that many copies of one row come from many tasks.
     """
     step = F.lit(per_task).cast("bigint")
     blocks = rows.filter(F.col(n) > 0).withColumn("block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n), step)))
     last = F.least(F.col("block") + per_task - 1, F.col(n))
-    spread = blocks.repartition(*rows.columns, "block")
+    spread = blocks.repartition(*(by or rows.columns), "block")
     return spread.withColumn("copy_no", F.explode(F.sequence(F.col("block"), last))).drop("block", n)
 
 
@@ -71,19 +71,16 @@ def dedup_suffix(ledger: DataFrame, key: list[str] = COPY_KEY, counter_by: str =
     hit = sized.filter("group_n is not null").drop("group_n")
     counter = [c for c in ledger.columns if c != text] if counter_by == "all" else list(key)
     within = [text] if counter_by == "all" else [c for c in ledger.columns if c not in key]
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within]))
-    hit = hit.withColumn("digest", digest).withColumn("block", F.substring("digest", 1, 2))
-    before = Window.partitionBy(*counter, "block").orderBy("digest", *within).rowsBetween(Window.unboundedPreceding, -1)
-    hit = hit.withColumn("local", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # At most 256 blocks per counter group meet in this window.
-    earlier = Window.partitionBy(*counter).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hit.groupBy(*counter, "block").agg(F.sum("n").alias("block_n")).withColumn(
-        "offset", F.coalesce(F.sum("block_n").over(earlier), F.lit(0))
+    hit = hit.withColumns({"counter_id": _digest(counter), "digest": _digest(within)}).withColumn("block", F.substring("digest", 1, 2))
+    before = Window.partitionBy("counter_id", "block").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 256 blocks per counter group meet in the second window.
+    earlier = Window.partitionBy("counter_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hit.groupBy("counter_id", "block").agg(F.sum("n").alias("block_n")).select(
+        "counter_id", "block", F.coalesce(F.sum("block_n").over(earlier), F.lit(0)).alias("offset")
     )
-    placed = match_nulls(hit, offsets, [*counter, "block"]).select(
-        *ledger.columns, (F.col("local") + F.col("offset")).alias("start"), "n"
-    )
-    numbered = expand_copies(placed, "n").withColumn(
+    placed = hit.withColumn("local", F.coalesce(F.sum("n").over(before), F.lit(0))).join(offsets, ["counter_id", "block"])
+    placed = placed.withColumn("start", F.col("local") + F.col("offset")).select(*ledger.columns, "start", "n", "digest")
+    numbered = expand_copies(placed, "n", by=["digest", "start"]).withColumn(
         text, F.concat(F.col(text), F.lit("_"), (F.col("start") + F.col("copy_no")).cast("string"))
     )
     # A row outside every copy group occurs once.
@@ -91,6 +88,12 @@ def dedup_suffix(ledger: DataFrame, key: list[str] = COPY_KEY, counter_by: str =
     return unique.unionByName(numbered.select(*ledger.columns))
 
 
+def _digest(columns: list[str]) -> Column:
+    """One short key for many columns; null differs from the empty text."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", *parts))
+
+
 def match_nulls(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which null keys match each other, as they do in a copy group."""
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in key})

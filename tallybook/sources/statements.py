@@ -23,22 +23,31 @@ BANK_HEADERS = {"data_contabile": "txn_date", "data_valuta": "booking_date", "ca
 BANK_DROPPED = ["canale", "divisa"]
 BANK_AMOUNT_HEADER = "USCITE"
 
+# A power of two.
+LINES_PER_BLOCK = 1 << 16
+
 
 def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
     """Statement text line by line: ``(path, block, pos, line)``.
 
-    A large file is read in splits. Its lines are ordered by split offset and by
-    position within the split, so no file has to fit in one task.
+    A large file is read in splits, so no file has to fit in one task. Lines are ordered
+    by block and then by position. A block is a run of at most ``LINES_PER_BLOCK`` lines
+    of a split: its number is the split's offset plus the run, which stays below the
+    next split's offset because a run holds more bytes than one.
     """
-    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+    pos = F.monotonically_increasing_id()
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
+        F.col("_metadata.file_block_start").alias("split"),
+        pos.alias("pos"),
         F.col("value").alias("line"),
     )
+    # The low 33 bits of the position count the lines of the task.
+    run = F.shiftright(F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)), LINES_PER_BLOCK.bit_length() - 1)
+    return rows.select("path", (F.col("split") + run).alias("block"), "pos", "line")
 
 
-def lines_of(documents: DataFrame, text: str = "text", path: str = "path", lines_per_block: int = 100_000) -> DataFrame:
+def lines_of(documents: DataFrame, text: str = "text", path: str = "path", lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
     """The same lines from whole documents held in a column."""
     return documents.select(path, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select(
         path, F.floor(F.col("pos") / lines_per_block).alias("block"), F.col("pos").cast("bigint").alias("pos"), "line"
