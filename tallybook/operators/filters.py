@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.dates import check_range, to_date
 from tallybook.schema import PERSONAL_FILE
+from tallybook.session import as_lookup
 
 
 def exclude_personal(ledger: DataFrame, label: str = PERSONAL_FILE, file: str = "source_file") -> DataFrame:
@@ -37,7 +38,7 @@ def split_periods(ledger: DataFrame, end_base: str | date, end_eval: str | date,
 def drop_exceptions(ledger: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop rows whose standard name belongs to an update-exception rule."""
     names = rules.filter("update_exception").select(F.col("name").alias("std_description")).distinct()
-    return ledger.join(names, "std_description", "left_anti").select(*ledger.columns)
+    return ledger.join(as_lookup(names), "std_description", "left_anti").select(*ledger.columns)
 
 
 def slice_values(ledger: DataFrame, column: str = "classification", day: str = "txn_date") -> DataFrame:

@@ -85,7 +85,7 @@ def class_order(rules: DataFrame) -> DataFrame:
 
 def tags_by_name(rules: DataFrame) -> DataFrame:
     """One row per rule name: the earliest classification, the flags of its last rule."""
-    ranked = rules.join(class_order(rules), "classification")
+    ranked = rules.join(as_lookup(class_order(rules)), "classification")
     latest = lambda c: F.max_by(c, "rule_ord")
     return ranked.groupBy(F.col("name").alias("std_description")).agg(
         F.min_by("classification", "class_ord").alias("classification"),
@@ -100,19 +100,19 @@ def tags_by_name(rules: DataFrame) -> DataFrame:
 def classify(ledger: DataFrame, rules: DataFrame) -> DataFrame:
     """Add the classification of the standard name; null when no rule has that name."""
     classes = tags_by_name(rules).select("std_description", "classification")
-    return ledger.join(classes, "std_description", "left").select(*ledger.columns, "classification")
+    return ledger.join(as_lookup(classes), "std_description", "left").select(*ledger.columns, "classification")
 
 
 def unclassified(ledger: DataFrame, rules: DataFrame) -> DataFrame:
     """Ledger rows whose standard name no rule knows."""
     names = rules.select(F.col("name").alias("std_description")).distinct()
-    return ledger.join(names, "std_description", "left_anti").select(*ledger.columns)
+    return ledger.join(as_lookup(names), "std_description", "left_anti").select(*ledger.columns)
 
 
 def tag_attributes(ledger: DataFrame, rules: DataFrame) -> DataFrame:
     """Add channel, exception flag, essential, recurrent and product."""
     tags = tags_by_name(rules).drop("classification")
-    return ledger.join(tags, "std_description", "left").select(
+    return ledger.join(as_lookup(tags), "std_description", "left").select(
         *ledger.columns,
         F.coalesce("channel", F.lit(CHANNEL_SHOP)).alias("channel"),
         F.coalesce("update_exception", F.lit(False)).alias("update_exception"),
@@ -131,7 +131,7 @@ def tag_ledger(ledger: DataFrame, rules: DataFrame, text: str = "description") -
     texts = ledger.select(text).filter(F.col(text).isNotNull()).distinct()
     names = matched_names(texts, rules, text).select(text, F.col("first_name").alias("std_name"))
     named = texts.join(names, text, "left").select(text, F.coalesce("std_name", text).alias("std_description"))
-    dictionary = named.join(tags_by_name(rules), "std_description", "left")
+    dictionary = named.join(as_lookup(tags_by_name(rules)), "std_description", "left")
     tagged = ledger.join(as_lookup(dictionary), text, "left")
     return tagged.select(
         *ledger.columns,
@@ -177,7 +177,7 @@ def rule_overlaps(rules: DataFrame) -> DataFrame:
         F.col("rule_ord").alias("other_ord"),
         F.col("pos").alias("other_pos"),
     )
-    pairs = held.join(inner, "term").join(outer, "matches_with")
+    pairs = as_lookup(held).join(inner, "term").join(outer, "matches_with")
     return pairs.filter((F.col("rule_ord") != F.col("other_ord")) | (F.col("pos") != F.col("other_pos"))).select(
         "term",
         "entity",
@@ -198,7 +198,7 @@ def rule_counts(rules: DataFrame) -> DataFrame:
 
 def rule_names_by_class(rules: DataFrame) -> DataFrame:
     """The names of each classification in document order, one per row."""
-    return rules.join(class_order(rules), "classification").select("class_ord", "classification", "rule_ord", "name")
+    return rules.join(as_lookup(class_order(rules)), "classification").select("class_ord", "classification", "rule_ord", "name")
 
 
 def map_category(ledger: DataFrame, groups: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def year_stats(ledger: DataFrame, start: str | date, end: str | date, classifica
     means = year_months(ledger, start, end, classification).groupBy("year").agg(F.avg("total").alias("mean"))
     before = F.lag("mean").over(Window.orderBy("year"))
     return means.select(
-        "year", F.round("mean", digits).alias("mean"), F.round((F.try_divide(F.col("mean"), before) - 1) * 100, digits).alias("change_pct")
+        "year", F.round("mean", digits).alias("mean"), F.round((F.try_divide(F.col("mean"), before) - 1) * 100, 6).alias("change_pct")
     )
 
 
