@@ -469,12 +469,14 @@ REGISTRY["date_context"] = REGISTRY.pop("date_context_fields")
 
 @query
 def load_ledger(spark, sf):
-    """History is all but the returned lines; those arrive as bank rows, and personal halves as manual entries."""
+    """History is all but the returned lines; those arrive twice, from two files."""
     items = inputs.ledger_items(spark, sf)
     history = items.filter("l_returnflag <> 'R'").select(*RAW_LEDGER.fieldNames())
     returned = items.filter("l_returnflag = 'R'").select(*RAW_LEDGER.fieldNames())
     again = returned.withColumn("source_file", F.lit("redelivered"))
-    return load.load_ledger(history, returned, again, rules=inputs.ledger_rules(spark), include_personal=False, de_duplicate=True)
+    return load.load_ledger(
+        history, returned, again, rules=inputs.ledger_rules(spark), include_personal=False, de_duplicate=True, stage=scratch_path(spark, "stage")
+    )
 
 
 @query

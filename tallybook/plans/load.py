@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tallybook.operators.filters import drop_exceptions, exclude_personal
 from tallybook.operators.quality import dedup_suffix, duplicates, newest_first, union_sources
 from tallybook.operators.rules import rule_conflicts, tag_ledger, unclassified
-from tallybook.schema import RAW_LEDGER
+from tallybook.schema import LEDGER, RAW_LEDGER
 
 
 class LedgerError(ValueError):
@@ -31,17 +31,23 @@ def load_ledger(
     counter_by: str = "all",
     strict: bool = False,
     ordered: bool = False,
+    stage: str | None = None,
 ) -> DataFrame:
     """History and new rows to a tagged ledger.
 
     History (the first source) is tagged again with the rest, so a changed rule reaches
     old rows. ``strict`` raises on conflicts, unclassified rows and, without
-    ``de_duplicate``, on duplicates. ``ordered`` sorts by date, newest first.
+    ``de_duplicate``, on duplicates. ``ordered`` sorts by date, newest first. ``stage``
+    names a shared folder for the tagged rows, which the checks and the suffixes read
+    several times; without it they are tagged anew each time.
     """
     history, *new = [s.select(*[c for c in RAW_LEDGER.fieldNames() if c in s.columns]) for s in sources]
     if not include_personal:
         history = exclude_personal(history)
     tagged = tag_ledger(union_sources(history, *new), rules)
+    if stage:
+        tagged.write.mode("overwrite").parquet(stage)
+        tagged = tagged.sparkSession.read.schema(LEDGER).parquet(stage)
     if strict:
         for name, failed in load_checks(tagged, rules).items():
             if name == "duplicates" and de_duplicate:
