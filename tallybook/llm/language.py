@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-PER_LANGUAGE = 400  # labelled documents per language that the field is fitted on
-SPAN = 80  # words taken from each, from a place given by hash
+PER_LANGUAGE = 300  # labelled documents per language that the field is fitted on
+SPAN = 50  # words taken from each, from a place given by hash
 SWITCH = 10  # words between switches of language in the code-switched half of the training data
 LEXICON = 1000  # frequent words kept per language
 SLOTS = 1 << 16  # hashed affixes, n-grams and words
-STEPS, RATE, DECAY = 60, 0.3, 1e-4
+STEPS, RATE, DECAY = 40, 0.3, 1e-4
 CHUNK = 100_000  # words scored at once
 BLOCK = 64  # words of a block of forward-backward
 WORD = re.compile(r"[^\W\d_]+")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,24 +31,29 @@ FALSE_SHARE = 0.1
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,found:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """All matches of a pattern, leftmost and not overlapping, with places in code points.
 
     The pieces between matches come from splitting at the same pattern, so lengths add up to places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("found")))
+        end = acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+        one = F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("found")))
         more = F.when(x["hit"].isNull(), acc["spans"]).when(acc["spans"].isNull(), one).otherwise(F.concat(acc["spans"], one))
         return F.struct(end.alias("at"), more.alias("spans"))
 
-    none = F.array().cast(SPAN)
-    return F.when(F.size(found) > 0, F.coalesce(F.aggregate(pairs, start, step)["spans"], none)).otherwise(none)
+    def placed(found: Column) -> Column:
+        pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["spans"])
+
+    return F.coalesce(_let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -62,48 +68,72 @@ def _upper(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(600.0), F.greatest(F.lit(-600.0), 1.5976 * z + 0.07056 * z * z * z))))
 
 
-def battery(values: Column, k: Column) -> Column:
-    """Chance that a random token looks at least as uneven as this one, of places ``values`` in an alphabet of ``k``.
+def battery(places: Column, alphabet: Column) -> Column:
+    """Chance that a random token looks at least as uneven as this one, of ``places`` in an alphabet of that size.
 
     Three tests: chi-squared of the character counts against uniform ones, runs above and
     below the middle of the alphabet, and lag-one serial correlation. Fisher's method joins
     their chances.
     """
-    n = F.size(values).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    squares = total(F.transform(F.array_distinct(values), lambda v: F.pow(F.size(F.filter(values, lambda x: x == v)).cast("double"), F.lit(2.0))))
-    chi = (k * squares / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    bits = F.transform(values, lambda v: (v >= k / 2).cast("double"))
-    ones = total(bits)
     # every element but the last with the next one
-    steps = lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    turns = total(F.transform(steps(bits), lambda p: (p["x"] != p["y"]).cast("double"))) + 1
-    mean = 2 * ones * (n - ones) / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = F.when(spread > 0, F.abs(turns - mean) / F.sqrt(spread)).otherwise(8.0)
-    middle = total(values) / n
-    power = total(F.transform(values, lambda v: (v - middle) * (v - middle)))
-    lag = total(F.transform(steps(values), lambda p: (p["x"] - middle) * (p["y"] - middle)))
-    serial = F.when(power > 0, F.abs(lag / power + 1 / n) * F.sqrt(n)).otherwise(8.0)
+    steps = lambda a, f: total(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), f))
     log = lambda p: F.log(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p)))
-    logs = log(_upper(chi)) + log(2 * _upper(runs)) + log(2 * _upper(serial))
-    return F.exp(logs) * (1 - logs + logs * logs / 2)
+
+    def basics(x: Column) -> Column:
+        values, k = x["values"], x["k"]
+        alike = lambda v: F.size(F.filter(values, lambda y: y == v)).cast("double")
+        return F.struct(
+            values.alias("values"), k.alias("k"), F.size(values).cast("double").alias("n"), F.transform(values, lambda v: (v >= k / 2).cast("double")).alias("bits"),
+            # the sum over characters of their squared counts, as every occurrence adds the count of its character
+            total(F.transform(values, alike)).alias("squares"), (total(values) / F.size(values)).alias("middle"),
+        )
+
+    def sums(x: Column) -> Column:
+        values, middle = x["values"], x["middle"]
+        return F.struct(
+            x["n"].alias("n"), x["k"].alias("k"), x["squares"].alias("squares"), total(x["bits"]).alias("ones"),
+            (steps(x["bits"], lambda a, b: (a != b).cast("double")) + 1).alias("turns"),
+            total(F.transform(values, lambda v: (v - middle) * (v - middle))).alias("power"), steps(values, lambda a, b: (a - middle) * (b - middle)).alias("lag"),
+        )
+
+    def scores(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        mean = 2 * x["ones"] * (n - x["ones"]) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        return F.struct(
+            ((k * x["squares"] / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("chi"),
+            F.when(spread > 0, F.abs(x["turns"] - mean) / F.sqrt(spread)).otherwise(8.0).alias("runs"),
+            F.when(x["power"] > 0, F.abs(x["lag"] / x["power"] + 1 / n) * F.sqrt(n)).otherwise(8.0).alias("serial"),
+        )
+
+    start = F.struct(places.alias("values"), alphabet.alias("k"))
+    logs = _let(_let(_let(start, basics), sums), lambda x: _let(scores(x), lambda z: log(_upper(z["chi"])) + log(2 * _upper(z["runs"])) + log(2 * _upper(z["serial"]))))
+    return _let(logs, lambda t: F.exp(t) * (1 - t + t * t / 2))
 
 
 def _candidates(text: Column) -> Column:
     """Tokens that hold a letter and a digit, with their stratum (encoding and length class) and chance."""
     tokens = F.filter(_spans(text, CANDIDATE, 3), lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]"))
 
-    def rated(s: Column) -> Column:
-        plain = F.regexp_replace(s["found"], "=+$", "")
+    def kind(s: Column) -> Column:
         encoding = reduce(lambda rest, i: F.when(s["found"].rlike(ENCODINGS[i][1]), F.lit(i)).otherwise(rest), reversed(range(len(ENCODINGS))), F.lit(None).cast("int"))
-        alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), F.coalesce(encoding + 1, F.lit(1)))
-        length_class = sum(((F.length(plain) >= bound).cast("int") for bound in LENGTHS), F.lit(0))
-        values = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-        stratum = encoding * (len(LENGTHS) + 1) + length_class
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), stratum.alias("stratum"), battery(values, F.length(alphabet).cast("double")).alias("chance"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["found"], "=+$", "").alias("plain"), encoding.alias("encoding"))
+
+    def rated(s: Column) -> Column:
+        length_class = sum(((F.length(s["plain"]) >= bound).cast("int") for bound in LENGTHS), F.lit(0))
+
+        def chance(alphabet: Column) -> Column:
+            places = F.transform(F.filter(F.split(s["plain"], ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
+            return battery(places, F.length(alphabet).cast("double"))
+
+        alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), (s["encoding"] * (len(LENGTHS) + 1) + length_class).alias("stratum"),
+            _let(F.element_at(alphabets, s["encoding"] + 1), chance).alias("chance"),
+        )
 
-    return F.filter(F.transform(tokens, rated), lambda c: c["stratum"].isNotNull())
+    return F.transform(F.filter(F.transform(tokens, kind), lambda c: c["encoding"].isNotNull()), rated)
 
 
 def thresholds(scanned: DataFrame) -> dict[int, int]:
@@ -185,7 +215,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "<secret>") ->
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(text_col).alias("text"))
     found = flagged(materialize(scan(packed), "scan"))
-    spans = F.array_sort(F.concat("assign", "access", "hex", "random"))
+    found = found.withColumn("spans", F.array_sort(F.concat("assign", "access", "hex", "random")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -195,5 +225,5 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "<secret>") ->
         )
 
     tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("text").isNotNull() & (F.size(spans) > 0), F.aggregate(spans, start, cut, tail)).otherwise(F.col("text"))
+    text = F.when(F.col("text").isNotNull(), _let(F.col("spans"), lambda a: F.when(F.size(a) > 0, F.aggregate(a, start, cut, tail)).otherwise(F.col("text"))))
     return found.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names])
