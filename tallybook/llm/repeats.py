@@ -19,15 +19,16 @@ from tallybook.session import as_lookup
 LENGTH = 50
 GRAM = 24  # bytes by which suffixes are bucketed
 WINDOW = LENGTH - GRAM + 1  # grams in a string of LENGTH bytes, one of which is its cover position
-CHUNK = 4 << 20  # bytes of text handled together
-BUCKET = 48 << 20  # bytes of text per bucket of suffixes
+CHUNK = 2 << 20  # bytes of text handled together
+BUCKET = 8 << 20  # bytes of text per bucket of suffixes
 PLACE_BITS = 24
-HEAVY = 2 * CHUNK  # a text over this length is a chunk of its own
+STEP = 1 << 15  # places worked on at once, so that arrays stay in the processor's cache
 
 ANCHORS = "bucket int, chunk int, grams binary, shared binary"
 MASKS = "chunk int, bucket int, mask binary"
 CONTEXTS = "bucket int, chunk int, docs binary, sizes binary, places binary, bytes binary"
 ANSWERS = "chunk int, bucket int, least binary"
+EIGHTH = np.uint64(pow(0x9E3779B97F4A7C15, 8, 1 << 64))
 RESULT = "digest binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -40,15 +41,20 @@ def _pack(texts: pd.Series) -> pd.DataFrame:
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes from every place, by doubling."""
-    base, h, size = np.uint64(0x9E3779B97F4A7C15), data.astype(np.uint64) + np.uint64(1), 1
-    powers = {1: base}
+    h = data.astype(np.uint64)
+    h += np.uint64(1)
+    power, size = np.uint64(0x9E3779B97F4A7C15), 1
     while size < 16:
-        h = h[:-size] * powers[size] + h[size:]
-        powers[2 * size] = powers[size] * powers[size]
-        if size * 2 == 8:
+        h = h[:-size] * power + h[size:]
+        if size == 4:
             eight = h
+        elif size == 8:
+            return _mixed(h[:-8] * np.array([EIGHTH]) + eight[16:])
+        power = np.multiply(np.array([power]), np.array([power]))[0]
         size *= 2
-    h = h[: len(h) - 8] * powers[8] + eight[16:]  # 16 + 8
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -72,31 +78,30 @@ def cover(data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     least gram hash, the leftmost of equals: a choice by content, so equal strings have their place at the
     same offset. Returns for each run of strings with one place: first and last string, the place, its gram hash, its text.
     """
-    none = np.empty(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none.astype(np.uint64), none
-    h = _gram_hashes(data)
+    inner = np.ones(len(data), bool)
+    for begin, end in zip(starts.tolist(), ends.tolist()):
+        inner[max(begin, end - LENGTH + 1) : end] = False
     low = np.uint64((1 << PLACE_BITS) - 1)
-    h &= ~low
-    text = np.repeat(np.arange(len(starts)), ends - starts)
-    out = []
-    step = 1 << 22  # places counted from the part's start fit the low bits
-    for begin in range(0, len(data) - LENGTH + 1, step):
-        part = h[begin : begin + step + WINDOW - 1] | np.arange(min(step + WINDOW - 1, len(h) - begin), dtype=np.uint64)
-        place = (_sliding_least(part, WINDOW) & low).astype(np.int64) + begin
-        s = np.arange(begin, begin + len(place))
-        fits = s + LENGTH <= ends[text[s]]
-        s, place = s[fits], place[fits]
-        if not len(s):
-            continue
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)])
+    strings, places, grams = [], [], []
+    for begin in range(0, len(data) - LENGTH + 1, STEP):
+        h = _gram_hashes(data[begin : begin + STEP + LENGTH - 1]) & ~low
+        least = _sliding_least(h | np.arange(len(h), dtype=np.uint64), WINDOW)
+        fits = inner[begin : begin + len(least)]
+        least = least[fits]
+        place = (least & low).astype(np.int64) + begin
+        string = np.flatnonzero(fits) + begin
+        # only the first string of a run is kept here; a run that goes on in the next part is split, which changes no result
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (string[1:] != string[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(s)]]) - 1
-        out.append((s[first], s[last], place[first]))
-    if not out:
+        strings.append(np.stack([string[first], string[np.append(first[1:], len(string)) - 1]]) if len(first) else np.empty((2, 0), np.int64))
+        places.append(place[first])
+        grams.append(least[first] & ~low)
+    if not strings:
+        none = np.empty(0, np.int64)
         return none, none, none, none.astype(np.uint64), none
-    first, last, place = (np.concatenate(x) for x in zip(*out))
-    return first, last, place, h[place], text[first]
+    first, last = np.concatenate(strings, axis=1)
+    return first, last, np.concatenate(places), np.concatenate(grams), np.searchsorted(ends, first, side="right")
 
 
 class _Chunk:
@@ -209,53 +214,74 @@ def _contexts(key: tuple[pa.Scalar, ...], table: pa.Table, masks: pa.Table, buck
 def least_ids(data: np.ndarray, begin: np.ndarray, offset: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For suffixes of LENGTH bytes from ``begin`` the least id of an equal one with equal ``offset``.
 
-    Suffixes are sorted by the rank of their first half, then of their second: ranks are fingerprints of
-    25 bytes, computed once for all places, so a long tie costs two comparisons. Each suffix is held
-    against the first of its group byte by byte; a group that a fingerprint joined wrongly is sorted by its bytes.
+    Suffixes are sorted by three ranks, which cover their bytes: ranks are hashes of GRAM bytes,
+    worked out once for all places, so a long tie costs three comparisons. Then each suffix is held against the
+    first of its group by its bytes; a group that the ranks joined wrongly is settled by bytes alone.
+    ``ids`` must ascend.
     """
-    half = LENGTH // 2
-    base, h = np.uint64(0xD6E8FEB86659FD93), data.astype(np.uint64) + np.uint64(1)
-    rank = np.zeros(len(data) - half + 1, np.uint64)
-    for i in range(half):
-        rank *= base
-        rank += h[i : len(h) - half + 1 + i]
-    rank ^= rank >> np.uint64(32)
-    rank *= np.uint64(0x94D049BB133111EB)
-    key = rank[begin] * np.uint64(3) ^ (rank[begin + half] + offset.astype(np.uint64) * base)
-    order = np.lexsort((ids, key))
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][group]
+    rank = np.concatenate([_gram_hashes(data[i : i + STEP + GRAM - 1]) for i in range(0, len(data) - GRAM + 1, STEP)])
+    key = rank[begin] * np.uint64(3)
+    key ^= rank[begin + GRAM] * np.uint64(0xD6E8FEB86659FD93)
+    key += rank[begin + LENGTH - GRAM] ^ (offset.astype(np.uint64) << np.uint64(48))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.empty(len(begin), np.int64)
     out[order] = ids[head]
-    columns = np.arange(LENGTH)
-    for i in range(0, len(order), 1 << 17):
-        a, b = order[i : i + (1 << 17)], head[i : i + (1 << 17)]
-        some = np.flatnonzero(a != b)
-        wrong = some[(offset[a[some]] != offset[b[some]]) | (data[begin[a[some]][:, None] + columns] != data[begin[b[some]][:, None] + columns]).any(axis=1)]
-        for g in np.unique(group[i + wrong]):
-            members = order[group == g]
-            best: dict[tuple[int, bytes], int] = {}
-            for m in members.tolist():
-                name = (int(offset[m]), data[begin[m] : begin[m] + LENGTH].tobytes())
-                out[m] = best.setdefault(name, int(ids[m]))
+    words = np.lib.stride_tricks.as_strided(data[:8].view(np.uint64), (len(data) - 7,), (1,))
+    wrong = []
+    for i in range(0, len(order), STEP):
+        a, b = order[i : i + STEP], head[i : i + STEP]
+        a, b = a[a != b], b[a != b]
+        differ = offset[a] != offset[b]
+        for at in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+            differ |= words[begin[a] + at] != words[begin[b] + at]
+        wrong.append(b[differ])
+    for first in np.unique(np.concatenate(wrong)) if wrong else []:
+        best: dict[tuple[int, bytes], int] = {}
+        for m in np.sort(order[head == first]).tolist():
+            out[m] = best.setdefault((int(offset[m]), data[begin[m] : begin[m] + LENGTH].tobytes()), int(ids[m]))
     return out
 
 
 def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For every string of every context of a bucket the least id that has it."""
     unpack = zstandard.ZstdDecompressor().decompress
-    docs, sizes, places, data = ([np.frombuffer(unpack(x), t) for x in table[c].to_pylist()] for c, t in (("docs", "<i8"), ("sizes", "<i4"), ("places", "<i4"), ("bytes", np.uint8)))
-    per_row = np.array([int((s - LENGTH + 1).sum()) for s in sizes])
-    doc, size, place, data = np.concatenate(docs), np.concatenate(sizes).astype(np.int64), np.concatenate(places).astype(np.int64), np.concatenate(data)
+    seen: dict[tuple[int, bytes], int] = {}
+    least: list[int] = []
+    rows = []
+    for docs, sizes, places, data in zip(*(table[c].to_pylist() for c in ("docs", "sizes", "places", "bytes"))):
+        data, at, which = unpack(data), 0, []
+        for doc, size, place in zip(np.frombuffer(unpack(docs), "<i8").tolist(), np.frombuffer(unpack(sizes), "<i4").tolist(), np.frombuffer(unpack(places), "<i4").tolist()):
+            n = seen.setdefault((place, data[at : at + size]), len(seen))
+            at += size
+            which.append(n)
+            if n == len(least):
+                least.append(doc)
+            elif doc < least[n]:
+                least[n] = doc
+        rows.append(np.array(which, np.int64))
+    by_id = np.argsort(np.array(least, np.int64), kind="stable")
+    contexts = list(seen)
+    contexts = [contexts[i] for i in by_id.tolist()]
+    size = np.array([len(c) for _, c in contexts], np.int64)
+    place = np.array([p for p, _ in contexts], np.int64)
+    data = np.frombuffer(b"".join(c for _, c in contexts), np.uint8)
     count = size - LENGTH + 1
+    ends = np.cumsum(count)
     context = np.repeat(np.arange(len(size)), count)
-    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    least = least_ids(data, (np.cumsum(size) - size)[context] + inside, place[context] - inside, doc[context])
-    out, pack, at = [], zstandard.ZstdCompressor(level=1).compress, 0
-    for chunk, n in zip(table["chunk"].to_pylist(), per_row.tolist()):
-        out.append((chunk, key[0].as_py(), pack(least[at : at + n].astype("<i8").tobytes())))
-        at += n
+    inside = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
+    found = least_ids(data, (np.cumsum(size) - size)[context] + inside, place[context] - inside + LENGTH, np.array(least, np.int64)[by_id][context])
+    position = np.empty(len(by_id), np.int64)
+    position[by_id] = np.arange(len(by_id))
+    out, pack = [], zstandard.ZstdCompressor(level=1).compress
+    for chunk, which in zip(table["chunk"].to_pylist(), rows):
+        which = position[which]
+        n = count[which]
+        at = np.repeat((ends - count)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append((chunk, key[0].as_py(), pack(found[at].astype("<i8").tobytes())))
     return _table(out, chunk=pa.int32(), bucket=pa.int32(), least=pa.binary())
 
 
@@ -266,7 +292,7 @@ def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table, buc
     chunk = _Chunk(table)
     masks = pa.table({"bucket": replies["bucket"], "mask": replies["mask"]})
     least = {b: np.frombuffer(zstandard.decompress(x), "<i8") for b, x in zip(replies["bucket"].to_pylist(), replies["least"].to_pylist())}
-    change = np.zeros(len(chunk.data) + 1, np.int32)
+    hit = np.zeros(len(chunk.data) + LENGTH, bool)
     ids = np.array(chunk.doc_ids, np.int64)
     for b, contexts, _, _, pairs in _wanted(chunk, masks, buckets) if masks.num_rows else []:
         count = np.array([len(c) - LENGTH + 1 for c in contexts])
@@ -276,9 +302,10 @@ def _removed(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table, buc
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         found = least[b][np.repeat(offset[which], n) + inside]
         string = (np.repeat(chunk.first[run], n) + inside)[found < np.repeat(ids[chunk.text[run]], n)]
-        np.add.at(change, string, 1)
-        np.add.at(change, string + LENGTH, -1)
-    gone = np.cumsum(change[:-1]) > 0
+        hit[string + LENGTH] = True
+    # a byte is covered if one of the LENGTH strings up to it is hit
+    hits = np.cumsum(hit, dtype=np.int32)
+    gone = hits[LENGTH:] > hits[:-LENGTH]
     out = []
     for digest, doc_id, i, j in zip(chunk.digests, chunk.doc_ids, chunk.starts.tolist(), chunk.ends.tolist()):
         some = gone[i:j]
