@@ -21,8 +21,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with a chance of 6 in a million
 MINIMA = BANDS * ROWS
-SURE = 0.5  # share of equal minima below which a pair is not looked at: 6 standard errors under 0.75
-STAR = 64  # nodes of a bucket that are held against one of them
+SURE = 0.59  # share of equal minima below which a pair is not looked at: 4 standard errors under 0.75
+STAR = 64  # nodes of a sub-group of a bucket that are held against one of them
 CELL = 256  # nodes of a bucket that meet in one task
 
 _rng = np.random.default_rng(20240501)
@@ -107,6 +107,29 @@ def _sizes_allow(a: str, b: str) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs that hold the nodes of each bucket against a few of them.
+
+    A bucket is dealt into sub-groups of about ``STAR`` nodes by hash, each node is paired with the least
+    hash of its sub-group, and these again, level by level, until one is left. Sub-groups differ
+    from bucket to bucket, so a node meets several others.
+    """
+    level = met.select("bucket", "node", F.greatest(F.lit(0), F.ceil(F.log2(F.col("members") / STAR))).cast("int").alias("bits"))
+    depth = level.agg(F.max("bits")).first()[0] or 0
+    fewer = STAR.bit_length() - 1
+    pairs = None
+    for step in range(depth // fewer + 2):
+        dealt = level.withColumn("part", F.pmod(F.xxhash64("bucket", "node", F.lit(step)), F.pow(F.lit(2.0), F.col("bits")).cast("long")))
+        centres = dealt.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("c"), F.first("bits").alias("bits"))
+        centres = materialize(centres.select("bucket", "part", "bits", F.col("c.node").alias("v")), "centres")
+        met_here = dealt.join(as_lookup(centres.select("bucket", "part", "v")), ["bucket", "part"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+        pairs = met_here if pairs is None else pairs.unionByName(met_here)
+        level = centres.filter("bits > 0").select("bucket", F.col("v").alias("node"), F.greatest(F.lit(0), F.col("bits") - fewer).alias("bits"))
+        if step * fewer >= depth:
+            break
+    return pairs.distinct()
+
+
 def _cells(rows: DataFrame) -> DataFrame:
     """Pairs of one bucket that lie in different components and pass the signature check.
 
@@ -146,8 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when their sets of five-word shingles reach a Jaccard similarity of
     0.75; the component is the smallest id reachable by links and ``kept`` marks that id.
     Equal word sequences form one node before anything is compared. Nodes meet in the
-    bands of 128 minima. In each bucket every node is first held against one node of its
-    sub-group; the components of these links leave most buckets with one component. Where
+    bands of 128 minima. In each bucket nodes are first held against a few of them; the components of these links leave most buckets with one component. Where
     several remain, all pairs across them are checked, so no candidate is skipped.
     Every link is confirmed on full sets (64-bit shingle hashes).
 
@@ -184,31 +206,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("u", "v")
         )
 
-    # one node of each sub-group of a bucket against its other nodes
-    grouped = met.withColumn("part", F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("members") / STAR)))
-    centres = grouped.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("c")).select("bucket", "part", F.col("c.node").alias("v"))
-    star = grouped.join(as_lookup(centres), ["bucket", "part"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    star = (
-        star.join(signs.withColumnsRenamed({"node": "u", "n_shingles": "n_u", "minima": "m_u"}), "u")
-        .join(signs.withColumnsRenamed({"node": "v", "n_shingles": "n_v", "minima": "m_v"}), "v")
-        .filter(_sizes_allow("n_u", "n_v"))
-        .filter(alike("m_u", "m_v"))
-        .select("u", "v")
-    )
-    links = materialize(verified(star), "links")
-    first = components(links)
+    def checked(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(signs.withColumnsRenamed({"node": "u", "n_shingles": "n_u", "minima": "m_u"}), "u")
+            .join(signs.withColumnsRenamed({"node": "v", "n_shingles": "n_v", "minima": "m_v"}), "v")
+            .filter(_sizes_allow("n_u", "n_v"))
+            .filter(alike("m_u", "m_v"))
+            .select("u", "v")
+        )
+
+    def still_open(known: DataFrame) -> DataFrame:
+        """Nodes of the buckets that hold several components, with their component."""
+        placed = met.join(as_lookup(known), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+        return placed.join(as_lookup(several), "bucket")
+
+    # a few nodes of each bucket against its other nodes
+    known = components(materialize(verified(checked(_stars(met))), "links"))
 
-    # buckets that still hold several components: all pairs across them
-    placed = met.join(as_lookup(first), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    left = materialize(placed.join(as_lookup(open_buckets), "bucket").join(signs, "node"), "open")
+    # what is open still: all pairs across its components
+    left = materialize(still_open(known).join(signs, "node"), "open")
     more = verified(materialize(_cells(left), "pairs"))
 
     # ids that carry several texts hold their nodes together
     twice = worded.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v <> most")
     same_id = worded.join(as_lookup(twice), "doc_id").select(F.col("node").alias("u"), "v").distinct()
-    known = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = components(known.unionByName(more).unionByName(same_id))
+    final = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(same_id))
 
     named = classes.select("node", "doc_id").join(as_lookup(final), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("texts"))
