@@ -73,7 +73,7 @@ def test_random_tokens_are_told_from_words(spark):
     plain = [(100 + i, "see abcabcabcabcabcabcabcabcabcabcabcabcabcabc1 or aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1") for i in range(60)]
     got = secrets.find_secrets(spark.createDataFrame(secret + plain, "doc_id long, text string")).collect()
     flagged = {r.doc_id for r in got if "random" in r.spans}
-    assert len([i for i in flagged if i < 100]) >= 40
+    assert len([i for i in flagged if i < 100]) >= 50
     assert not [i for i in flagged if i >= 100]
 
 
