@@ -24,6 +24,7 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 LONG = 64  # code points; the lattice of a longer word is folded by the same rules outside of SQL
 CHUNK_CHARS = 48 << 20  # characters of documents that share a dictionary
 BUCKET_CHARS = 96 << 20  # characters of documents per bucket of words
+WORDS = 20_000  # distinct words whose edges one task sorts
 
 PIECES = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType())])
 REQUEST = "chunk int, bucket int, words binary"
@@ -56,16 +57,16 @@ def piece_table(spark: SparkSession, rows: tuple[tuple[str, int, float], ...]) -
     return small_table(spark, list(rows), PIECES)
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
     """Edges of each distinct word: ``word`` and an array of (start, end, id, score).
 
     Substrings up to the longest piece are exploded and equi-joined to the pieces. The words are dealt out
-    first, so grouping the edges by word moves none of them. The pieces, a vocabulary of
+    first, to so many tasks that each holds its edges in memory, so grouping the edges by word moves none of them. The pieces, a vocabulary of
     fixed size, are broadcast. An empty edge keeps words in which no piece occurs.
     """
     n = F.length("word")
     spread = (
-        words.repartition("word")
+        words.repartition(tasks, "word")
         .select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
         .select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
         .select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
@@ -180,7 +181,8 @@ def encode_words(words: DataFrame, rows: tuple[tuple[str, int, float], ...], bas
     longest, lowest = max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
     pieces = piece_table(words.sparkSession, rows + (("", -1, 0.0),))
     fold = viterbi(base, lowest) if kind == "unigram" else merges(base)
-    short = lattice(words.filter(F.length("word") <= LONG).select("word"), pieces, longest).select("word", fold.alias("ids"))
+    tasks = parts(words.count(), WORDS)
+    short = lattice(words.filter(F.length("word") <= LONG).select("word"), pieces, longest, tasks).select("word", fold.alias("ids"))
 
     @F.pandas_udf("array<int>")
     def outside(batch: pd.Series) -> pd.Series:
