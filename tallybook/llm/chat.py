@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -75,15 +76,20 @@ def _segments(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     encoder, schema = _encoder(path), _arrow(SEGMENTS)
     now, parts, spans, size, first = None, [], [], 0, True
 
-    def flush(last: bool) -> pa.RecordBatch:
+    def flush(last: bool) -> tuple:
         nonlocal parts, spans, size, first
         text = "".join(parts)
         encoded = encoder.encode(text, add_special_tokens=False)
-        offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-        mask = loss_mask(offsets[:, 0], offsets[:, 1], spans)
-        row = {"conv_id": now[0], "first": first, "last": last, "formatted": text, "ids": encoded.ids, "loss": mask.tobytes(), "starts": offsets[:, 0].tolist(), "ends": offsets[:, 1].tolist()}
+        pairs = encoded.offsets
+        offsets = np.fromiter(itertools.chain.from_iterable(pairs), np.int32, 2 * len(pairs)).reshape(-1, 2)
+        starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
+        mask = loss_mask(starts, ends, spans)
+        row = (now[0], first, last, text, np.array(encoded.ids, np.int32), mask.tobytes(), starts, ends)
         parts, spans, size, first = [], [], 0, last
-        return pa.RecordBatch.from_pylist([row], schema)
+        return row
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(column), field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
 
     for batch in batches:
         out = []
@@ -99,9 +105,9 @@ def _segments(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             parts.append(turn)
             size += len(turn)
         if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            yield packed(out)
     if now is not None:
-        yield flush(True)
+        yield packed([flush(True)])
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -131,37 +137,43 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
 
 def _covered(starts: np.ndarray, ends: np.ndarray, text: str) -> Iterator[str]:
     """Pieces of text under tokens in order, each character once; pieces end where the cover has a gap."""
-    begin = end = 0
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        if s > end:
+    if len(starts):
+        reach = np.maximum.accumulate(ends)
+        gap = np.flatnonzero(starts[1:] > reach[:-1])
+        for begin, end in zip(starts[np.r_[0, gap + 1]].tolist(), reach[np.r_[gap, len(reach) - 1]].tolist()):
             yield text[begin:end]
-            begin = s
-        end = max(end, e)
-    yield text[begin:end]
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[low:high] for low, high in zip(at[:-1], at[1:])]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(DIGEST)
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
-            if row["first"]:
+        # token columns stay arrays: a Python object per token would cost more than the encoding
+        held = ("conv_id", "first", "last", "formatted", "loss")
+        rows = zip(*(batch.column(c).to_pylist() for c in held), _lists(batch.column("starts")), _lists(batch.column("ends")))
+        for conv_id, first, last, text, covered, starts, ends in rows:
+            if first:
                 turns, loss, n, chars, said, tokens, learned = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
                 state = [turns, loss, n, chars, said, tokens, learned]
-            text, mask = row["formatted"], np.frombuffer(row["loss"], bool)
+            mask = np.frombuffer(covered, bool)
             for found in _TURN.finditer(text):
                 role, body = unescape(found[2]), unescape(found[3])
                 state[0].update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
                 state[2] += 1
-            starts, ends = np.array(row["starts"], np.int64)[mask], np.array(row["ends"], np.int64)[mask]
-            for piece in map(unescape, _covered(starts, ends, text)):
+            for piece in map(unescape, _covered(starts[mask], ends[mask], text)):
                 state[1].update(piece.encode("utf-8", "surrogatepass"))
                 state[4] += len(piece)
             state[3] += len(text)
-            state[5] += len(row["ids"])
+            state[5] += len(mask)
             state[6] += int(mask.sum())
-            if row["last"]:
-                out.append(dict(zip(schema.names, [row["conv_id"], state[2], state[0].hexdigest(), state[4], state[1].hexdigest(), state[3], state[5], state[6]])))
+            if last:
+                out.append(dict(zip(schema.names, [conv_id, state[2], state[0].hexdigest(), state[4], state[1].hexdigest(), state[3], state[5], state[6]])))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
