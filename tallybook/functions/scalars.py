@@ -55,8 +55,8 @@ def parse_date(text: str | Column, fmt: str = ISO_DATE, strict: bool = False) ->
 
 
 def trim_all(text: str | Column) -> Column:
-    """Trim blanks, tabs and line ends, not only spaces."""
-    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+    """Trim Unicode white space of any kind, not only spaces."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
 
 
 def month_name(day: str | Column) -> Column:

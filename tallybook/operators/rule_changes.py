@@ -103,8 +103,9 @@ def missing_terms(rules: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def rename_rules(rules: DataFrame, renames: DataFrame) -> DataFrame:
-    """Give rules a new name: ``renames(name, new_name)``, one request per name."""
-    one = renames.groupBy("name").agg(F.max("new_name").alias("new_name"))
+    """Give rules a new name: ``renames(name, new_name[, seq])``. Of several requests for a name the first counts: after it, nothing has that name."""
+    first = F.min_by("new_name", "seq") if "seq" in renames.columns else F.min("new_name")
+    one = renames.groupBy("name").agg(first.alias("new_name"))
     return rules.join(one, "name", "left").withColumn("name", F.coalesce("new_name", "name")).select(*RULES.fieldNames())
 
 

@@ -21,14 +21,22 @@ def with_defaults(rules: DataFrame) -> DataFrame:
     )
 
 
-def scan_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from JSON lines that carry ``rule_ord``; missing fields get their defaults."""
-    return with_defaults(spark.read.schema(RULES).json(path))
+def scan_rules(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Rules from JSON lines that carry ``rule_ord``; missing fields get their defaults.
+
+    A rule without ``rule_ord`` fails the scan, since tags go by that order; without ``strict``
+    it stays, for ``invalid_rules`` to list.
+    """
+    rules = with_defaults(spark.read.schema(RULES).json(path))
+    if not strict:
+        return rules
+    missing = F.raise_error(F.concat(F.lit("rule without rule_ord: "), F.coalesce("name", F.lit("?")))).cast(rules.schema["rule_ord"].dataType)
+    return rules.withColumn("rule_ord", F.when(F.col("rule_ord").isNull(), missing).otherwise(F.col("rule_ord")))
 
 
 def invalid_rules(rules: DataFrame) -> DataFrame:
-    """Rules without a name or a classification."""
-    return rules.filter("name is null or classification is null")
+    """Rules without a name, a classification or a place in the order."""
+    return rules.filter("name is null or classification is null or rule_ord is null")
 
 
 def rules_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -10,7 +10,7 @@ from tallybook.schema import BANK_BLANK_PATCH, CARD_PAYMENT_MARK
 from tallybook.sources.tables import provenance
 
 # Fixed patterns of the statement format.
-TRANSACTION_LINE = r"\d{2}/\d{2}/\d{4}\s\d{2}/\d{2}/\d{4}\s.+"
+TRANSACTION_LINE = r"(?U)\d{2}/\d{2}/\d{4}\s\d{2}/\d{2}/\d{4}\s.+"
 AMOUNT = r"[\d.]*\d,\d{2}-?"
 AMOUNT_NO_THOUSANDS = r"\d+,\d{2}-?"
 CARD_HEADERS = {
@@ -156,13 +156,19 @@ def load_card_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_bank_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Bank exports as CSV: expenses only, amounts made positive. ``strict`` fails on a bad date."""
+    """Bank exports as CSV: expenses only, amounts made positive.
+
+    An amount may be plain or have thousands and a decimal comma. A row whose amount cannot be read is
+    kept with a null amount; ``strict`` fails on it, as on a bad date.
+    """
     table = spark.read.csv(path, header=True, recursiveFileLookup=True)
     owner, source_file = provenance()
     with_source = table.select("*", owner, source_file)
     tidy = with_source.toDF(*[normalise_header(c) for c in with_source.columns]).drop(*BANK_DROPPED).withColumnsRenamed(BANK_HEADERS)
-    amount = F.col("amount").try_cast("double")
-    return tidy.filter(amount <= 0).select(
+    amount = F.coalesce(F.col("amount").try_cast("double"), parse_amount("amount"))
+    if strict:
+        amount = F.when(amount.isNull(), F.raise_error(F.concat(F.lit("bad amount: "), F.coalesce("amount", F.lit("none")))).cast("double")).otherwise(amount)
+    return tidy.filter(F.coalesce(amount <= 0, F.lit(True))).select(
         parse_date("txn_date", "dd/MM/yyyy", strict).alias("txn_date"),
         parse_date("booking_date", "dd/MM/yyyy", strict).alias("booking_date"),
         "description",

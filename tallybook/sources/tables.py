@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,34 +41,80 @@ def date_violations(rows: DataFrame, columns: list[str], key: list[str]) -> Data
     return rows.select(*key, F.explode(F.filter(tested, lambda t: t.isNotNull())).alias("t")).select(*key, "t.column", "t.value")
 
 
-def _refuse_empty(ledger: DataFrame) -> None:
-    if ledger.isEmpty():
+def _refuse_empty(stored: DataFrame) -> None:
+    if stored.isEmpty():
         raise EmptyLedger("refusing to overwrite the stored ledger with an empty one")
 
 
+def _switch(spark: SparkSession, path: str, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> None:
+    """Replace the folder ``path`` by what ``write`` puts into a fresh folder beside it.
+
+    The old rows stay in place until the new ones are written and known not to be empty, so a
+    ledger may be read from the folder it is written to, and a failed write changes nothing.
+    A process that dies between the two renames leaves the old rows beside, as ``.old-...``.
+    """
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex[:12]
+    at, staged, old = (Path(path.rstrip("/") + end) for end in ("", f".staged-{mark}", f".old-{mark}"))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(staged.toString())
+        _refuse_empty(read(staged.toString()))
+        held = files.exists(at)
+        if held and not files.rename(at, old):
+            raise OSError(f"cannot set {path} aside")
+        if not files.rename(staged, at):
+            if held:
+                files.rename(old, at)
+            raise OSError(f"cannot put the new ledger at {path}")
+        if held:
+            files.delete(old, True)
+    finally:
+        files.delete(staged, True)
+    spark.catalog.refreshByPath(path)
+
+
 def sink_csv(ledger: DataFrame, path: str) -> None:
-    _refuse_empty(ledger)
-    ledger.write.mode("overwrite").csv(path, header=True, dateFormat=ISO_DATE, escape='"')
+    """Overwrite the stored ledger, which may be the one that ``ledger`` is read from."""
+    spark = ledger.sparkSession
+    _switch(
+        spark, path, lambda to: ledger.write.csv(to, header=True, dateFormat=ISO_DATE, escape='"'),
+        lambda at: spark.read.csv(at, schema=ledger.schema, header=True, escape='"'),
+    )
 
 
 def sink_parquet(ledger: DataFrame, path: str, text_dates: bool = False, cluster: bool = False) -> None:
-    """Overwrite the stored ledger.
+    """Overwrite the stored ledger, which may be the one that ``ledger`` is read from.
 
     ``cluster`` writes it in date ranges, so that later date filters skip whole files
     by their statistics; further columns split a date that holds many rows.
     """
-    _refuse_empty(ledger)
     out = dates_as_text(ledger) if text_dates else ledger
     if cluster:
         tie_breakers = [c for c in ("owner", "amount", "description") if c in out.columns]
         out = out.repartitionByRange("txn_date", *tie_breakers).sortWithinPartitions("txn_date")
-    out.write.mode("overwrite").parquet(path)
+    spark = ledger.sparkSession
+    _switch(spark, path, out.write.parquet, lambda at: spark.read.schema(out.schema).parquet(at))
 
 
 def sink_table(ledger: DataFrame, table: str, text_dates: bool = False) -> None:
-    """Drop and recreate a catalog table."""
-    _refuse_empty(ledger)
-    (dates_as_text(ledger) if text_dates else ledger).write.mode("overwrite").saveAsTable(table)
+    """Replace a catalog table, which may be the one that ``ledger`` is read from.
+
+    The rows are written as a table of their own, which then takes the name; the old table goes last.
+    """
+    spark, mark = ledger.sparkSession, uuid.uuid4().hex[:12]
+    staged, old = f"{table}_staged_{mark}", f"{table}_old_{mark}"
+    try:
+        (dates_as_text(ledger) if text_dates else ledger).write.saveAsTable(staged)
+        _refuse_empty(spark.table(staged))
+        held = spark.catalog.tableExists(table)
+        if held:
+            spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+        if held:
+            spark.sql(f"DROP TABLE {old}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
 
 
 def dates_as_text(ledger: DataFrame) -> DataFrame:

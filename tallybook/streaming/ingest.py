@@ -17,22 +17,28 @@ STATUS = "status"
 
 def ledger_so_far(spark: SparkSession, target: str) -> DataFrame:
     """All ingested rows with their status and batch; empty before the first batch."""
-    schema = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("batch_id", T.LongType())])
+    schema = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(schema).parquet(target)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def mark_repeats(batch: DataFrame, history: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
-    """Label each batch row ``new`` or ``repeat``: one row per copy key is new unless history has the key."""
+    """Label each batch row ``new`` or ``repeat``.
+
+    Rows of a copy key that history has are repeats. Otherwise those of one file, the
+    first by name, are new: equal rows inside a file are purchases of their own, equal rows of another
+    file are the same purchases delivered again.
+    """
     counted = collapse_copies(batch)
-    rest = [c for c in batch.columns if c not in key]
-    groups = counted.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first_row"))
+    groups = counted.groupBy(*key).agg(F.min(F.struct("source_file")).alias("first_file"))
     seen = history.select(*key).distinct().withColumn("seen", F.lit(True))
     with_seen = match_nulls(groups, seen, key, "left")
     joined = match_nulls(counted, with_seen, key)
-    fresh = F.when(F.col("seen").isNull() & F.struct(*rest).eqNullSafe(F.col("first_row")), 1).otherwise(0)
+    fresh = F.when(F.col("seen").isNull() & F.col("source_file").eqNullSafe(F.col("first_file.source_file")), F.col("n")).otherwise(0)
     split = joined.select(*batch.columns, F.explode(F.array(
         F.struct(F.lit("new").alias(STATUS), fresh.cast("bigint").alias("copies")),
         F.struct(F.lit("repeat").alias(STATUS), (F.col("n") - fresh).alias("copies")),
@@ -40,22 +46,31 @@ def mark_repeats(batch: DataFrame, history: DataFrame, key: list[str] = COPY_KEY
     return expand_copies(split, "copies").select(*batch.columns, STATUS)
 
 
-def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str) -> None:
+def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str, source_id: str = "direct") -> None:
     """Tag one micro-batch, mark repeats against earlier batches, and write its own partition.
 
-    The partition is named by the batch, so a replay overwrites what it wrote before.
+    The partition is named by the stream and the batch, so a replay overwrites what it wrote
+    before, and another stream, which counts its batches from 0 too, never does.
     Only the date range of the batch is read from history.
     """
     spark = batch.sparkSession
     batch.persist()
-    n, first, last = batch.agg(F.count("*"), F.min("txn_date"), F.max("txn_date")).first()
-    if n == 0:
-        return
-    history = ledger_so_far(spark, target).filter((F.col("batch_id") < batch_id) & (F.col(STATUS) == "new"))
-    nearby = history.filter(F.col("txn_date").between(F.lit(first), F.lit(last)) | F.col("txn_date").isNull())
-    marked = mark_repeats(tag_ledger(batch, rules), nearby)
-    marked.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-    batch.unpersist()
+    try:
+        n, first, last = batch.agg(F.count("*"), F.min("txn_date"), F.max("txn_date")).first()
+        if n == 0:
+            return
+        own_or_later = (F.col("source_id") == source_id) & (F.col("batch_id") >= batch_id)
+        history = ledger_so_far(spark, target).filter(~own_or_later & (F.col(STATUS) == "new"))
+        nearby = history.filter(F.col("txn_date").between(F.lit(first), F.lit(last)) | F.col("txn_date").isNull())
+        marked = mark_repeats(tag_ledger(batch, rules), nearby)
+        marked.write.mode("overwrite").parquet(f"{target}/source_id={source_id}/batch_id={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of this checkpoint; a renewed checkpoint has another."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
 def ingest(
@@ -78,7 +93,7 @@ def ingest(
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     query = (
         reader.csv(source)
-        .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, rules, target))
+        .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, rules, target, _stream_id(spark, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
