@@ -149,7 +149,7 @@ def load_card_table(spark: SparkSession, path: str) -> DataFrame:
         parse_date("txn_date", "dd/MM/yyyy").alias("txn_date"),
         parse_date("booking_date", "dd/MM/yyyy").alias("booking_date"),
         "description",
-        F.col("amount").try_cast("double").alias("amount"),
+        F.coalesce(F.col("amount").try_cast("double"), parse_amount("amount")).alias("amount"),
         "source_file",
         "owner",
     )

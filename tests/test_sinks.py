@@ -71,3 +71,8 @@ def test_lines_with_other_blanks_are_read(spark):
     lines = spark.createDataFrame([("o/f.txt", "01/02/2001\u00a001/02/2001\u00a0bar\n3,50")], "path string, text string")
     got = rows_of(statements.parse_card_text(statements.lines_of(lines)), "description", "amount")
     assert got == [("bar", 3.5)]
+
+
+def test_card_amounts_with_a_decimal_comma_are_read(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('Data Operazione,Data Registrazione,Descrizione Operazione,Importo (€)\n01/02/2001,02/02/2001,bar,"12,50"\n')
+    assert rows_of(statements.load_card_table(spark, str(tmp_path)), "description", "amount") == [("bar", 12.5)]
