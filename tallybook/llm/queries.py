@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallybook.llm import chat, language, mixing, near_text, near_vectors, pieces, repeats, secrets, topk, warc
+from tallybook.llm import chat, language, lexical, mixing, near_text, near_vectors, periods, personal, pieces, repeats, secrets, topk, warc
 from tallybook.llm.common import table
 
 # Fixed values of the contract: a conversation whose texts hold control strings.
@@ -59,8 +62,37 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@F.arrow_udf(T.BinaryType())
+def repeated_tail(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """Of every tenth document, by a hash of its id, all words from some place on repeat the first few from there."""
+    out = []
+    for number, text in zip(ids, texts.cast(pa.binary())):
+        h = zlib.crc32(str(number.as_py()).encode())
+        g, words = h // 10, (text.as_py() or b"").split()  # splits at ASCII white space alone
+        if number.is_valid and h % 10 == 0 and words:
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            out.append(b" ".join(words[:a] + [words[a + i % p] for i in range(len(words) - a)]))
+        else:
+            out.append(text.as_py())
+    return pa.array(out, pa.binary())
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_tail("doc_id", "text").alias("text"))
+    return periods.run_digests(periods.periodic_runs(docs, min_exponent=4, min_length=6))
+
+
+def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=20)
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_topk, op3_chat, op4_mixing, op5_pieces, op6_minhash, op7_warc, op8_vectors, op9_secrets, op10_repeats)
+    f.__name__: f for f in (op1_language, op2_topk, op3_chat, op4_mixing, op5_pieces, op6_minhash, op7_warc, op8_vectors, op9_secrets, op10_repeats, op11_periods, op12_nra, op13_personal)
 }
 
 ORACLES: dict[str, str] = {
@@ -90,6 +122,21 @@ ORACLES: dict[str, str] = {
                coalesce(least(c.component_id, e.vec_id), e.vec_id) = e.vec_id as kept
         from embeddings e left join n on n.u = e.vec_id left join least c on c.node = e.vec_id
     """,
+    "op12_nra": r"""
+        with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        p as (select doc_id, term, count(*)::bigint as tf from t group by all),
+        d as (select doc_id, sum(tf)::bigint as n from p group by all),
+        s as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from d),
+        w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s group by term, n_docs),
+        m as (select doc_id, 100 - 25 + (25 * n * n_docs) // n_terms as m from d, s),
+        i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        q as (select item_id, term, count(*)::bigint as times from i group by all),
+        r as (
+            select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+            from q join p using (term) join w using (term) join m using (doc_id) group by all
+        ), o as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0)
+        select item_id, rank::int as rank, doc_id, score from o where rank <= 20
+    """,
     "op6_minhash": r"""
         with recursive w as (
             select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
