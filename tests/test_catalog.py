@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tallybook.catalog.oracles import ORACLES
+from tallybook.catalog.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 SMOKE = ["expense_matrix", "classify", "pair_amounts", "dedup_suffix", "drift_numeric", "rule_overlaps"]
@@ -11,7 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(ORACLES)
+    assert set(REGISTRY) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", SMOKE)

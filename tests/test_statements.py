@@ -1,5 +1,5 @@
 import random
-import re
+from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,43 +8,66 @@ from tallybook.sources import manual, statements as st, tables
 from tests.conftest import d, rows_of
 
 
-def pair_loop(text, amount=r"[\d.]*\d,\d{2}-?"):
-    """The pairing rule as a plain loop."""
-    lines, amounts = [], []
-    for line in text.split("\n"):
-        found = re.search(r"\d{2}/\d{2}/\d{4}\s\d{2}/\d{2}/\d{4}\s.+", line)
-        if found:
-            lines.append(found.group()[22:])
-        value = re.search(amount, line)
-        if value and lines and len(amounts) < len(lines):
-            amounts.append(value.group())
-    return [(k + 1, t, amounts[k] if k < len(amounts) else None) for k, t in enumerate(lines)]
+# line, description of the transaction on it, amount on it
+KINDS = [
+    ("01/02/2001 02/02/2001 pane {i}", "pane {i}", None),
+    ("01/02/2001 02/02/2001 latte {i},20-", "latte {i},20-", "{i},20-"),
+    ("{i},10", None, "{i},10"),
+    ("totale 1.0{i:02d},30", None, "1.0{i:02d},30"),
+    ("saldo", None, None),
+    ("via 3/4", None, None),
+]
 
 
-def random_text(rng, n):
-    kinds = ["01/02/2001 02/02/2001 pane {i}", "{i},10", "saldo", "01/02/2001 02/02/2001 latte {i},20-", "totale 1.0{i:02d},30", "via 3/4"]
-    return "\n".join(rng.choice(kinds).format(i=i % 90) for i in range(n))
+def random_statement(rng, n):
+    """A statement, and the rows it stands for: an amount goes to the earliest transaction still without one."""
+    lines, rows, waiting = [], [], deque()
+    for _ in range(n):
+        line, description, amount = (x and x.format(i=i) for i in [rng.randint(0, 89)] for x in rng.choice(KINDS))
+        lines.append(line)
+        if description:
+            rows.append([len(rows) + 1, description, None])
+            waiting.append(rows[-1])
+        if amount and waiting:
+            waiting.popleft()[2] = amount
+    return "\n".join(lines), [tuple(r) for r in rows]
+
+
+WRITTEN = [
+    ("5,00\n01/02/2001 02/02/2001 pane\n6,00\n7,00", [(1, "pane", "6,00")]),
+    ("01/02/2001 02/02/2001 a\n01/02/2001 02/02/2001 b\n1,00 2,00\n3,00-\n4,00", [(1, "a", "1,00"), (2, "b", "3,00-")]),
+    ("01/02/2001 02/02/2001 a 1,00\n01/02/2001 02/02/2001 b\nsaldo", [(1, "a 1,00", "1,00"), (2, "b", None)]),
+    ("saldo 1,00", []),
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_written_statements(spark, block):
+    documents = spark.createDataFrame([(f"/in/owner_a/{i}.txt", text) for i, (text, _) in enumerate(WRITTEN)], "path string, text string")
+    got = rows_of(st.pair_amounts(st.lines_of(documents, lines_per_block=block)), "path", "k", "description", "amount_text")
+    for i, (_, rows) in enumerate(WRITTEN):
+        assert sorted(r[1:] for r in got if r[0] == f"/in/owner_a/{i}.txt") == rows
 
 
 @pytest.mark.parametrize("block", [3, 7, 1000])
-def test_pairing_equals_a_loop_whatever_the_blocks(spark, block):
+def test_pairing_gives_what_was_written_whatever_the_blocks(spark, block):
     rng = random.Random(block)
-    texts = {f"/in/owner_a/f{i}.txt": random_text(rng, rng.randint(1, 60)) for i in range(25)}
-    documents = spark.createDataFrame(list(texts.items()), "path string, text string")
+    known = {f"/in/owner_a/f{i}.txt": random_statement(rng, rng.randint(1, 60)) for i in range(25)}
+    documents = spark.createDataFrame([(path, text) for path, (text, _) in known.items()], "path string, text string")
     got = st.pair_amounts(st.lines_of(documents, lines_per_block=block))
     by_path = {}
     for path, k, text, value in rows_of(got, "path", "k", "description", "amount_text"):
         by_path.setdefault(path, []).append((k, text, value))
-    for path, text in texts.items():
-        assert sorted(by_path.get(path, [])) == pair_loop(text), path
-    short = {p for p, t in texts.items() if any(v is None for _, _, v in pair_loop(t))}
+    for path, (_, rows) in known.items():
+        assert sorted(by_path.get(path, [])) == rows, path
+    short = {path for path, (_, rows) in known.items() if any(value is None for _, _, value in rows)}
     assert {r["path"] for r in st.unpaired_files(got).collect()} == short
 
 
 def test_a_file_in_many_splits_keeps_its_line_order(spark, tmp_path):
     folder = tmp_path / "owner_b"
     folder.mkdir()
-    text = random_text(random.Random(5), 4000)
+    text, rows = random_statement(random.Random(5), 4000)
     (folder / "big.txt").write_text(text)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -52,7 +75,7 @@ def test_a_file_in_many_splits_keeps_its_line_order(spark, tmp_path):
         lines = st.read_statement_lines(spark, str(tmp_path))
         assert lines.select("block").distinct().count() > 5
         got = st.pair_amounts(lines)
-        assert sorted(rows_of(got, "k", "description", "amount_text")) == pair_loop(text)
+        assert sorted(rows_of(got, "k", "description", "amount_text")) == rows
         parsed = st.parse_card_text(lines)
         assert rows_of(parsed.select("owner", "source_file").distinct()) == [("owner_b", "big.txt")]
     finally:
