@@ -58,9 +58,16 @@ def ledger_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus",
         "l_orderkey",
         "l_linenumber",
+        "l_partkey",
     )
 
 
+def part_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw ledger rows whose descriptions name the part, so that there are as many as parts."""
+    named = F.concat("description", F.lit(" sku "), F.col("l_partkey").cast("string"))
+    return ledger_items(spark, sf_dir).withColumn("description", named).select(*RAW_LEDGER.fieldNames())
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_items(spark, sf_dir).select(*RAW_LEDGER.fieldNames())
 

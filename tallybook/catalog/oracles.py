@@ -19,7 +19,7 @@ OWNER = "CASE WHEN l_linestatus = 'F' THEN 'owner_a' ELSE 'owner_b' END"
 ITEMS = f"""items AS (
   SELECT CAST(o_orderdate AS DATE) AS txn_date, CAST(l_shipdate AS DATE) AS booking_date, p_name AS description,
          l_extendedprice AS amount, {SOURCE} AS source_file, {OWNER} AS owner,
-         l_returnflag, l_linestatus, l_orderkey, l_linenumber
+         l_returnflag, l_linestatus, l_orderkey, l_linenumber, l_partkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -171,6 +171,11 @@ ORACLES["rules_search"] = f"{RULES} SELECT {RULE_COLS} FROM rules WHERE contains
 # --- rules
 
 ORACLES["standardize"] = f"WITH {ITEMS}, {std_cte()} SELECT {RAW}, std_description FROM std"
+PART_TEXTS = "texts AS (SELECT * REPLACE (description || ' sku ' || l_partkey AS description) FROM items)"
+ORACLES["standardize_parts"] = f"""WITH {ITEMS}, {PART_RULES}, {PART_TEXTS},
+terms AS (SELECT DISTINCT name, UNNEST(terms) AS term FROM rules),
+named AS (SELECT d.description, MIN(name) AS std_name FROM (SELECT DISTINCT description FROM texts) d JOIN terms ON contains(d.description, term) GROUP BY d.description)
+SELECT {RAW.replace('description', 'texts.description')}, COALESCE(std_name, texts.description) AS std_description FROM texts LEFT JOIN named ON texts.description = named.description"""
 ORACLES["rule_conflicts"] = f"""WITH {ITEMS}, {rules_cte([*RULE_ROWS, CONFLICT_RULE])},
 hits AS (SELECT DISTINCT d.description, name FROM (SELECT DISTINCT description FROM items) d JOIN terms ON contains(d.description, term))
 SELECT description, string_agg(name, '|' ORDER BY name) AS names FROM hits GROUP BY description HAVING COUNT(*) > 1"""
@@ -349,7 +354,7 @@ ORACLES["duplicates"] = f"""{REDELIVERED}, ranked AS (SELECT *, ROW_NUMBER() OVE
 SELECT {TAGGED} FROM ranked WHERE rn > 1"""
 REST = "txn_date, booking_date, amount, source_file, owner, std_description, classification, channel, update_exception, essential, recurrent, product"
 SUFFIXED = f"""sized AS (SELECT *, COUNT(*) OVER (PARTITION BY {KEY}) AS size FROM led),
-numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {REST}, size > 1 ORDER BY md5('=' || description)) AS k FROM sized),
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {REST}, size > 1 ORDER BY description) AS k FROM sized),
 unique_led AS (SELECT * EXCLUDE (size, k) REPLACE (CASE WHEN size > 1 THEN description || '_' || k ELSE description END AS description) FROM numbered)"""
 ORACLES["dedup_suffix"] = f"{REDELIVERED}, {SUFFIXED} SELECT {TAGGED} FROM unique_led"
 ORACLES["derived_fees"] = f"""WITH {ITEMS}, files AS (SELECT source_file || '_' || strftime(txn_date, '%Y-%m') AS source_file, owner, MIN(txn_date) AS first_day, SUM({money()}) AS v

@@ -174,6 +174,12 @@ def standardize(spark, sf):
     return rules.standardize(inputs.raw_ledger(spark, sf), inputs.ledger_rules(spark))
 
 
+@query
+def standardize_parts(spark, sf):
+    """As many rules as parts, whose terms share their beginnings."""
+    return rules.standardize(inputs.part_ledger(spark, sf), inputs.part_rules(spark, sf))
+
+
 @query
 def rule_conflicts(spark, sf):
     found = rules.rule_conflicts(inputs.raw_ledger(spark, sf), inputs.ledger_rules(spark, [inputs.CONFLICT_RULE]))

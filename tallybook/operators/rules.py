@@ -9,8 +9,8 @@ from tallybook.functions.scalars import trim_all
 from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB, GROUPS
 from tallybook.session import as_lookup, small_table
 
-# Terms are found through their first characters; shorter terms use all they have.
-GRAM = 4
+# A term is found through one of its grams, whose size is the largest of these that the term has.
+SIZES = (1, 2, 4, 8, 16)
 
 
 def rule_terms(rules: DataFrame) -> DataFrame:
@@ -20,39 +20,61 @@ def rule_terms(rules: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, size: int) -> Column:
+def _grams(text: Column, size: Column | int) -> Column:
+    size = size if isinstance(size, Column) else F.lit(size)
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    every = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    every = F.transform(starts, lambda i: F.substring(text, i, size))
     return F.when(F.length(text) >= size, every).otherwise(F.array().cast("array<string>"))
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, text: str = "description") -> DataFrame:
-    """Every (text, term) where the term occurs literally in the text, as an equi join.
+def term_anchors(terms: DataFrame) -> DataFrame:
+    """Each distinct term with the one of its grams that the fewest terms hold: ``(term, gram)``.
 
-    The text is cut into all its grams and meets a term on the term's leading gram;
-    ``contains`` then confirms. Spark may broadcast the terms if they are small, or
-    shuffle both sides and split a gram that is hot.
+    A beginning that thousands of terms share is so passed over for what tells them apart, and
+    long terms have long grams, which few texts hold. Counts start before the shuffle, so a gram of all terms is not gathered.
     """
-    keyed = terms.withColumn("gram", F.substring("term", 1, GRAM))
-    # At most GRAM distinct values come back.
-    sizes = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())
+    distinct = terms.select("term").filter(F.length("term") > 0).distinct()
+    size = F.lit(SIZES[0])
+    for s in SIZES[1:]:
+        size = F.when(F.length("term") >= s, s).otherwise(size)
+    every = distinct.select("term", F.explode(F.array_distinct(_grams(F.col("term"), size))).alias("gram"))
+    counts = every.groupBy("gram").agg(F.count("*").alias("n_terms"))
+    rated = every.join(as_lookup(counts), "gram")
+    return rated.groupBy("term").agg(F.min_by("gram", F.struct("n_terms", "gram")).alias("gram"))
+
+
+def candidates(texts: DataFrame, anchors: DataFrame, text: str = "description") -> DataFrame:
+    """Every (text, term) where the text holds the term's anchor, as an equi join.
+
+    Spark may broadcast the anchors if they are small, or shuffle both sides and split a gram that is hot.
+    """
+    # One value per gram size comes back.
+    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
     if not sizes:
-        blanks = [F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema]
-        return texts.filter("false").select("*", *blanks)
+        return texts.filter("false").select("*", F.lit(None).cast("string").alias("term"))
     grams = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in sizes]))
-    return (
-        texts.withColumn("gram", F.explode(grams))
-        .join(keyed, "gram")
-        .filter(F.contains(F.col(text), F.col("term")))
-        .drop("gram")
-    )
+    return texts.withColumn("gram", F.explode(grams)).join(as_lookup(anchors), "gram").drop("gram")
+
+
+def match_terms(texts: DataFrame, terms: DataFrame, text: str = "description") -> DataFrame:
+    """Every (text, term) where the term occurs literally in the text, with all columns of both.
+
+    Each distinct term meets the texts that hold its rarest gram, ``contains`` confirms, and the
+    rows of an equal term join last. So work follows the matches and not terms times texts.
+    """
+    found = candidates(texts, term_anchors(terms), text).filter(F.contains(F.col(text), F.col("term")))
+    return found.join(terms, "term").select(*texts.columns, *terms.columns)
 
 
 def matched_names(ledger: DataFrame, rules: DataFrame, text: str = "description") -> DataFrame:
-    """Per distinct text that some rule matches: the first and last matching name, in name order."""
+    """Per distinct text that some rule matches: the first and last matching name, in name order.
+
+    The names of a term are reduced to two before any text is met.
+    """
     texts = ledger.select(text).filter(F.col(text).isNotNull()).distinct()
-    hits = match_terms(texts, rule_terms(rules).select("name", "term"), text)
-    return hits.groupBy(text).agg(F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    terms = rule_terms(rules).groupBy("term").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+    hits = match_terms(texts, terms, text)
+    return hits.groupBy(text).agg(F.min("low").alias("first_name"), F.max("high").alias("last_name"))
 
 
 def standardize(ledger: DataFrame, rules: DataFrame, text: str = "description") -> DataFrame:
@@ -70,7 +92,7 @@ def standardize(ledger: DataFrame, rules: DataFrame, text: str = "description")
 def rule_conflicts(ledger: DataFrame, rules: DataFrame, text: str = "description") -> DataFrame:
     """Texts matched by two or more different names: ``(text, names)``, names sorted."""
     texts = ledger.select(text).filter(F.col(text).isNotNull()).distinct()
-    hits = match_terms(texts, rule_terms(rules).select("name", "term"), text)
+    hits = match_terms(texts, rule_terms(rules).select("name", "term").distinct(), text)
     return (
         hits.groupBy(text)
         .agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -27,6 +27,32 @@ def test_terms_match_like_plain_containment(spark, rules):
     assert got == {(x, t) for x in texts for t in terms if t in x}
 
 
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_terms_with_one_beginning_meet_few_texts(spark, n):
+    texts = spark.range(n).selectExpr("concat('old red rod sku ', id, ' shop') as description")
+    terms = spark.range(n).selectExpr("concat('old red rod sku ', id) as term", "concat('n', id) as name")
+    anchors = R.term_anchors(terms)
+    assert anchors.count() == n
+    tried = R.candidates(texts, anchors).count()
+    found = R.match_terms(texts, terms)
+    # a text holds the terms of its own number and of its beginnings
+    want = sum(len(str(i)) for i in range(n))
+    assert found.count() == want and want <= tried <= 2 * want
+
+
+def test_anchors_are_the_rarest_grams_and_long_where_they_can_be(spark):
+    terms = spark.createDataFrame([(t,) for t in ("abcd1", "abcd2", "x", "xyz", "", "abcdefgh", "0123456789abcdefg", "0123456789abcdefg")], "term string")
+    got = dict(rows_of(R.term_anchors(terms)))
+    assert got == {"abcd1": "bcd1", "abcd2": "bcd2", "x": "x", "xyz": "xy", "abcdefgh": "abcdefgh", "0123456789abcdefg": "0123456789abcdef"}
+
+
+def test_one_term_of_many_rules(raw, rules):
+    led = raw([("2001-01-01", "a coop b", 1)])
+    table = rules([(f"n{i:04d}", "spesa", ["coop", "coop"]) for i in range(1500)])
+    assert rows_of(R.standardize(led, table), "std_description") == [("n0000",)]
+    assert [len(names) for _, names in rows_of(R.rule_conflicts(led, table))] == [1500]
+
+
 def test_no_terms_at_all(raw, rules):
     led = raw([("2001-01-01", "x", 1)])
     assert rows_of(R.standardize(led, rules([("n", "spesa", [])])), "std_description") == [("x",)]
