@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import money, parse_date
 from tallybook.schema import COPY_KEY, STAMP_DUTY
+from tallybook.session import staged
 
 # One task writes out at most this many copies of a row.
 COPIES_PER_TASK = 1_000_000
@@ -30,15 +31,40 @@ def expand_copies(rows: DataFrame, n: str, by: list[str] | None = None, per_task
     return spread.withColumn("copy_no", F.explode(F.sequence(F.col("block"), last))).drop("block", n)
 
 
+def _fingerprint(columns: list[str]) -> Column:
+    """Rows that agree on the columns have equal fingerprints; a few others may too."""
+    return F.xxhash64(*columns)
+
+
+def repeated_fingerprints(ledger: DataFrame, columns: list[str], more_than: int = 1) -> DataFrame:
+    """The fingerprints of more than so many rows, ``(fingerprint)``, staged.
+
+    Only eight bytes and a count per distinct value are shuffled. What remains is as small as the copies are few,
+    and as it is staged, the planner knows its size: a later split of the ledger moves no row if it is small.
+    """
+    counts = ledger.groupBy(_fingerprint(columns).alias("fingerprint")).agg(F.count("*").alias("n"))
+    return staged(counts.filter(F.col("n") > more_than).select("fingerprint"), "repeated")
+
+
+def split_repeats(ledger: DataFrame, columns: list[str], more_than: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The rows whose values of ``columns`` occur ``more_than`` times at most, and the others.
+
+    The second part may hold a few rows that are no copies, as two fingerprints may agree.
+    """
+    repeated = repeated_fingerprints(ledger, columns, more_than)
+    same = _fingerprint(columns) == repeated["fingerprint"]
+    return ledger.join(repeated, same, "left_anti"), ledger.join(repeated, same, "left_semi")
+
+
 def duplicates(ledger: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
     """The repeats: all rows of a copy group but its first by file, booking date and the rest.
 
-    No group is ever gathered: equal rows are counted first, and the first row of a
-    group is a minimum.
+    Rows without a copy leave before anything else is done. No group is ever gathered: equal rows are counted
+    first, and the first row of a group is a minimum.
     """
     rest = [c for c in ["source_file", "booking_date"] if c in ledger.columns]
     rest += [c for c in ledger.columns if c not in key and c not in rest]
-    counted = collapse_copies(ledger)
+    counted = collapse_copies(split_repeats(ledger, key)[1])
     groups = (
         counted.groupBy(*key)
         .agg(F.sum("n").alias("group_n"), F.min(F.struct(*rest)).alias("first_row"))
@@ -53,7 +79,7 @@ def duplicates(ledger: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
 
 def duplicate_count(ledger: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
     """How many rows repeat an earlier one."""
-    sizes = ledger.groupBy(*key).agg(F.count("*").alias("n"))
+    sizes = split_repeats(ledger, key)[1].groupBy(*key).agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
@@ -62,36 +88,42 @@ def dedup_suffix(ledger: DataFrame, key: list[str] = COPY_KEY, counter_by: str =
 
     ``counter_by='all'`` counts within rows equal in every column but the description,
     so copies from different files each start at 1; ``'subset'`` counts within the copy
-    key, which makes all members differ. Order within a counter group is a fixed hash
-    order, so that the running count can be built from many small blocks.
+    key, which makes all members differ. Rows of a counter group are counted by file, booking date, description and the rest.
+
+    Rows without a copy pass straight through. The others are sorted into ranges that are staged, so that
+    counts run within a range and are shifted by the totals of the ranges before.
     """
-    counted = collapse_copies(ledger)
-    group_size = counted.groupBy(*key).agg(F.sum("n").alias("group_n")).filter("group_n > 1")
-    sized = match_nulls(counted, group_size, key, "left").select(*ledger.columns, "n", "group_n")
-    hit = sized.filter("group_n is not null").drop("group_n")
+    unique, copies = split_repeats(ledger, key)
+    counted = collapse_copies(copies)
+    sizes = counted.groupBy(*key).agg(F.sum("n").alias("group_n")).filter("group_n > 1")
+    sized = match_nulls(counted, sizes, key, "left").select(*ledger.columns, "n", "group_n")
     counter = [c for c in ledger.columns if c != text] if counter_by == "all" else list(key)
-    within = [text] if counter_by == "all" else [c for c in ledger.columns if c not in key]
-    hit = hit.withColumns({"counter_id": _digest(counter), "digest": _digest(within)}).withColumn("block", F.substring("digest", 1, 2))
-    before = Window.partitionBy("counter_id", "block").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 256 blocks per counter group meet in the second window.
+    order = [c for c in ("source_file", "booking_date", text) if c in ledger.columns and c not in counter]
+    order += [c for c in ledger.columns if c not in counter and c not in order]
+    # A row whose fingerprint alone was repeated is in no group.
+    counter_id = F.when(F.col("group_n").isNotNull(), _digest(counter))
+    ranged = sized.withColumn("counter_id", counter_id).drop("group_n").repartitionByRange("counter_id", *order)
+    placed = staged(ranged.withColumn("block", F.spark_partition_id()), "copies")
+    hit = placed.filter("counter_id is not null")
+    before = Window.partitionBy("counter_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per range of a counter group meets in the second window.
     earlier = Window.partitionBy("counter_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hit.groupBy("counter_id", "block").agg(F.sum("n").alias("block_n")).select(
         "counter_id", "block", F.coalesce(F.sum("block_n").over(earlier), F.lit(0)).alias("offset")
     )
-    placed = hit.withColumn("local", F.coalesce(F.sum("n").over(before), F.lit(0))).join(offsets, ["counter_id", "block"])
-    placed = placed.withColumn("start", F.col("local") + F.col("offset")).select(*ledger.columns, "start", "n", "digest")
-    numbered = expand_copies(placed, "n", by=["digest", "start"]).withColumn(
-        text, F.concat(F.col(text), F.lit("_"), (F.col("start") + F.col("copy_no")).cast("string"))
+    numbered = hit.withColumn("local", F.coalesce(F.sum("n").over(before), F.lit(0))).join(offsets, ["counter_id", "block"])
+    numbered = numbered.select(*ledger.columns, (F.col("local") + F.col("offset")).alias("first"), "n", "counter_id")
+    suffixed = expand_copies(numbered, "n", by=["counter_id", "first"]).withColumn(
+        text, F.concat(F.col(text), F.lit("_"), (F.col("first") + F.col("copy_no")).cast("string"))
     )
-    # A row outside every copy group occurs once.
-    unique = sized.filter("group_n is null").select(*ledger.columns)
-    return unique.unionByName(numbered.select(*ledger.columns))
+    single = placed.filter("counter_id is null").select(*ledger.columns)
+    return unique.unionByName(single).unionByName(suffixed.select(*ledger.columns))
 
 
 def _digest(columns: list[str]) -> Column:
-    """One short key for many columns; null differs from the empty text."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns]
-    return F.md5(F.concat_ws("\x1f", *parts))
+    """One short key for many columns. Each value follows its length, so no two rows look alike; null has no length."""
+    text = lambda c: F.col(c).cast("string")
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]))
 
 
 def match_nulls(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
@@ -104,16 +136,17 @@ def match_nulls(left: DataFrame, right: DataFrame, key: list[str], how: str = "i
 def newest_first(ledger: DataFrame, day: str = "txn_date") -> DataFrame:
     """The ledger by date, newest first; all other columns break ties.
 
-    Equal rows are sorted as one row with a count, in blocks, so that a large group of
-    copies does not end in one sort task.
+    Rows are shuffled once, by the sort. Only a row with so many copies that they would fill a sort task is
+    sorted as one row with a count, in blocks.
     """
     others = [c for c in ledger.columns if c != day]
-    counted = collapse_copies(ledger).withColumn(
-        "block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(COPIES_PER_TASK).cast("bigint")))
-    )
+    few, many = split_repeats(ledger, ledger.columns, COPIES_PER_TASK)
+    one = F.lit(1).cast("bigint")
+    blocks = collapse_copies(many).withColumn("block", F.explode(F.sequence(one, F.col("n"), F.lit(COPIES_PER_TASK).cast("bigint"))))
     last = F.least(F.col("block") + COPIES_PER_TASK - 1, F.col("n"))
+    counted = few.withColumns({"block": one, "last": one}).unionByName(blocks.withColumn("last", last).drop("n"))
     ordered = counted.orderBy(F.desc(day), *[F.asc(c) for c in others], "block")
-    return ordered.withColumn("copy_no", F.explode(F.sequence("block", last))).select(*ledger.columns)
+    return ordered.withColumn("copy_no", F.explode(F.sequence("block", "last"))).select(*ledger.columns)
 
 
 def add_stamp_duty(

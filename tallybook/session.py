@@ -54,6 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back.
+
+    Cuts the lineage, so that what was worked out stays the same for all readers and survives lost executors, and
+    tells the planner its true size: only a table that is small then is broadcast.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A table given in code. Built from Arrow, so the optimizer knows its exact size."""
     names = schema.fieldNames()

@@ -49,6 +49,49 @@ def test_suffixes_count_within_the_group(spark):
     assert all(g == list(range(1, len(g) + 1)) for g in got)
 
 
+def test_suffixes_follow_file_booking_date_and_description(raw, spark):
+    rows = [("2001-01-01", "b", 1, f, "owner_a", day) for f in ("f2", "f1") for day in ("2001-01-09", "2001-01-03")] + [("2001-01-01", "c", 1)]
+    led = raw(rows)
+    done = Q.dedup_suffix(led, key=["txn_date", "amount", "owner", "description"], counter_by="subset")
+    got = sorted(rows_of(done, "source_file", "booking_date", "description"))
+    assert got == [("f1", d("2001-01-01"), "c"), ("f1", d("2001-01-03"), "b_1"), ("f1", d("2001-01-09"), "b_2"), ("f2", d("2001-01-03"), "b_3"), ("f2", d("2001-01-09"), "b_4")]
+    # within one file and date, the counter of equal other columns follows the description
+    names = raw([("2001-01-01", t, 1) for t in ("z", "a", "z", "a", "m", "m", "m")])
+    got = sorted(rows_of(Q.dedup_suffix(names, key=["txn_date", "description"]), "description"))
+    assert got == [("a_1",), ("a_2",), ("m_3",), ("m_4",), ("m_5",), ("z_6",), ("z_7",)]
+
+
+def test_suffixes_over_many_ranges(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        led = spark.range(500).selectExpr("date'2001-01-01' as txn_date", "concat('d', lpad(id % 250, 3, '0')) as description", "1.0 as amount")
+        done = rows_of(Q.dedup_suffix(led, key=["txn_date", "description"]), "description")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sorted(done) == sorted((f"d{i:03d}_{2 * i + k}",) for i in range(250) for k in (1, 2))
+
+
+def test_only_copies_leave_the_straight_path(spark, raw):
+    led = raw([("2001-01-01", f"t{i}", i) for i in range(50)] + [("2001-01-01", "t1", 1)])
+    few, many = Q.split_repeats(led, ["txn_date", "description", "amount"])
+    assert few.count() == 49 and many.count() == 2
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert Q.duplicates(raw([("2001-01-01", "a", 1)]), ["description"]).count() == 0
+
+
+def test_digests_tell_values_apart(spark):
+    frame = spark.createDataFrame([("a", "1:b"), ("a1:", "b"), (None, "b"), ("-", "b"), ("", "b"), ("b", None), ("b", "")], "x string, y string")
+    assert frame.select(Q._digest(["x", "y"]).alias("k")).distinct().count() == 7
+
+
+def test_a_row_with_very_many_copies_is_sorted_in_blocks(spark, raw, monkeypatch):
+    monkeypatch.setattr(Q, "COPIES_PER_TASK", 4)
+    led = raw([("2001-01-02", "a", 1)] * 11 + [("2001-01-03", "b", 2)] * 3 + [("2001-01-01", "c", 3)])
+    assert rows_of(Q.newest_first(led), "description") == [("b",)] * 3 + [("a",)] * 11 + [("c",)]
+
+
 def test_suffix_by_key_makes_every_row_distinct(spark):
     done = Q.dedup_suffix(ledger_with_copies(spark, 2), counter_by="subset")
     assert Q.duplicate_count(done).first()[0] == 0
