@@ -213,6 +213,67 @@ def bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+NO_NUMBER, NO_DAY = "n.d.", "31/02/2001"
+
+
+def _spoiled(amount: Column, day: Column, no_day: str = NO_DAY) -> tuple[Column, Column]:
+    """The amount and the day as text; unreadable on returned status-F lines, the day also missing on status-O ones of flag A."""
+    bad = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
+    late = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")
+    return F.when(bad, F.lit(NO_NUMBER)).otherwise(amount.cast("string")), F.when(late, F.lit(no_day)).otherwise(day)
+
+
+def _reference() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("Riferimento")
+
+
+def bad_ledger_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The raw ledger as CSV after a reference column, with amounts and booking dates that cannot be read."""
+    path = scratch_path(spark, "bad-csv")
+    amount, day = _spoiled(F.col("amount"), F.date_format("booking_date", "yyyy-MM-dd"), "2001-02-30")
+    rows = ledger_items(spark, sf_dir).select(_reference(), F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"), day.alias("booking_date"), "description", amount.alias("amount"), "source_file", "owner")
+    rows.write.csv(path, header=True)
+    return path
+
+
+def bad_card_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Card tables with a decimal comma; a few amounts and dates cannot be read, and status-N rows lack the reference, as totals do."""
+    path = scratch_path(spark, "bad-card")
+    amount, day = _spoiled(format_amount("amount"), italian_day("booking_date"))
+    reference = F.when(F.col("l_returnflag") != "N", _reference())
+    ledger_items(spark, sf_dir).select(
+        "owner", italian_day("txn_date").alias("Data Operazione"), day.alias("Data Registrazione"), F.col("description").alias("Descrizione Operazione"),
+        amount.alias("Importo (€)"), reference.alias("Riferimento"),
+    ).write.partitionBy("owner").csv(path, header=True)
+    return path
+
+
+def bad_bank_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Bank exports in which status-N rows are income, and a few amounts and dates cannot be read."""
+    path = scratch_path(spark, "bad-bank")
+    signed = F.when(F.col("l_returnflag") == "N", F.col("amount")).otherwise(-F.col("amount"))
+    amount, day = _spoiled(signed, italian_day("booking_date"))
+    ledger_items(spark, sf_dir).select(
+        "owner", italian_day("txn_date").alias("Data Contabile"), day.alias("Data Valuta"), F.col("description").alias("Causale / Descrizione"), amount.alias("Importo"),
+        F.lit("WEB").alias("Canale"), F.lit("EUR").alias("Divisa"), _reference(),
+    ).write.partitionBy("owner").csv(path, header=True)
+    return path
+
+
+def bad_bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page tables of one row per order line, a page per order; a few amounts and dates cannot be read, status-N rows have no last cell."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    heads = orders.select("page", F.lit(1).alias("row_no"), F.array(*[F.lit(c) for c in ("DATA", "VALUTA", "NOTE", "USCITE", "DESCRIZIONE")]).alias("cells"))
+    amount, day = _spoiled(F.concat(F.lit("- "), format_amount("amount")), F.date_format("booking_date", "dd/MM/yy"), "31/02/01")
+    label = F.when(F.col("l_returnflag") != "N", F.col("description"))
+    body = ledger_items(spark, sf_dir).select(
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") + 1).alias("row_no"), F.array(day, F.date_format("txn_date", "dd/MM/yy"), F.lit(""), amount, label).alias("cells")
+    )
+    path = scratch_path(spark, "bad-cells")
+    heads.unionByName(body).select(F.lit("conto.pdf").alias("file"), F.lit("conto").alias("owner"), "page", "row_no", "cells").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def manual_json(spark: SparkSession, sf_dir: str) -> str:
     """One manual-entry document per order: its personal and its shared half."""
     orders = table(spark, sf_dir, "orders")
@@ -231,6 +292,17 @@ def manual_json(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def bad_manual_json(spark: SparkSession, sf_dir: str) -> str:
+    """Manual-entry documents by order: without amounts for status P, with a third amount for status O."""
+    day = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2001-01-01"))
+    two, status = F.array(F.lit("a"), F.lit("b")), F.col("o_orderstatus")
+    amounts = F.when(status == "O", F.array("o_totalprice", F.lit(1.0), F.lit(2.0))).when(status == "F", F.array("o_totalprice", F.lit(1.0)))
+    entry = F.struct(day.alias("txn_date"), day.alias("booking_date"), two.alias("description"), amounts.alias("amount"), two.alias("file"), two.alias("owner"))
+    path = scratch_path(spark, "bad-manual")
+    table(spark, sf_dir, "orders").select(entry.alias("data_dict")).write.json(path)
+    return path
+
+
 def rules_json(spark: SparkSession, sf_dir: str) -> str:
     """The part rules as JSON documents that leave out fields equal to their default."""
     r = part_rules(spark, sf_dir)

@@ -130,6 +130,21 @@ WHERE o_orderstatus <> 'P' AND ((l_returnflag = 'N' AND l_linestatus = 'O') OR l
 ORACLES["load_bank_pages"] = ORACLES["load_bank_pages"].replace(
     "ELSE txn_date END AS txn_date", "ELSE (CASE WHEN year(txn_date) < 2000 THEN txn_date + INTERVAL 100 YEAR ELSE txn_date END)::DATE END AS txn_date"
 )
+REFERENCE = "l_orderkey || '-' || l_linenumber || '-' || l_partkey"
+NO_AMOUNT, NO_BOOKING = "l_returnflag = 'R' AND l_linestatus = 'F'", "l_returnflag = 'A' AND l_linestatus = 'O'"
+
+
+def violations_sql(key: str, day: str, where: str = "true") -> str:
+    return f"""WITH {ITEMS} SELECT {key}, 'amount' AS "column", 'n.d.' AS value, 'unreadable' AS problem FROM items WHERE {NO_AMOUNT} AND {where}
+UNION ALL SELECT {key}, 'booking_date', '{day}', 'unreadable' FROM items WHERE {NO_BOOKING} AND {where}"""
+
+
+ORACLES["csv_violations"] = violations_sql(f"{REFERENCE} AS reference", "2001-02-30")
+ORACLES["card_violations"] = violations_sql(f'owner, {REFERENCE} AS "Riferimento"', "31/02/2001", "l_returnflag <> 'N'")
+ORACLES["bank_violations"] = violations_sql(f"owner, {REFERENCE} AS riferimento", "31/02/2001", "l_returnflag <> 'N'")
+ORACLES["page_violations"] = violations_sql("'conto.pdf' AS source_file, 'conto' AS owner, l_orderkey AS page, CAST(l_linenumber + 1 AS INTEGER) AS row_no", "31/02/01")
+ORACLES["manual_violations"] = """SELECT 2 AS txn_date, 2 AS booking_date, 2 AS description, CASE WHEN o_orderstatus = 'O' THEN 3 END AS amount, 2 AS file, 2 AS owner
+FROM orders WHERE o_orderstatus <> 'F'"""
 ORACLES["load_manual_entries"] = """WITH halves AS (
   SELECT lower(o_orderpriority) AS description, o_totalprice AS amount, 'spesa individuale' AS source_file, o_orderdate, o_orderstatus FROM orders
   UNION ALL SELECT 'quota ' || o_orderkey, 10.5, 'spesa condivisa', o_orderdate, o_orderstatus FROM orders)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallybook.catalog import inputs
 from tallybook.functions import scalars as S
@@ -85,6 +86,33 @@ def load_bank_pages(spark, sf):
     return statements.load_bank_pages(inputs.bank_cells(spark, sf))
 
 
+@query
+def csv_violations(spark, sf):
+    schema = T.StructType([T.StructField("reference", T.StringType()), *RAW_LEDGER.fields])
+    return tables.csv_violations(spark, inputs.bad_ledger_csv(spark, sf), schema, ["reference"])
+
+
+@query
+def card_violations(spark, sf):
+    return statements.card_violations(spark, inputs.bad_card_csv(spark, sf), comma=True, key=["Riferimento"]).drop("source_file")
+
+
+@query
+def bank_violations(spark, sf):
+    return statements.bank_violations(spark, inputs.bad_bank_csv(spark, sf), key=["riferimento"]).drop("source_file")
+
+
+@query
+def page_violations(spark, sf):
+    return statements.page_violations(inputs.bad_bank_cells(spark, sf))
+
+
+@query
+def manual_violations(spark, sf):
+    """Documents of order status P lack their amounts, those of status O hold one too many."""
+    return manual.manual_violations(manual.read_manual_documents(spark, inputs.bad_manual_json(spark, sf)))
+
+
 @query
 def load_manual_entries(spark, sf):
     return manual.manual_entries(manual.read_manual_documents(spark, inputs.manual_json(spark, sf)))

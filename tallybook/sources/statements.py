@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import normalise_header, parse_amount, parse_date
-from tallybook.schema import BANK_BLANK_PATCH, CARD_PAYMENT_MARK
+from tallybook.schema import BANK_BLANK_PATCH, CARD_PAYMENT_MARK, RAW_LEDGER
+from tallybook.sources.checked import Field, accept, check, violations
 from tallybook.sources.tables import provenance
 
 # Fixed patterns of the statement format.
@@ -140,55 +141,80 @@ def unpaired_files(paired: DataFrame) -> DataFrame:
     )
 
 
-def load_card_table(spark: SparkSession, path: str) -> DataFrame:
-    """Card statements as CSV: rows with any blank (totals, comments) go, dates are day first or null."""
+def _amount(column: str, comma: bool) -> Column:
+    """An amount as the file writes it.
+
+    ``1.234`` is a thousand and more only where the file is said to write a decimal comma; a value that
+    holds a comma is no plain number in any file.
+    """
+    return parse_amount(column) if comma else F.when(F.contains(F.col(column), F.lit(",")), parse_amount(column)).otherwise(F.col(column).try_cast("double"))
+
+
+def _days(fmt: str) -> list[Field]:
+    return [Field(c, F.col(c), parse_date(c, fmt), required=True) for c in ("txn_date", "booking_date")]
+
+
+def check_card_table(spark: SparkSession, path: str, comma: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Card statements as CSV: rows with a blank in any column (totals, comments) go, the others are typed and checked."""
     table = spark.read.csv(path, header=True, recursiveFileLookup=True)
     owner, source_file = provenance()
-    named = table.select(*[F.col(f"`{old}`").alias(new) for old, new in CARD_HEADERS.items()], owner, source_file)
-    return named.dropna("any", subset=list(CARD_HEADERS.values())).select(
-        parse_date("txn_date", "dd/MM/yyyy").alias("txn_date"),
-        parse_date("booking_date", "dd/MM/yyyy").alias("booking_date"),
-        "description",
-        F.coalesce(F.col("amount").try_cast("double"), parse_amount("amount")).alias("amount"),
-        "source_file",
-        "owner",
-    )
+    named = table.select("*", owner, source_file).dropna("any", subset=table.columns).withColumnsRenamed(CARD_HEADERS)
+    fields = [*_days("dd/MM/yyyy"), Field("amount", F.col("amount"), _amount("amount", comma), required=True)]
+    return check(named, fields, ["description", "source_file", "owner", *(carry or [])])
 
 
-def load_bank_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Bank exports as CSV: expenses only, amounts made positive.
+def load_card_table(
+    spark: SparkSession, path: str, comma: bool = False, strict: bool = False, observation: Observation | None = None
+) -> DataFrame:
+    """Raw ledger rows of card statements as CSV: complete rows only, dates day first.
 
-    An amount may be plain or have thousands and a decimal comma. A row whose amount cannot be read is
-    kept with a null amount; ``strict`` fails on it, as on a bad date.
+    ``comma`` says that the file writes amounts with a decimal comma, so that points mark thousands. What cannot be read is null and
+    listed by ``card_violations``; ``strict`` fails on it, ``observation`` counts it.
     """
+    return accept(check_card_table(spark, path, comma), RAW_LEDGER.fieldNames(), strict, observation)
+
+
+def card_violations(spark: SparkSession, path: str, comma: bool = False, key: list[str] | None = None) -> DataFrame:
+    """The values that ``load_card_table`` cannot read; ``key`` names further columns of the table that tell its rows apart."""
+    return violations(check_card_table(spark, path, comma, key), ["source_file", "owner", *(key or [])])
+
+
+def check_bank_table(spark: SparkSession, path: str, comma: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Bank exports as CSV: expenses and rows whose amount is missing or unreadable, typed and checked."""
     table = spark.read.csv(path, header=True, recursiveFileLookup=True)
     owner, source_file = provenance()
     with_source = table.select("*", owner, source_file)
     tidy = with_source.toDF(*[normalise_header(c) for c in with_source.columns]).drop(*BANK_DROPPED).withColumnsRenamed(BANK_HEADERS)
-    amount = F.coalesce(F.col("amount").try_cast("double"), parse_amount("amount"))
-    if strict:
-        amount = F.when(amount.isNull(), F.raise_error(F.concat(F.lit("bad amount: "), F.coalesce("amount", F.lit("none")))).cast("double")).otherwise(amount)
-    return tidy.filter(F.coalesce(amount <= 0, F.lit(True))).select(
-        parse_date("txn_date", "dd/MM/yyyy", strict).alias("txn_date"),
-        parse_date("booking_date", "dd/MM/yyyy", strict).alias("booking_date"),
-        "description",
-        F.abs(amount).alias("amount"),
-        "source_file",
-        "owner",
-    )
+    amount = _amount("amount", comma)
+    fields = [*_days("dd/MM/yyyy"), Field("amount", F.col("amount"), F.abs(amount), required=True)]
+    return check(tidy.filter(F.coalesce(amount <= 0, F.lit(True))), fields, ["description", "source_file", "owner", *(carry or [])])
 
 
-def load_bank_pages(
+def load_bank_table(
+    spark: SparkSession, path: str, strict: bool = False, comma: bool = False, observation: Observation | None = None
+) -> DataFrame:
+    """Bank exports as CSV: expenses only, amounts made positive.
+
+    ``comma`` says that the file writes amounts with a decimal comma, so that points mark thousands. A row whose amount cannot be read is
+    kept with a null amount. What cannot be read is listed by ``bank_violations``; ``strict`` fails on it, ``observation`` counts it.
+    """
+    return accept(check_bank_table(spark, path, comma), RAW_LEDGER.fieldNames(), strict, observation)
+
+
+def bank_violations(spark: SparkSession, path: str, comma: bool = False, key: list[str] | None = None) -> DataFrame:
+    """The values that ``load_bank_table`` cannot read; ``key`` names further columns of the export, as normalised."""
+    return violations(check_bank_table(spark, path, comma, key), ["source_file", "owner", *(key or [])])
+
+
+def check_bank_pages(
     cells: DataFrame,
     amount_header: str = BANK_AMOUNT_HEADER,
     drop_containing: str = CARD_PAYMENT_MARK,
     blank_patch: tuple[str, str, str] = BANK_BLANK_PATCH,
-    strict: bool = False,
 ) -> DataFrame:
-    """Raw ledger rows of bank page tables ``(file, owner, page, row_no, cells)``.
+    """Bank page tables ``(file, owner, page, row_no, cells)``: expenses and rows with an unreadable amount, typed and checked.
 
-    Row 0 of a page is skipped and row 1 names the columns; pages without the amount
-    column are ignored.
+    Row 0 of a page is skipped and row 1 names the columns; pages without the amount column are ignored.
     """
     headers = cells.filter("row_no = 1").select(
         "file", "owner", "page", F.array_position("cells", amount_header).cast("int").alias("amount_at")
@@ -196,21 +222,32 @@ def load_bank_pages(
     body = cells.filter("row_no > 1").join(headers, ["file", "owner", "page"]).select(
         F.col("file").alias("source_file"),
         "owner",
+        "page",
+        "row_no",
         F.try_element_at("cells", F.col("amount_at")).alias("spent"),
-        F.get("cells", F.lit(0)).alias("booking_text"),
-        F.get("cells", F.lit(1)).alias("txn_text"),
-        F.get("cells", F.lit(3)).alias("amount_text"),
+        F.get("cells", F.lit(0)).alias("booking_date"),
+        F.get("cells", F.lit(1)).alias("txn_date"),
+        F.get("cells", F.lit(3)).alias("amount"),
         F.try_element_at("cells", F.lit(-1)).alias("description"),
     )
-    kept = body.filter((F.col("spent") != "") & ~F.contains("description", F.lit(drop_containing)))
-    patches = dict(zip(("booking_text", "txn_text", "amount_text"), blank_patch))
-    blank = F.col("booking_text") == ""
+    # A page row without a last cell mentions no card payment.
+    kept = body.filter((F.col("spent") != "") & ~F.contains(F.coalesce("description", F.lit("")), F.lit(drop_containing)))
+    patches = dict(zip(("booking_date", "txn_date", "amount"), blank_patch))
+    blank = F.col("booking_date") == ""
     patched = kept.withColumns({c: F.when(blank, F.lit(p)).otherwise(F.col(c)) for c, p in patches.items()})
-    return patched.select(
-        parse_date("txn_text", "dd/MM/yy", strict).alias("txn_date"),
-        parse_date("booking_text", "dd/MM/yy", strict).alias("booking_date"),
-        "description",
-        parse_amount("amount_text").alias("amount"),
-        "source_file",
-        "owner",
-    ).filter("amount is null or amount <= 0").withColumn("amount", F.abs("amount"))
+    amount = parse_amount("amount")
+    fields = [*_days("dd/MM/yy"), Field("amount", F.col("amount"), F.abs(amount), required=True)]
+    return check(patched.filter(F.coalesce(amount <= 0, F.lit(True))), fields, ["description", "source_file", "owner", "page", "row_no"])
+
+
+def load_bank_pages(cells: DataFrame, strict: bool = False, observation: Observation | None = None, **layout) -> DataFrame:
+    """Raw ledger rows of bank page tables; ``layout`` as in ``check_bank_pages``.
+
+    What cannot be read is null and listed by ``page_violations``; ``strict`` fails on it, ``observation`` counts it.
+    """
+    return accept(check_bank_pages(cells, **layout), RAW_LEDGER.fieldNames(), strict, observation)
+
+
+def page_violations(cells: DataFrame, **layout) -> DataFrame:
+    """The values that ``load_bank_pages`` cannot read: ``(source_file, owner, page, row_no, column, value, problem)``."""
+    return violations(check_bank_pages(cells, **layout), ["source_file", "owner", "page", "row_no"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.scalars import ISO_DATE, parse_date
 from tallybook.schema import LEDGER
+from tallybook.sources.checked import CORRUPT, Field, accept, check, violations
 
 
 class EmptyLedger(ValueError):
@@ -25,9 +26,38 @@ def scan_ledger_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
-def scan_ledger_csv(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -> DataFrame:
-    """CSV with a header and ISO dates; the schema is given, so the file is read once."""
-    return spark.read.csv(path, schema=schema, header=True, dateFormat=ISO_DATE, escape='"')
+def check_ledger_csv(spark: SparkSession, path: str, schema: T.StructType = LEDGER, whole: bool = True) -> DataFrame:
+    """CSV with a header and ISO dates as typed rows with their problems: values that cannot be read, lines of another width.
+
+    The width of a line is known only where it is parsed ``whole``, whatever columns are used.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.option("columnPruning", str(not whole).lower())
+    lines = reader.csv(path, schema=text, header=True, escape='"', columnNameOfCorruptRecord=CORRUPT)
+    return check(lines, [_field(f) for f in schema], [], CORRUPT)
+
+
+def _field(f: T.StructField) -> Field:
+    text = F.col(f.name)
+    if isinstance(f.dataType, T.StringType):
+        return Field(f.name, text, text)
+    return Field(f.name, text, parse_date(f.name, ISO_DATE) if isinstance(f.dataType, T.DateType) else text.try_cast(f.dataType))
+
+
+def scan_ledger_csv(
+    spark: SparkSession, path: str, schema: T.StructType = LEDGER, strict: bool = False, observation: Observation | None = None
+) -> DataFrame:
+    """CSV with a header and ISO dates; the schema is given, so the file is read once.
+
+    What cannot be read is null and listed by ``csv_violations``; ``strict`` fails on it, ``observation`` counts it.
+    """
+    checked = check_ledger_csv(spark, path, schema, whole=strict or observation is not None)
+    return accept(checked, schema.fieldNames(), strict, observation)
+
+
+def csv_violations(spark: SparkSession, path: str, schema: T.StructType = LEDGER, key: list[str] | None = None) -> DataFrame:
+    """The values and lines that ``scan_ledger_csv`` cannot read: ``(*key, column, value, problem)``."""
+    return violations(check_ledger_csv(spark, path, schema), key or [])
 
 
 def type_dates(rows: DataFrame, columns: list[str], strict: bool = False) -> DataFrame:
