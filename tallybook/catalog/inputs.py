@@ -317,6 +317,14 @@ def rules_json(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def unnumbered_rules_json(spark: SparkSession, sf_dir: str) -> str:
+    """The part rules as JSON documents without their number, in several files that stand in order."""
+    path = scratch_path(spark, "rules-unnumbered")
+    ordered = part_rules(spark, sf_dir).repartitionByRange(5, "rule_ord").sortWithinPartitions("rule_ord")
+    ordered.drop("rule_ord").write.json(path)
+    return path
+
+
 def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows as text with a bad date on returned status-F lines, an unknown owner on status-N ones."""
     items = ledger_items(spark, sf_dir)

@@ -163,6 +163,8 @@ rules AS (SELECT CAST(p_partkey + 1 AS INTEGER) AS rule_ord, name, {CASE_CLASS}
 RULES = f"WITH {PART_RULES}"
 ORACLES["scan_rules"] = f"{RULES} SELECT {RULE_COLS} FROM rules"
 
+ORACLES["scan_rules_ordered"] = f"{RULES} SELECT * REPLACE (CAST(ROW_NUMBER() OVER (ORDER BY rule_ord) AS INTEGER) AS rule_ord) FROM (SELECT {RULE_COLS} FROM rules) r"
+
 # --- filters and expectations
 
 ORACLES["filter_personal"] = f"{LED} SELECT {RAW} FROM led WHERE source_file <> 'spesa individuale'"

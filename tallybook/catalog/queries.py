@@ -149,6 +149,11 @@ def scan_rules(spark, sf):
     return inputs.flat_rules(rule_store.scan_rules(spark, inputs.rules_json(spark, sf)))
 
 
+@query
+def scan_rules_ordered(spark, sf):
+    return inputs.flat_rules(rule_store.scan_rules_ordered(spark, inputs.unnumbered_rules_json(spark, sf)))
+
+
 # --- filters and expectations -----------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from tallybook.operators import filters, rules as R
 from tallybook.plans.load import LedgerError, load_ledger
+from tallybook.sources import rule_store
 from tests.conftest import rows_of
 
 
@@ -126,3 +127,26 @@ def test_load_filters_history_only_and_drops_exceptions(raw, rules):
     new = raw([("2001-01-03", "x", 3, "spesa individuale"), ("2001-01-03", "cartimpronta", 3)])
     table = rules([("X", "casa", ["x"]), ("CARTA", "casa", ["cartimpronta"], True)])
     assert sorted(rows_of(load_ledger(history, new, rules=table, include_personal=False), "amount")) == [(2.0,), (3.0,)]
+
+
+def test_rules_keep_document_order_over_files_and_splits(spark, tmp_path):
+    names = []
+    for f, n in (("b.json", 700), ("a.json", 900), ("c.json", 1), ("empty.json", 0)):
+        (tmp_path / f).write_text("".join('{"name": "%s%04d", "classification": "casa", "descriptions": ["x%d"]}\n%s' % (f, i, i, "\n" * (i % 3 == 0)) for i in range(n)))
+        names += [(f, i) for i in range(n)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = rule_store.scan_rules_ordered(spark, str(tmp_path))
+        assert rows_of(got.orderBy("rule_ord"), "rule_ord", "name") == [(k, f"{f}{i:04d}") for k, (f, i) in enumerate(sorted(names), start=1)]
+        assert got.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rules_of_a_document_store_keep_its_order(spark, tmp_path):
+    (tmp_path / "db.json").write_text(
+        '{"_default": {}, "standardized_descriptions": {"10": {"name": "B", "classification": "casa", "descriptions": ["b"], "web": true},\n"2": {"name": "A", "classification": "auto"}}}'
+    )
+    got = rule_store.scan_rules_document(spark, str(tmp_path / "db.json"))
+    assert rows_of(got.orderBy("rule_ord"), "rule_ord", "name", "descriptions", "web", "essential") == [(1, "B", ["b"], True, 0), (2, "A", [], False, 0)]
