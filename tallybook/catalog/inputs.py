@@ -59,6 +59,7 @@ def ledger_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
+        "l_discount",
     )
 
 
@@ -68,6 +69,11 @@ def part_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_items(spark, sf_dir).withColumn("description", named).select(*RAW_LEDGER.fieldNames())
 
 
+def discount_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each order line was reduced by, in units with four decimals."""
+    return ledger_items(spark, sf_dir).select("txn_date", "owner", (F.col("amount") * F.col("l_discount")).alias("amount"))
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_items(spark, sf_dir).select(*RAW_LEDGER.fieldNames())
 

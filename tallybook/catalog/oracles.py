@@ -19,7 +19,7 @@ OWNER = "CASE WHEN l_linestatus = 'F' THEN 'owner_a' ELSE 'owner_b' END"
 ITEMS = f"""items AS (
   SELECT CAST(o_orderdate AS DATE) AS txn_date, CAST(l_shipdate AS DATE) AS booking_date, p_name AS description,
          l_extendedprice AS amount, {SOURCE} AS source_file, {OWNER} AS owner,
-         l_returnflag, l_linestatus, l_orderkey, l_linenumber, l_partkey
+         l_returnflag, l_linestatus, l_orderkey, l_linenumber, l_partkey, l_discount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -245,6 +245,12 @@ def series_cte(name: str, grain: str, source: str, where: str = "true", by: str
 for _g in "DWM":
     ORACLES[f"resample_{_g.lower()}"] = f"{LED}, {series_cte('r', _g, 'led')} SELECT bucket, total FROM r"
 
+# Whole hundredths times whole hundredths, so that no sum is ever rounded.
+ORACLES["resample_discounts"] = f"""WITH {ITEMS},
+sums AS (SELECT owner, txn_date, SUM(CAST(round(amount * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) AS v FROM items GROUP BY ALL),
+days AS (SELECT owner, CAST(UNNEST(generate_series(MIN(txn_date), MAX(txn_date), INTERVAL 1 DAY)) AS DATE) AS bucket FROM sums GROUP BY owner)
+SELECT d.owner, d.bucket, COALESCE(CAST(v AS BIGINT), 0) / 10000 AS total FROM days d LEFT JOIN sums s ON s.owner = d.owner AND s.txn_date = d.bucket"""
+
 REPORT = between(CTX.report_window)
 DESCRIBE_STATS = {
     "count": "CAST(COUNT(total) AS DOUBLE)", "mean": "AVG(total)", "std": "STDDEV_SAMP(total)", "min": "MIN(total)",

@@ -287,6 +287,12 @@ def resample_m(spark, sf):
     return series.resample(inputs.stored_ledger(spark, sf), "M")
 
 
+@query
+def resample_discounts(spark, sf):
+    """Daily sums of amounts with four decimals."""
+    return series.resample(inputs.discount_ledger(spark, sf), "D", by=["owner"])
+
+
 @query
 def describe_series(spark, sf):
     return reports.describe_series(inputs.stored_ledger(spark, sf), CTX)

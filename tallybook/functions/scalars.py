@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tallybook.schema import MONTH_NAMES_IT
 
-MONEY = "decimal(18,2)"
+# Amounts are added up as exact decimals: 26 digits before the point, and more after it than any currency has.
+MONEY = "decimal(38,12)"
+# For sums of a few columns, which need a digit more each.
+CELL = "decimal(34,12)"
 ISO_DATE = "yyyy-MM-dd"
 
 
@@ -16,10 +19,29 @@ def col(c: str | Column) -> Column:
 
 
 def money(c: str | Column) -> Column:
-    """An amount as exact decimal, so that sums do not depend on row order."""
+    """An amount as exact decimal, so that sums do not depend on row order.
+
+    A double becomes the shortest decimal that stands for it, kept to twelve decimals. One too large to be kept fails the
+    job instead of giving null; ``money_problem`` names such values. NaN is no amount.
+    """
     return col(c).cast(MONEY)
 
 
+def zero() -> Column:
+    return F.lit(0).cast(MONEY)
+
+
+def money_problem(c: str | Column) -> Column:
+    """Null, or why a double is not kept exactly by :func:`money`."""
+    value = col(c).cast("double")
+    kept = value.try_cast(MONEY)
+    return (
+        F.when(F.isnan(value), "no number")
+        .when(value.isNotNull() & kept.isNull(), "too large")
+        .when(kept.cast("double") != value, "more than 12 decimals")
+    )
+
+
 def total(c: str | Column) -> Column:
     return F.sum(money(c))
 

@@ -165,7 +165,7 @@ def stamp_duty(ledger: DataFrame, after: str, threshold: str, fee: str, label: s
     files = ledger.groupBy("source_file", "owner").agg(
         F.min("txn_date").alias("txn_date"), F.sum(money("amount")).alias("file_total")
     )
-    due = files.filter((F.col("txn_date") > F.lit(after).cast("date")) & (F.col("file_total") > F.lit(threshold).cast("decimal(18,2)")))
+    due = files.filter((F.col("txn_date") > F.lit(after).cast("date")) & (F.col("file_total") > money(F.lit(threshold))))
     return due.select(
         "txn_date",
         F.col("txn_date").alias("booking_date"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import to_date
-from tallybook.functions.scalars import total, zero_if_null
+from tallybook.functions.scalars import money, total, zero, zero_if_null
 
 # grain -> (first day of the bucket, step between buckets, label of the bucket)
 GRAINS = {
@@ -55,7 +55,7 @@ def resample(
     sums = (
         ledger.filter(F.col(day).isNotNull())
         .groupBy(*by, bucket_start(day, grain).alias("bucket"))
-        .agg(F.coalesce(total(value), F.lit(0).cast("decimal(28,2)")).alias(name))
+        .agg(F.coalesce(total(value), zero()).alias(name))
     )
     filled = fill_gaps(sums, grain, name, by=by)
     return filled.select(*by, bucket_label("bucket", grain).alias("bucket"), F.col(name).cast("double").alias(name))
@@ -84,7 +84,7 @@ def trend_and_mean(series: DataFrame, by: list[str], value: str = "total", bucke
         F.round(slope, digits).alias("slope"),
         F.round(intercept, digits).alias("intercept"),
         F.round(intercept + slope * F.col("position"), digits).alias("fitted"),
-        F.bround(F.avg(F.col(value).cast("decimal(24,6)")).over(whole), 0).cast("double").alias("mean"),
+        F.bround(F.avg(money(value)).over(whole), 0).cast("double").alias("mean"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.dates import AsOf, check_range, to_date
-from tallybook.functions.scalars import month_name, null_if_zero, short_label, total
+from tallybook.functions.scalars import money, month_name, null_if_zero, short_label, total, zero
 from tallybook.operators.filters import in_range
 from tallybook.operators.series import month_ends_within, resample, trend_and_mean
 from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB
@@ -32,7 +32,7 @@ def channel_share(ledger: DataFrame, channels: tuple[str, ...] = (CHANNEL_SHOP,
     """Share of the amount by channel in percent; listed channels are always present."""
     sums = ledger.groupBy("channel").agg(total("amount").alias("amount"))
     listed = small_table(ledger.sparkSession, [(c,) for c in channels], T.StructType([T.StructField("channel", T.StringType())]))
-    padded = sums.unionByName(listed.withColumn("amount", F.lit(0).cast("decimal(28,2)"))).groupBy("channel").agg(
+    padded = sums.unionByName(listed.withColumn("amount", zero())).groupBy("channel").agg(
         F.sum("amount").cast("double").alias("total")
     )
     # One row per channel is left.
@@ -85,17 +85,17 @@ def class_series(ledger: DataFrame, start: str | date, end: str | date, digits:
         .agg(total("amount").alias("amount"))
     )
     # From here on there is one row per class and month at most.
-    classes = sums.groupBy("classification").agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(38,2)").alias("in_range"))
+    classes = sums.groupBy("classification").agg(F.coalesce(F.sum("amount"), zero()).alias("in_range"))
     ranked = classes.select(
         "classification",
         F.sum("in_range").over(Window.partitionBy()).cast("double").alias("range_total"),
         F.row_number().over(Window.orderBy(F.desc("in_range"), "classification")).alias("class_rank"),
     )
-    blank = classes.select("classification", F.explode(month_ends_within(start, end)).alias("bucket"), F.lit(0).cast("decimal(28,2)").alias("amount"))
+    blank = classes.select("classification", F.explode(month_ends_within(start, end)).alias("bucket"), zero().alias("amount"))
     shown = sums.filter(F.col("bucket") <= F.lit(to_date(end))).unionByName(blank).groupBy("classification", "bucket").agg(
         F.sum("amount").cast("double").alias("total")
     )
-    with_totals = shown.withColumn("class_total", F.sum(F.col("total").cast("decimal(28,2)")).over(Window.partitionBy("classification")).cast("double"))
+    with_totals = shown.withColumn("class_total", F.sum(money("total")).over(Window.partitionBy("classification")).cast("double"))
     share = F.try_divide(F.col("class_total"), F.col("range_total")) * 100
     return with_totals.join(ranked, "classification").select(
         "classification", "bucket", "total", "class_total", F.round(share, digits).alias("share_pct"), "class_rank"
@@ -106,7 +106,7 @@ def class_cumsum(series: DataFrame) -> DataFrame:
     """Running total of each classification."""
     so_far = Window.partitionBy("classification").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return series.select(
-        "classification", "bucket", "total", F.sum(F.col("total").cast("decimal(28,2)")).over(so_far).cast("double").alias("running_total")
+        "classification", "bucket", "total", F.sum(money("total")).over(so_far).cast("double").alias("running_total")
     )
 
 
@@ -136,7 +136,7 @@ def year_compare(ledger: DataFrame, start: str | date, end: str | date, classifi
 def year_cumsum(ledger: DataFrame, start: str | date, end: str | date, classification: str | None = None) -> DataFrame:
     """Running total within each year; null where the month itself is null."""
     so_far = Window.partitionBy("year").orderBy("month_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum(F.col("total").cast("decimal(28,2)")).over(so_far).cast("double")
+    running = F.sum(money("total")).over(so_far).cast("double")
     return year_months(ledger, start, end, classification).select(
         "year", "month_no", "total", F.when(F.col("total").isNotNull(), running).alias("running_total")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import AsOf
+from tallybook.functions.scalars import money
 from tallybook.operators.filters import slice_by_index, split_periods
 from tallybook.operators.series import resample
 
@@ -45,7 +46,7 @@ def numeric_profile(series: DataFrame, by: list[str], value: str = "total", digi
     )
     stats = series.groupBy(*by).agg(
         F.percentile(value, 0.5).alias("median"),
-        F.avg(value).alias("mean"),
+        F.avg(money(value)).cast("double").alias("mean"),
         _skewness(value).alias("skewness"),
         F.count(value).cast("double").alias("count"),
         F.stddev_samp(value).alias("std"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import AsOf, check_range
-from tallybook.functions.scalars import month_name, percent_text, total, zero_if_null
+from tallybook.functions.scalars import CELL, money, month_name, percent_text, total, zero, zero_if_null
 from tallybook.operators.filters import in_range
 from tallybook.operators.rules import groups_table, map_category
 from tallybook.operators.series import bucket_label, bucket_start, fill_gaps, forecast_months, resample
@@ -24,7 +24,7 @@ def daily_totals(ledger: DataFrame) -> DataFrame:
     Its size is bounded by the calendar and the classifications, so a bundle of reports
     over it reads the ledger once.
     """
-    return ledger.groupBy("txn_date", "classification").agg(total("amount").cast("double").alias("amount"))
+    return ledger.groupBy("txn_date", "classification").agg(total("amount").alias("amount"))
 
 
 def describe_columns(value: str) -> list[Column]:
@@ -43,7 +43,7 @@ def describe_columns(value: str) -> list[Column]:
 def describe_series(ledger: DataFrame, as_of: AsOf | str | date, digits: int = 4) -> DataFrame:
     """Statistics of the daily, weekly and monthly sums side by side: ``(statistic, day, week, month)``."""
     rows = in_range(ledger, *AsOf.of(as_of).report_window)
-    daily = rows.groupBy("txn_date").agg(total("amount").cast("double").alias("amount"))
+    daily = rows.groupBy("txn_date").agg(total("amount").alias("amount"))
     series = None
     for grain, label in (("D", "day"), ("W", "week"), ("M", "month")):
         one = resample(daily, grain).select(F.lit(label).alias("grain"), "total")
@@ -61,7 +61,7 @@ def monthly_totals(ledger: DataFrame, as_of: AsOf | str | date) -> DataFrame:
 
 def _sum_between(start: date, end: date) -> Column:
     inside = F.col("txn_date").between(F.lit(start), F.lit(end))
-    return F.coalesce(F.sum(F.when(inside, F.col("amount").cast("decimal(18,2)"))), F.lit(0).cast("decimal(28,2)"))
+    return F.coalesce(F.sum(F.when(inside, money("amount"))), zero())
 
 
 def change_percent(current: Column, previous: Column) -> Column:
@@ -120,11 +120,11 @@ def expense_matrix(
     )
     mapping = groups_table(ledger.sparkSession, groups).select("grp", "classification").distinct()
     by_group = sums.join(mapping, "classification").groupBy("grp", "bucket").agg(
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("amount")
+        F.coalesce(F.sum("amount"), zero()).alias("amount")
     )
     months = fill_gaps(by_group, "M", "amount", by=["grp"]).withColumn("bucket", bucket_label("bucket", "M"))
     cells = months.groupBy("bucket").pivot("grp", list(groups)).agg(F.sum("amount"))
-    parts = [F.coalesce(F.col(f"`{g}`"), F.lit(0).cast("decimal(28,2)")) for g in groups]
+    parts = [F.coalesce(F.col(f"`{g}`"), zero()).cast(CELL) for g in groups]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole + p
@@ -148,7 +148,7 @@ def with_mean_row(matrix: DataFrame, digits: int = 2) -> DataFrame:
     """Months as text plus a footer row with the column means, all values rounded half even."""
     columns = [c for c in matrix.columns if c != "bucket"]
     # Decimal means, because a mean of doubles depends on row order where it ties.
-    means = [F.bround(F.avg(F.col(f"`{c}`").cast("decimal(24,6)")), digits).cast("double").alias(c) for c in columns]
+    means = [F.bround(F.avg(money(f"`{c}`")), digits).cast("double").alias(c) for c in columns]
     footer = matrix.agg(*means).withColumn("bucket", F.lit(MEAN_LABEL))
     shown = matrix.select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), *[F.bround(f"`{c}`", digits).alias(c) for c in columns])
     return shown.unionByName(footer)
@@ -231,14 +231,13 @@ def budget_delta(ledger: DataFrame, as_of: AsOf | str | date, year: int | None =
     is_now = F.year("txn_date") == year
     before_cut = F.month("txn_date") <= cut
     kept = rows.filter(before_cut if consistent_ytd else is_now | before_cut)
-    amount = F.col("amount").cast("decimal(18,2)")
+    amount = money("amount")
     sums = kept.groupBy("classification").agg(
         F.sum(F.when(is_now, amount)).alias("now"), F.sum(F.when(~is_now, amount)).alias("before")
     )
     mapped = map_category(sums, groups_table(ledger.sparkSession, groups)).withColumn("category", F.coalesce("category", F.lit(UNMAPPED)))
-    zero = F.lit(0).cast("decimal(28,2)")
     rolled = mapped.rollup("category").agg(
-        F.coalesce(F.sum("now"), zero).alias("now"), F.coalesce(F.sum("before"), zero).alias("before"), F.grouping("category").alias("overall")
+        F.coalesce(F.sum("now"), zero()).alias("now"), F.coalesce(F.sum("before"), zero()).alias("before"), F.grouping("category").alias("overall")
     )
     return rolled.select(
         F.when(F.col("overall") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("category")).alias("category"),

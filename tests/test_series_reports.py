@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.facade import Ledger, Report, Rules
+from tallybook.functions.scalars import money_problem
 from tallybook.operators import series as S
 from tallybook.plans import dashboard as D, reports as R
 from tallybook.schema import CATEGORY_GROUPS, MONTH_NAMES_IT
@@ -183,3 +184,33 @@ def test_dashboard_bundle_is_complete(tagged):
     parts = Report.dashboard(random_ledger(tagged), "2024-06-10")
     assert len(parts) == 11 and all(len(p.columns) > 1 for p in parts.values())
     assert parts["flag_trend"].count() > 0
+
+
+def test_sums_are_exact_whatever_the_order_and_size(spark):
+    day = "date'2024-01-01' as txn_date"
+    small = spark.range(1000).selectExpr(day, "0.004D as amount")
+    assert rows_of(S.resample(small, "D"), "total") == [(4.0,)]
+    large = spark.range(3).selectExpr(day, "1e16D as amount").unionByName(spark.range(5).selectExpr(day, "0.004D as amount"))
+    assert rows_of(S.resample(large, "D"), "total") == [(3e16,)]
+    cancel = spark.createDataFrame([(1e16,), (0.25,), (-1e16,), (1e-9,)] * 3, "amount double").selectExpr(day, "amount")
+    for frame in (cancel, cancel.orderBy("amount"), cancel.orderBy(F.desc("amount")).coalesce(1)):
+        assert rows_of(S.resample(frame, "D"), "total") == [(0.750000003,)]
+    assert rows_of(S.resample(spark.range(1).selectExpr(day, "double('nan') as amount"), "D"), "total") == [(0.0,)]
+    with pytest.raises(Exception):
+        S.resample(spark.range(1).selectExpr(day, "1e27D as amount"), "D").collect()
+
+
+def test_amounts_that_are_not_kept_are_named(spark):
+    frame = spark.createDataFrame([(1.5,), (1e-13,), (1e27,), (float("inf"),), (float("nan"),), (None,), (0.1 + 0.2,), (-1e25,)], "amount double")
+    got = [r[0] for r in rows_of(frame.select(money_problem("amount")))]
+    assert got == [None, "more than 12 decimals", "too large", "too large", "no number", None, "more than 12 decimals", None]
+
+
+def test_reports_keep_fractions_of_a_cent(tagged):
+    led = tagged([(f"2024-05-{1 + i % 28:02d}", "X", 0.004, "casa") for i in range(500)] + [("2024-05-03", "Y", 1e16, "auto")])
+    got = dict(rows_of(R.class_summary(led, "2024-06-10"), "classification", "total"))
+    assert got == {"casa": 2.0, "auto": 1e16}
+    daily = R.daily_totals(led)
+    assert rows_of(R.expense_matrix(daily, "2024-06-10"), "per_casa", "Totale") == [(2.0, 1e16 + 2)]
+    assert rows_of(R.budget_delta(daily, "2024-06-10").filter("category = 'per_casa'"), "this_year") == [(2.0,)]
+    assert {r[0]: r[1] for r in rows_of(D.class_cumsum(D.class_series(led, "2024-05-01", "2024-05-31")), "classification", "running_total")} == {"casa": 2.0, "auto": 1e16}
