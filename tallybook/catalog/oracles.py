@@ -507,6 +507,9 @@ ORACLES["rules_add_term"] = f"{RULES} " + rules_select(
 ONE_LESS = "CASE WHEN p_size > 25 THEN other || '|' || full_term ELSE sku END"
 ORACLES["rules_remove_term"] = f"{RULES} " + rules_select(descriptions=f"CASE WHEN p_type IN ('PROMO', 'LARGE') THEN {ONE_LESS} ELSE descriptions END")
 ORACLES["rules_rename"] = f"{RULES} " + rules_select(name="CASE WHEN p_type = 'SMALL' THEN name || ' BIS' ELSE name END")
+# The name that ECONOMY parts take is handed on from part to part, up to the one after the last.
+ORACLES["rules_rename_chain"] = f"{RULES} " + rules_select(name="""CASE p_type WHEN 'SMALL' THEN name || ' TER' WHEN 'LARGE' THEN name || ' BIS'
+  WHEN 'ECONOMY' THEN 'LINK ' || (SELECT MAX(p_partkey) + 1 FROM part) ELSE name END""")
 ORACLES["rules_remove"] = f"{RULES} {rules_select()} WHERE p_size > 20"
 ORACLES["rules_clear_exceptions"] = f"""{RULES} {rules_select()}
 WHERE NOT update_exception OR name = (SELECT MIN(name) FROM rules WHERE update_exception)"""

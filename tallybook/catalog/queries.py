@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -614,6 +614,26 @@ def rules_rename(spark, sf):
     return inputs.flat_rules(rule_changes.rename_rules(inputs.part_rules(spark, sf), renames))
 
 
+@query
+def rules_rename_chain(spark, sf):
+    """SMALL parts are renamed twice in a row, LARGE ones in the wrong order, PROMO ones back again; ECONOMY ones pass one name down the table."""
+    part = _names_of(spark, sf, "true")
+    at = lambda step: F.col("seq") * 10 + step
+    link = lambda step: F.concat(F.lit("LINK "), (F.col("p_partkey") + step).cast("string"))
+
+    def rename(kind: str, step: int, old: Column, new: Column) -> Column:
+        return F.when(F.col("p_type") == kind, F.struct(at(step).cast("bigint").alias("seq"), old.alias("name"), new.alias("new_name")))
+
+    name, bis, ter = F.col("name"), F.concat("name", F.lit(" BIS")), F.concat("name", F.lit(" TER"))
+    handed_on = F.struct(at(5).cast("bigint").alias("seq"), link(0).alias("name"), link(1).alias("new_name"))
+    steps = F.array(
+        rename("SMALL", 1, name, bis), rename("SMALL", 2, bis, ter), rename("LARGE", 1, bis, ter), rename("LARGE", 2, name, bis),
+        rename("PROMO", 1, name, bis), rename("PROMO", 2, bis, name), rename("PROMO", 3, bis, ter), rename("ECONOMY", 1, name, link(0)), handed_on,
+    )
+    renames = part.select(F.explode(F.filter(steps, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return inputs.flat_rules(rule_changes.rename_rules(inputs.part_rules(spark, sf), renames))
+
+
 @query
 def rules_remove(spark, sf):
     return inputs.flat_rules(rule_changes.remove_rules(inputs.part_rules(spark, sf), _names_of(spark, sf, "p_size <= 20")))

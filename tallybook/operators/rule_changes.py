@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.schema import KEPT_EXCEPTION, RULES
-from tallybook.session import as_lookup
+from tallybook.session import as_lookup, staged
 from tallybook.sources.rule_store import with_defaults
 
 OPS = ["insert", "update", "add_term", "remove_term", "remove"]
@@ -72,21 +72,40 @@ def add_terms(rules: DataFrame, adds: DataFrame) -> DataFrame:
     return rules.join(grouped, "name", "left").withColumn("descriptions", F.concat("descriptions", extra)).select(*RULES.fieldNames())
 
 
-def _keep_after(terms: Column, drops: Column) -> Column:
-    """The terms without the first ``drops[term]`` occurrences of each."""
-    return F.filter(
-        terms,
-        lambda t, i: F.size(F.filter(F.slice(terms, F.lit(1), i + 1), lambda u: u == t))
-        > F.coalesce(F.try_element_at(drops, t), F.lit(0)),
-    )
+def _entries(rules: DataFrame, terms: str = "descriptions") -> DataFrame:
+    """One row per term of a rule: ``(rule_ord, name, later, place, term)``; terms added afterwards have ``later`` 1."""
+    return rules.select("rule_ord", "name", F.lit(0).alias("later"), F.posexplode(terms).alias("place", "term")).withColumn("place", F.col("place").cast("bigint"))
+
+
+def _without_first(entries: DataFrame, balance: DataFrame) -> DataFrame:
+    """The terms that are left of each rule: ``(rule_ord, name, terms)``.
+
+    Equal terms of a rule are ranked; of ``removals`` requests ``removals + least(0, held + low)`` take effect, with
+    ``held`` the occurrences at the start, and that many go from the front. A rule without terms left has no row.
+    """
+    same = Window.partitionBy("rule_ord", "name", "term")
+    ranked = entries.withColumns({
+        "rank": F.row_number().over(same.orderBy("later", "place")), "held": F.count_if(F.col("later") == 0).over(same),
+    })
+    drops = F.coalesce(F.col("removals") + F.least(F.lit(0), F.col("held") + F.col("low")), F.lit(0))
+    kept = ranked.join(as_lookup(balance), ["name", "term"], "left").filter(F.col("rank") > drops)
+    listed = kept.groupBy("rule_ord", "name").agg(F.array_sort(F.collect_list(F.struct("later", "place", "term"))).alias("listed"))
+    return listed.select("rule_ord", "name", F.transform("listed", lambda t: t["term"]).alias("terms"))
+
+
+def _with_terms(rules: DataFrame, touched: DataFrame, left: DataFrame) -> DataFrame:
+    """Put the terms that are left into the rules whose names are ``touched``; the others keep theirs."""
+    marked = rules.join(as_lookup(touched.select("name", F.lit(True).alias("touched")).distinct()), "name", "left")
+    joined = marked.join(as_lookup(left), ["rule_ord", "name"], "left")
+    terms = F.when(F.col("touched").isNull(), F.col("descriptions")).otherwise(F.coalesce("terms", F.array().cast("array<string>")))
+    return joined.withColumn("descriptions", terms).select(*RULES.fieldNames())
 
 
 def remove_terms(rules: DataFrame, removals: DataFrame) -> DataFrame:
-    """Take out the first occurrence of a term per request ``(name, term)``."""
-    counts = removals.groupBy("name", "term").agg(F.count("*").alias("n"))
-    drops = counts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("drops"))
-    kept = F.when(F.col("drops").isNull(), F.col("descriptions")).otherwise(_keep_after(F.col("descriptions"), F.col("drops")))
-    return rules.join(drops, "name", "left").withColumn("descriptions", kept).select(*RULES.fieldNames())
+    """Take out the first occurrence of a term per request ``(name, term)``. Only the rules asked for are taken apart."""
+    counts = removals.groupBy("name", "term").agg(F.count("*").alias("removals")).withColumn("low", -F.col("removals"))
+    asked = rules.join(as_lookup(removals.select("name").distinct()), "name", "left_semi")
+    return _with_terms(rules, removals, _without_first(_entries(asked), counts))
 
 
 def missing_terms(rules: DataFrame, removals: DataFrame) -> DataFrame:
@@ -102,11 +121,30 @@ def missing_terms(rules: DataFrame, removals: DataFrame) -> DataFrame:
     )
 
 
+def resolve_renames(renames: DataFrame) -> DataFrame:
+    """What a name in use at the start ends up as, after ``renames(seq, name, new_name)`` one by one: ``(name, new_name)``.
+
+    A request hands its rule on to the first later request for the name it gave. Chains of requests are shortened by
+    pointer jumping, so a chain of n requests takes about log2(n) joins. Of several requests for a name the first counts:
+    after it, nothing has that name.
+    """
+    steps = renames.groupBy("name", "seq").agg(F.min("new_name").alias("new_name"))
+    asked = steps.select(F.col("name").alias("key"), "seq", F.col("seq").alias("asked_at"), *[F.lit(None).cast("string").alias(c) for c in ("name", "new_name")])
+    given = steps.select(F.col("new_name").alias("key"), "seq", F.lit(None).cast("bigint").alias("asked_at"), "name", "new_name")
+    later = Window.partitionBy("key").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    linked = asked.unionByName(given).withColumn("next_seq", F.min("asked_at").over(later))
+    links = staged(linked.filter("name is not null").select("name", "seq", "new_name", "next_seq"), "renames")
+    while not links.filter("next_seq is not null").isEmpty():
+        onward = links.select(F.col("name").alias("via"), F.col("seq").alias("via_seq"), F.col("new_name").alias("to"), F.col("next_seq").alias("to_seq"))
+        jumped = links.join(onward, (links.new_name == onward.via) & (links.next_seq == onward.via_seq), "left")
+        links = staged(jumped.select("name", "seq", F.coalesce("to", "new_name").alias("new_name"), F.col("to_seq").alias("next_seq")), "renames")
+    return links.groupBy("name").agg(F.min_by("new_name", "seq").alias("new_name"))
+
+
 def rename_rules(rules: DataFrame, renames: DataFrame) -> DataFrame:
-    """Give rules a new name: ``renames(name, new_name[, seq])``. Of several requests for a name the first counts: after it, nothing has that name."""
-    first = F.min_by("new_name", "seq") if "seq" in renames.columns else F.min("new_name")
-    one = renames.groupBy("name").agg(first.alias("new_name"))
-    return rules.join(one, "name", "left").withColumn("name", F.coalesce("new_name", "name")).select(*RULES.fieldNames())
+    """Give rules a new name: ``renames(name, new_name[, seq])``, one after the other by ``seq``, or all at once without it."""
+    one = resolve_renames(renames) if "seq" in renames.columns else renames.groupBy("name").agg(F.min("new_name").alias("new_name"))
+    return rules.join(as_lookup(one), "name", "left").withColumn("name", F.coalesce("new_name", "name")).select(*RULES.fieldNames())
 
 
 def rename_clashes(rules: DataFrame, renames: DataFrame) -> DataFrame:
@@ -145,7 +183,11 @@ def _term_balance(effective: DataFrame) -> DataFrame:
     return shifted.groupBy("name", "term").agg(F.sum("removals").alias("removals"), F.least(F.lit(0), F.min("low")).alias("low"))
 
 
-def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
+class ChangesRefused(ValueError):
+    """A change-set needs splitting or cannot work."""
+
+
+def apply_rule_changes(rules: DataFrame, changes: DataFrame, strict: bool = False) -> DataFrame:
     """Apply a change-set (:data:`CHANGES`) in sequence order within each name, then the renames.
 
     Nothing is replayed row by row. A rule's life ends at its last ``remove`` and starts
@@ -153,7 +195,13 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     A removal takes the earliest occurrence of its term and fails if there is none, so
     of ``removals`` requests ``removals + least(0, held + low)`` take effect, with
     ``held`` the occurrences at the start and ``low`` the lowest running balance.
+    ``strict`` raises on a set that :func:`change_violations` objects to, before anything is applied.
     """
+    changes = staged(changes.select(*CHANGES.fieldNames()), "changes")
+    if strict:
+        found = change_violations(rules, changes).take(5)
+        if found:
+            raise ChangesRefused("; ".join(f"{r['name']}: {r['problem']}" for r in found))
     edits = changes.filter(F.col("op").isin(OPS))
     removed = edits.filter("op = 'remove'").groupBy("name").agg(F.max("seq").alias("removed_at"))
     known = rules.select("name", F.lit(True).alias("known")).distinct()
@@ -164,42 +212,31 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
         F.min("seq").alias("from_seq"), *[F.min_by(f, "seq").alias(f) for f in docs]
     )
     base = _next_ord(rules)
-    newborn = with_defaults(born.select((F.lit(base) + F.col("from_seq")).cast("int").alias("rule_ord"), "name", *docs))
-    newborn = newborn.join(born.select("name", "from_seq"), "name")
-    survivors = rules.join(removed, "name", "left_anti").withColumn("from_seq", F.lit(-1).cast("bigint"))
-    alive = survivors.unionByName(newborn)
+    newborn = with_defaults(born.select((F.lit(base) + F.col("from_seq")).cast("int").alias("rule_ord"), "name", *docs, "from_seq"), "from_seq")
+    survivors = rules.join(as_lookup(removed), "name", "left_anti").select(*RULES.fieldNames(), F.lit(-1).cast("bigint").alias("from_seq"))
+    # Written once, as the terms and the other fields of a rule go separate ways from here.
+    alive = staged(survivors.unionByName(newborn), "rules")
 
     starts = alive.groupBy("name").agg(F.max("from_seq").alias("from_seq"))
     live = edits.filter(F.col("op").isin("update", "add_term", "remove_term")).join(as_lookup(starts), "name").filter("seq > from_seq").drop("from_seq")
-    given = live.filter("op = 'update'").groupBy("name").agg(
+    given = staged(live.filter("op = 'update'").groupBy("name").agg(
         *[_last_given(f).alias(f"new_{f}") for f in docs],
         F.max(F.when(F.col("descriptions").isNotNull(), F.col("seq"))).alias("reset_at"),
-    )
+    ), "updates")
     # A new term list replaces what came before it.
-    term_ops = live.filter(F.col("op") != "update").join(as_lookup(given.select("name", "reset_at")), "name", "left").filter(
+    term_ops = staged(live.filter(F.col("op") != "update").join(as_lookup(given.select("name", "reset_at")), "name", "left").filter(
         "reset_at is null or seq > reset_at"
-    )
-    added = term_ops.filter("op = 'add_term'").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "term"))).alias("added"))
-    balance = _term_balance(term_ops).groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.struct("removals", "low")))).alias("balance")
-    )
+    ).select("name", "seq", "op", "term"), "terms")
+    updated = alive.join(given, "name", "left").select("rule_ord", "name", *[F.coalesce(f"new_{f}", f).alias(f) for f in docs])
 
-    joined = alive.join(given, "name", "left").join(added, "name", "left").join(balance, "name", "left")
-    start_terms = F.coalesce("new_descriptions", "descriptions")
-    held = lambda term: F.size(F.filter(start_terms, lambda u: u == term))
-    drops = F.transform_values("balance", lambda term, b: (b["removals"] + F.least(F.lit(0), held(term) + b["low"])).cast("int"))
-    all_terms = F.concat(start_terms, F.coalesce(F.transform("added", lambda a: a["term"]), F.array().cast("array<string>")))
-    edited = joined.select(
-        "rule_ord",
-        "name",
-        *[F.coalesce(f"new_{f}", f).alias(f) for f in SCALARS],
-        F.col("balance").isNull().alias("untouched"),
-        all_terms.alias("all_terms"),
-        drops.alias("drops"),
+    touched = updated.join(as_lookup(term_ops.select("name").distinct()), "name", "left_semi").select("rule_ord", "name", "descriptions")
+    added = touched.select("rule_ord", "name").join(term_ops.filter("op = 'add_term'"), "name").select(
+        "rule_ord", "name", F.lit(1).alias("later"), F.col("seq").alias("place"), "term"
     )
-    terms = F.when(F.col("untouched"), F.col("all_terms")).otherwise(_keep_after(F.col("all_terms"), F.col("drops")))
-    result = edited.withColumn("descriptions", terms).select(*RULES.fieldNames())
-    return rename_rules(result, changes.filter("op = 'rename'"))
+    left = _without_first(_entries(touched).unionByName(added), _term_balance(term_ops))
+    result = _with_terms(updated, term_ops, left)
+    renames = changes.filter("op = 'rename'").select("seq", "name", "new_name")
+    return rename_rules(result, renames)
 
 
 def change_violations(rules: DataFrame, changes: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from tallybook.schema import RULE_FIELDS, RULES
 from tallybook.session import as_lookup, small_table
 
 
-def with_defaults(rules: DataFrame) -> DataFrame:
-    """Missing optional fields take their defaults."""
+def with_defaults(rules: DataFrame, *further: str) -> DataFrame:
+    """Missing optional fields take their defaults; ``further`` columns are kept as they are."""
     return rules.select(
         "rule_ord",
         "name",
@@ -19,6 +19,7 @@ def with_defaults(rules: DataFrame) -> DataFrame:
         F.coalesce("descriptions", F.array().cast("array<string>")).alias("descriptions"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("update_exception", "web")],
         *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("essential", "recurrent", "product_service")],
+        *further,
     )
 
 

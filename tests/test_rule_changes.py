@@ -1,4 +1,8 @@
 import random
+import time
+from collections import Counter
+
+import pytest
 
 from tallybook.operators import rule_changes as C
 from tallybook.session import small_table
@@ -79,3 +83,55 @@ def test_violations_of_a_change_set(spark, rules):
     ])
     got = {(n, p) for _, n, p in rows_of(C.change_violations(rules([("A", "casa", []), ("A", "auto", [])]), changes))}
     assert got == {("Z", "renamed and changed later"), ("B", "renamed twice"), ("Q", "unknown operation"), ("A", "name used by several rules")}
+
+
+def rename_one_by_one(names, renames):
+    held = list(names)
+    for _, old, new in sorted(renames):
+        held = [new if n == old else n for n in held]
+    return sorted(held)
+
+
+def test_renames_follow_each_other(spark, rules):
+    rng = random.Random(2)
+    for _ in range(4):
+        steps = [(seq, rng.choice("ABCDEF"), rng.choice("ABCDEF")) for seq in range(rng.randint(0, 14))]
+        table = rules([(n, "casa", []) for n in "ABCDEF"])
+        frame = spark.createDataFrame(steps, "seq long, name string, new_name string")
+        assert sorted(r[0] for r in rows_of(C.rename_rules(table, frame), "name")) == rename_one_by_one("ABCDEF", steps), steps
+
+
+def test_a_long_chain_of_renames_takes_few_rounds(spark, rules, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(C, "staged", lambda f, n, staged=C.staged: rounds.append(n) or staged(f, n))
+    chain = spark.range(300).selectExpr("id as seq", "concat('n', id) as name", "concat('n', id + 1) as new_name")
+    assert rows_of(C.rename_rules(rules([("n0", "casa", []), ("n299", "auto", []), ("x", "auto", [])]), chain).orderBy("rule_ord"), "name") == [("n300",), ("n300",), ("x",)]
+    assert len(rounds) <= 11
+
+
+def test_refused_sets_raise(spark, rules):
+    table = rules([("A", "casa", ["x"])])
+    late = change_set(spark, [{"seq": 1, "op": "rename", "name": "A", "new_name": "Z"}, {"seq": 2, "op": "add_term", "name": "Z", "term": "y"}])
+    with pytest.raises(C.ChangesRefused, match="renamed and changed later"):
+        C.apply_rule_changes(table, late, strict=True)
+    fine = change_set(spark, [{"seq": 1, "op": "add_term", "name": "A", "term": "y"}, {"seq": 2, "op": "rename", "name": "A", "new_name": "Z"}])
+    assert rows_of(C.apply_rule_changes(table, fine, strict=True), "name", "descriptions") == [("Z", ["x", "y"])]
+
+
+def test_a_rule_with_very_many_terms(spark, rules):
+    terms = [f"t{i % 9000}" for i in range(16_000)]
+    table = rules([("A", "casa", terms), ("B", "auto", ["t1", "t1"])])
+    removals = spark.range(16_000).selectExpr("'A' as name", "concat('t', id % 8000) as term")
+    began = time.time()
+    got = dict(rows_of(C.remove_terms(table, removals), "name", "descriptions"))
+    took = time.time() - began
+    left, gone = [], Counter(f"t{i % 8000}" for i in range(16_000))
+    for t in terms:
+        if gone[t]:
+            gone[t] -= 1
+        else:
+            left.append(t)
+    assert got == {"A": left, "B": ["t1", "t1"]}
+    changes = change_set(spark, [{"seq": i, "op": "remove_term", "name": "A", "term": t} for i, t in enumerate(terms)] + [{"seq": 99_999, "op": "add_term", "name": "A", "term": "new"}])
+    assert dict(rows_of(C.apply_rule_changes(table, changes), "name", "descriptions")) == {"A": ["new"], "B": ["t1", "t1"]}
+    assert took < 20
