@@ -28,7 +28,7 @@ BANK_AMOUNT_HEADER = "USCITE"
 LINES_PER_BLOCK = 1 << 16
 
 
-def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_statement_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Statement text line by line: ``(path, block, pos, line)``.
 
     A large file is read in splits, so no file has to fit in one task. Lines are ordered
@@ -154,7 +154,7 @@ def _days(fmt: str) -> list[Field]:
     return [Field(c, F.col(c), parse_date(c, fmt), required=True) for c in ("txn_date", "booking_date")]
 
 
-def check_card_table(spark: SparkSession, path: str, comma: bool = False, carry: list[str] | None = None) -> DataFrame:
+def check_card_table(spark: SparkSession, path: str | list[str], comma: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Card statements as CSV: rows with a blank in any column (totals, comments) go, the others are typed and checked."""
     table = spark.read.csv(path, header=True, recursiveFileLookup=True)
     owner, source_file = provenance()
@@ -164,7 +164,7 @@ def check_card_table(spark: SparkSession, path: str, comma: bool = False, carry:
 
 
 def load_card_table(
-    spark: SparkSession, path: str, comma: bool = False, strict: bool = False, observation: Observation | None = None
+    spark: SparkSession, path: str | list[str], comma: bool = False, strict: bool = False, observation: Observation | None = None
 ) -> DataFrame:
     """Raw ledger rows of card statements as CSV: complete rows only, dates day first.
 
@@ -174,12 +174,12 @@ def load_card_table(
     return accept(check_card_table(spark, path, comma), RAW_LEDGER.fieldNames(), strict, observation)
 
 
-def card_violations(spark: SparkSession, path: str, comma: bool = False, key: list[str] | None = None) -> DataFrame:
+def card_violations(spark: SparkSession, path: str | list[str], comma: bool = False, key: list[str] | None = None) -> DataFrame:
     """The values that ``load_card_table`` cannot read; ``key`` names further columns of the table that tell its rows apart."""
     return violations(check_card_table(spark, path, comma, key), ["source_file", "owner", *(key or [])])
 
 
-def check_bank_table(spark: SparkSession, path: str, comma: bool = False, carry: list[str] | None = None) -> DataFrame:
+def check_bank_table(spark: SparkSession, path: str | list[str], comma: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Bank exports as CSV: expenses and rows whose amount is missing or unreadable, typed and checked."""
     table = spark.read.csv(path, header=True, recursiveFileLookup=True)
     owner, source_file = provenance()
@@ -191,7 +191,7 @@ def check_bank_table(spark: SparkSession, path: str, comma: bool = False, carry:
 
 
 def load_bank_table(
-    spark: SparkSession, path: str, strict: bool = False, comma: bool = False, observation: Observation | None = None
+    spark: SparkSession, path: str | list[str], strict: bool = False, comma: bool = False, observation: Observation | None = None
 ) -> DataFrame:
     """Bank exports as CSV: expenses only, amounts made positive.
 
@@ -201,7 +201,7 @@ def load_bank_table(
     return accept(check_bank_table(spark, path, comma), RAW_LEDGER.fieldNames(), strict, observation)
 
 
-def bank_violations(spark: SparkSession, path: str, comma: bool = False, key: list[str] | None = None) -> DataFrame:
+def bank_violations(spark: SparkSession, path: str | list[str], comma: bool = False, key: list[str] | None = None) -> DataFrame:
     """The values that ``load_bank_table`` cannot read; ``key`` names further columns of the export, as normalised."""
     return violations(check_bank_table(spark, path, comma, key), ["source_file", "owner", *(key or [])])
 

@@ -26,7 +26,7 @@ def scan_ledger_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
-def check_ledger_csv(spark: SparkSession, path: str, schema: T.StructType = LEDGER, whole: bool = True) -> DataFrame:
+def check_ledger_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = LEDGER, whole: bool = True) -> DataFrame:
     """CSV with a header and ISO dates as typed rows with their problems: values that cannot be read, lines of another width.
 
     The width of a line is known only where it is parsed ``whole``, whatever columns are used.
@@ -45,7 +45,7 @@ def _field(f: T.StructField) -> Field:
 
 
 def scan_ledger_csv(
-    spark: SparkSession, path: str, schema: T.StructType = LEDGER, strict: bool = False, observation: Observation | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType = LEDGER, strict: bool = False, observation: Observation | None = None
 ) -> DataFrame:
     """CSV with a header and ISO dates; the schema is given, so the file is read once.
 
@@ -55,7 +55,7 @@ def scan_ledger_csv(
     return accept(checked, schema.fieldNames(), strict, observation)
 
 
-def csv_violations(spark: SparkSession, path: str, schema: T.StructType = LEDGER, key: list[str] | None = None) -> DataFrame:
+def csv_violations(spark: SparkSession, path: str | list[str], schema: T.StructType = LEDGER, key: list[str] | None = None) -> DataFrame:
     """The values and lines that ``scan_ledger_csv`` cannot read: ``(*key, column, value, problem)``."""
     return violations(check_ledger_csv(spark, path, schema), key or [])
 

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.scalars import ISO_DATE
 from tallybook.operators.quality import collapse_copies, expand_copies, match_nulls
 from tallybook.operators.rules import tag_ledger
+from tallybook.plans.load import load_ledger
 from tallybook.schema import COPY_KEY, LEDGER, RAW_LEDGER
+from tallybook.session import staged
+from tallybook.sources import statements, tables
+from tallybook.streaming.batches import Batches, month_of
 
 STATUS = "status"
+STORED = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("batch_id", T.LongType())])
+
+# How the files of a kind are read: paths to raw ledger rows.
+READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
+    "ledger_csv": lambda spark, paths: tables.scan_ledger_csv(spark, paths, RAW_LEDGER),
+    "card_text": lambda spark, paths: statements.parse_card_text(statements.read_statement_lines(spark, paths)),
+    "card_csv": lambda spark, paths: statements.load_card_table(spark, paths),
+    "bank_csv": lambda spark, paths: statements.load_bank_table(spark, paths),
+}
+
+
+def store(spark: SparkSession, target: str) -> Batches:
+    return Batches(spark, target, STORED)
 
 
 def ledger_so_far(spark: SparkSession, target: str) -> DataFrame:
     """All ingested rows with their status and batch; empty before the first batch."""
-    schema = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(schema).parquet(target)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return store(spark, target).rows()
 
 
 def mark_repeats(batch: DataFrame, history: DataFrame, key: list[str] = COPY_KEY) -> DataFrame:
@@ -47,25 +58,23 @@ def mark_repeats(batch: DataFrame, history: DataFrame, key: list[str] = COPY_KEY
 
 
 def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str, source_id: str = "direct") -> None:
-    """Tag one micro-batch, mark repeats against earlier batches, and write its own partition.
+    """Tag one batch of raw rows, mark repeats against earlier batches, and store it.
 
-    The partition is named by the stream and the batch, so a replay overwrites what it wrote
-    before, and another stream, which counts its batches from 0 too, never does.
-    Only the date range of the batch is read from history.
+    A replay replaces what the batch stored before; another stream, which counts its batches from 0 too, has
+    another ``source_id``. Of history only the months of the batch are read, and only rows that look like one of the batch go further.
     """
-    spark = batch.sparkSession
-    batch.persist()
-    try:
-        n, first, last = batch.agg(F.count("*"), F.min("txn_date"), F.max("txn_date")).first()
-        if n == 0:
-            return
-        own_or_later = (F.col("source_id") == source_id) & (F.col("batch_id") >= batch_id)
-        history = ledger_so_far(spark, target).filter(~own_or_later & (F.col(STATUS) == "new"))
-        nearby = history.filter(F.col("txn_date").between(F.lit(first), F.lit(last)) | F.col("txn_date").isNull())
-        marked = mark_repeats(tag_ledger(batch, rules), nearby)
-        marked.write.mode("overwrite").parquet(f"{target}/source_id={source_id}/batch_id={batch_id}")
-    finally:
-        batch.unpersist()
+    spark, at = batch.sparkSession, store(batch.sparkSession, target)
+    tagged = staged(tag_ledger(batch, rules), "batch")
+    # Bounded by the calendar.
+    months = [r[0] for r in tagged.select(month_of("txn_date")).distinct().collect()]
+    if not months:
+        return
+    own_or_later = (F.col("source_id") == source_id) & (F.col("batch_id") >= batch_id)
+    history = at.rows(months).filter(~own_or_later & (F.col(STATUS) == "new"))
+    looks = F.xxhash64(*COPY_KEY)
+    alike = history.join(tagged.select(looks.alias("looks")).distinct(), looks == F.col("looks"), "left_semi")
+    marked = mark_repeats(tagged, alike)
+    at.put(marked.withColumns({"source_id": F.lit(source_id), "batch_id": F.lit(batch_id).cast("bigint")}), source_id, batch_id)
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -80,25 +89,45 @@ def ingest(
     checkpoint: str,
     rules: DataFrame,
     archive: str | None = None,
-    max_files: int | None = None,
+    max_files: int = 1000,
+    kind: str = "ledger_csv",
+    compact_after: int = 50,
 ) -> None:
-    """Read the CSV statement files not read before, then stop.
+    """Read the statement files of a kind (:data:`READERS`) not read before, then stop.
 
-    ``archive`` (outside the source tree) receives files once a later batch commits.
+    The stream carries the names of new files, ``max_files`` to a batch, and each batch is read by the reader that a plain load uses,
+    so a statement comes out the same whichever way it is loaded. ``archive`` (outside the source tree) receives files once a later batch
+    commits. When more than ``compact_after`` batches are listed afterwards, they are compacted.
     """
-    reader = spark.readStream.schema(RAW_LEDGER).option("header", "true").option("dateFormat", ISO_DATE).option("escape", '"')
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    reader = reader.option("maxFilesPerTrigger", max_files)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+
+    def take(files: DataFrame, batch_id: int) -> None:
+        paths = [r["path"] for r in files.collect()]
+        if paths:
+            write_batch(READERS[kind](spark, paths), batch_id, rules, target, _stream_id(spark, checkpoint))
+
     query = (
-        reader.csv(source)
-        .writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, rules, target, _stream_id(spark, checkpoint)))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        reader.load(source).select("path").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    at = store(spark, target)
+    if len(at.current()[1]) > compact_after:
+        at.compact()
+
+
+def ingest_statements(spark: SparkSession, sources: dict[str, str], target: str, state: str, rules: DataFrame, **options) -> None:
+    """Ingest the folders ``sources`` (kind to path) into one ledger, each kind by a stream of its own below ``state``."""
+    for kind, source in sources.items():
+        ingest(spark, source, target, f"{state.rstrip('/')}/{kind}", rules, kind=kind, **options)
+
+
+def load_ingested(spark: SparkSession, target: str, rules: DataFrame, **load) -> DataFrame:
+    """The accepted rows through the load step: tagged by the rules of today, with its filters and suffixes."""
+    accepted = ledger_so_far(spark, target).filter(F.col(STATUS) == "new")
+    return load_ledger(accepted.select(*RAW_LEDGER.fieldNames()), rules=rules, **load)
 
 
 def retag_history(spark: SparkSession, target: str, rules: DataFrame) -> DataFrame:
