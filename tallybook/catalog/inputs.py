@@ -144,6 +144,33 @@ def card_text(spark: SparkSession, sf_dir: str) -> str:
     return _write_text(rows.select("owner", record.alias("value")), spark, "card-text")
 
 
+FEES = {"after": "1999-01-01", "threshold": "77.47", "fee": "2.00", "label": "imposta di bollo"}
+
+
+def statement_folders(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Status-F lines as card text, one file per owner and month, status-O lines as bank exports, orders of status P as manual entries."""
+    items = ledger_items(spark, sf_dir)
+    cards, bank, entries = (scratch_path(spark, f"folder-{n}") for n in ("card", "bank", "manual"))
+    head = F.concat_ws(" ", italian_day("txn_date"), italian_day("booking_date"), "description")
+    amount = format_amount(F.when(F.col("l_returnflag") == "R", -F.col("amount")).otherwise(F.col("amount")))
+    account = F.concat("owner", F.date_format("txn_date", "_yyyy-MM")).alias("account")
+    lines = items.filter("l_linestatus = 'F'").select(account, F.concat_ws("\n", head, amount, F.lit("saldo 1,00")).alias("value"))
+    lines.repartition("account").write.partitionBy("account").text(cards)
+    signed = F.when(F.col("l_returnflag") == "R", F.col("amount")).otherwise(-F.col("amount"))
+    items.filter("l_linestatus = 'O'").select(
+        "owner", italian_day("txn_date").alias("Data Contabile"), italian_day("booking_date").alias("Data Valuta"), F.col("description").alias("Causale / Descrizione"),
+        signed.alias("Importo"), F.lit("WEB").alias("Canale"), F.lit("EUR").alias("Divisa"),
+    ).write.partitionBy("owner").csv(bank, header=True)
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    day = F.array(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    one = lambda text: F.array(F.lit(text))
+    orders.select(F.struct(
+        day.alias("txn_date"), day.alias("booking_date"), F.array(F.concat(F.lit("rod "), F.col("o_orderkey").cast("string"))).alias("description"), F.array("o_totalprice").alias("amount"),
+        one("spesa condivisa").alias("file"), one("owner_a").alias("owner"),
+    ).alias("data_dict")).write.json(entries)
+    return {"card_text": cards, "bank_csv": bank, "manual_json": entries}
+
+
 def paired_text(spark: SparkSession, sf_dir: str) -> str:
     """Statements where the amount follows on the same line, or two transactions precede their two amounts."""
     rows = ledger_items(spark, sf_dir)

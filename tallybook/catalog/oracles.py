@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallybook.catalog.inputs import CONFLICT_RULE, RULE_ROWS, TYPE_CLASS
+from tallybook.catalog.inputs import CONFLICT_RULE, FEES, RULE_ROWS, TYPE_CLASS
 from tallybook.catalog.queries import CTX, DRIFT, EVENT_DRIFT, RANGE
 from tallybook.functions.dates import to_date
 from tallybook.schema import CATEGORY_GROUPS, MONTH_NAMES_IT, OWNERS
@@ -101,6 +101,7 @@ ORACLES["scan_ledger"] = ORACLES["scan_ledger_csv"] = ORACLES["sink_csv"] = f"{L
 ORACLES["sink_table"] = (
     f"{LED} SELECT * REPLACE (strftime(txn_date, '%Y-%m-%d') AS txn_date, strftime(booking_date, '%Y-%m-%d') AS booking_date) FROM led"
 )
+ORACLES["sink_update_in_place"] = f"""{LED} SELECT * REPLACE (CAST(txn_date + INTERVAL 12 MONTH AS DATE) AS txn_date) FROM (SELECT {TAGGED} FROM led) l WHERE owner = 'owner_a'"""
 ORACLES["export_json"] = f"""{LED} SELECT '{{"txn_date":"' || CAST(txn_date AS VARCHAR) || '","booking_date":"' || CAST(booking_date AS VARCHAR)
   || '","description":"' || description || '","amount":' || CAST(amount AS VARCHAR) || ',"source_file":"' || source_file || '","owner":"' || owner
   || '","std_description":"' || std_description || '","classification":"' || classification || '","channel":"' || channel
@@ -486,6 +487,22 @@ UNION ALL SELECT 'new:std_description', event_type, NULL, NULL, NULL FROM news""
 ORACLES["stream_ingest"] = f"""{redelivered("l_returnflag = 'R'")}
 SELECT {KEY}, channel, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY source_file) = 1 THEN 'new' ELSE 'repeat' END AS status FROM led"""
 
+FOLDERS = f"""WITH {ITEMS},
+cards AS (SELECT * REPLACE (CASE WHEN l_returnflag = 'R' THEN -amount ELSE amount END AS amount, owner || strftime(txn_date, '_%Y-%m') AS owner) FROM items WHERE l_linestatus = 'F'),
+bank AS (SELECT * FROM items WHERE l_linestatus = 'O' AND l_returnflag <> 'R')"""
+FEES_DUE = f"""fees AS (SELECT MIN(txn_date) AS txn_date, MIN(txn_date) AS booking_date, '{FEES['label']}' AS description, CAST({FEES['fee']} AS DOUBLE) AS amount, 'fee' AS source_file, owner
+  FROM cards GROUP BY owner HAVING MIN(txn_date) > {day(FEES['after'])} AND SUM({money()}) > {FEES['threshold']})"""
+MANUAL_ROWS = """SELECT CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE), 'rod ' || o_orderkey, o_totalprice, 'spesa condivisa', 'owner_a' FROM orders WHERE o_orderstatus = 'P'"""
+ORACLES["load_from_statements"] = f"""{FOLDERS}, {FEES_DUE},
+arrived AS (SELECT {RAW} FROM items WHERE source_file = 'src_P' UNION ALL SELECT {RAW} FROM cards UNION ALL SELECT {RAW} FROM fees UNION ALL SELECT {RAW} FROM bank UNION ALL {MANUAL_ROWS}),
+{tag_cte('arrived')} SELECT {TAGGED.replace('source_file, ', '')} FROM led WHERE NOT update_exception"""
+ORACLES["stream_statements"] = f"""{FOLDERS},
+arrived AS (SELECT {RAW} FROM cards UNION ALL SELECT {RAW} FROM bank
+  UNION ALL SELECT {RAW.replace('source_file', "'redelivered' AS source_file")} FROM cards WHERE l_returnflag = 'R'),
+{tag_cte('arrived')} SELECT {KEY}, channel, CASE WHEN source_file = 'redelivered' THEN 'repeat' ELSE 'new' END AS status FROM led"""
+ORACLES["stream_two_sources"] = f"""WITH {ITEMS}, arrived AS (SELECT {RAW} FROM items WHERE owner = 'owner_a' UNION ALL SELECT {RAW.replace('source_file', "'second' AS source_file")} FROM items),
+{tag_cte('arrived')} SELECT {KEY}, source_file, CASE WHEN source_file = 'second' AND owner = 'owner_a' THEN 'repeat' ELSE 'new' END AS status FROM led"""
+
 # --- rule maintenance
 
 

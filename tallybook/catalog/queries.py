@@ -139,6 +139,15 @@ def sink_table(spark, sf):
     return tables.scan_ledger(spark, path)
 
 
+@query
+def sink_update_in_place(spark, sf):
+    """The stored ledger is replaced by what is read from it: one owner's rows, dated a year later."""
+    path = scratch_path(spark, "sink-update")
+    tables.sink_parquet(inputs.stored_ledger(spark, sf), path)
+    tables.sink_parquet(tables.scan_ledger(spark, path).filter("owner = 'owner_a'").withColumn("txn_date", F.add_months("txn_date", 12)), path)
+    return tables.scan_ledger(spark, path)
+
+
 @query
 def export_json(spark, sf):
     return tables.as_json_records(inputs.stored_ledger(spark, sf))
@@ -524,6 +533,14 @@ def load_ledger(spark, sf):
     )
 
 
+@query
+def load_from_statements(spark, sf):
+    """Folders of three kinds, with the fees of card files; the history is one source of the ledger itself."""
+    history = inputs.raw_ledger(spark, sf).filter("source_file = 'src_P'")
+    sources = inputs.statement_folders(spark, sf)
+    return load.load_from_statements(spark, sources, inputs.ledger_rules(spark), history, inputs.FEES).drop("source_file")
+
+
 @query
 def report_long(spark, sf):
     return reports.report_long(inputs.stored_ledger(spark, sf), CTX)
@@ -549,6 +566,30 @@ def stream_ingest(spark, sf):
     return ingest.ledger_so_far(spark, target).select(*COPY_KEY, "channel", "status")
 
 
+@query
+def stream_statements(spark, sf):
+    """Card text and bank exports arrive as files, then returned card rows once more as a ledger file."""
+    sources, root = inputs.statement_folders(spark, sf), scratch_path(spark, "stream-statements")
+    again = inputs.ledger_items(spark, sf).filter("l_returnflag = 'R' and l_linestatus = 'F'").withColumns({
+        "amount": -F.col("amount"), "source_file": F.lit("redelivered"), "owner": F.concat("owner", F.date_format("txn_date", "_yyyy-MM")),
+    })
+    again.select(*RAW_LEDGER.fieldNames()).write.csv(f"{root}/again", header=True)
+    kinds = {"card_text": f"{sources['card_text']}/*", "bank_csv": f"{sources['bank_csv']}/*", "ledger_csv": f"{root}/again"}
+    ingest.ingest_statements(spark, kinds, f"{root}/ledger", f"{root}/state", inputs.ledger_rules(spark))
+    return ingest.ledger_so_far(spark, f"{root}/ledger").select(*COPY_KEY, "channel", "status")
+
+
+@query
+def stream_two_sources(spark, sf):
+    """Two streams bring the same rows; then all batches are compacted."""
+    root, dimension = scratch_path(spark, "stream-two"), inputs.ledger_rules(spark)
+    rows = inputs.raw_ledger(spark, sf)
+    for name, part in (("one", rows.filter("owner = 'owner_a'")), ("two", rows.withColumn("source_file", F.lit("second")))):
+        part.write.csv(f"{root}/in/{name}", header=True)
+        ingest.ingest(spark, f"{root}/in/{name}", f"{root}/ledger", f"{root}/state/{name}", dimension, compact_after=1)
+    return ingest.ledger_so_far(spark, f"{root}/ledger").select(*COPY_KEY, "source_file", "status")
+
+
 # --- rule maintenance ------------------------------------------------------------------------
 
 

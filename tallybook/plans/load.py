@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.operators.filters import drop_exceptions, exclude_personal
-from tallybook.operators.quality import dedup_suffix, duplicates, newest_first, union_sources
+from tallybook.operators.filters import exclude_personal
+from tallybook.operators.quality import add_stamp_duty, dedup_suffix, duplicates, newest_first, union_sources
 from tallybook.operators.rules import rule_conflicts, tag_ledger, unclassified
 from tallybook.schema import LEDGER, RAW_LEDGER
+from tallybook.sources.registry import CARDS, Paths, read_source
 
 
 class LedgerError(ValueError):
@@ -56,5 +57,20 @@ def load_ledger(
                 raise LedgerError(f"the load found {name}")
     if de_duplicate:
         tagged = dedup_suffix(tagged, counter_by=counter_by)
-    kept = drop_exceptions(tagged, rules)
+    # The rows carry the flag of their rule.
+    kept = tagged.filter("not update_exception")
     return newest_first(kept) if ordered else kept
+
+
+def load_from_statements(
+    spark: SparkSession, sources: dict[str, Paths], rules: DataFrame, history: DataFrame | None = None, fees: dict[str, str] | None = None, **options
+) -> DataFrame:
+    """The load step over statement folders: ``sources`` gives the paths of each kind of the source registry.
+
+    Each card file may owe a fee, whose terms ``fees`` can change (``after``, ``threshold``, ``fee``, ``label``). The filter on personal rows
+    concerns ``history`` alone, as in ``load_ledger``, which takes the other options.
+    """
+    read = {kind: read_source(spark, kind, paths) for kind, paths in sources.items()}
+    rows = [add_stamp_duty(r, **(fees or {})) if kind in CARDS else r for kind, r in read.items()]
+    first = history if history is not None else spark.createDataFrame([], RAW_LEDGER)
+    return load_ledger(first, *rows, rules=rules, **options)

@@ -17,7 +17,7 @@ DOCUMENT = T.StructType([
 ])
 
 
-def read_manual_documents(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+def read_manual_documents(spark: SparkSession, path: str | list[str], one_per_file: bool = False) -> DataFrame:
     """JSON documents, one per line or (``one_per_file``) one per file over many lines."""
     return spark.read.schema(DOCUMENT).json(path, multiLine=one_per_file)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,20 +11,12 @@ from tallybook.operators.rules import tag_ledger
 from tallybook.plans.load import load_ledger
 from tallybook.schema import COPY_KEY, LEDGER, RAW_LEDGER
 from tallybook.session import staged
-from tallybook.sources import statements, tables
+from tallybook.sources.registry import read_source
 from tallybook.streaming.batches import Batches, month_of
 
 STATUS = "status"
 STORED = T.StructType([*LEDGER.fields, T.StructField(STATUS, T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("batch_id", T.LongType())])
 
-# How the files of a kind are read: paths to raw ledger rows.
-READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
-    "ledger_csv": lambda spark, paths: tables.scan_ledger_csv(spark, paths, RAW_LEDGER),
-    "card_text": lambda spark, paths: statements.parse_card_text(statements.read_statement_lines(spark, paths)),
-    "card_csv": lambda spark, paths: statements.load_card_table(spark, paths),
-    "bank_csv": lambda spark, paths: statements.load_bank_table(spark, paths),
-}
-
 
 def store(spark: SparkSession, target: str) -> Batches:
     return Batches(spark, target, STORED)
@@ -93,7 +83,7 @@ def ingest(
     kind: str = "ledger_csv",
     compact_after: int = 50,
 ) -> None:
-    """Read the statement files of a kind (:data:`READERS`) not read before, then stop.
+    """Read the statement files of a kind of the source registry not read before, then stop.
 
     The stream carries the names of new files, ``max_files`` to a batch, and each batch is read by the reader that a plain load uses,
     so a statement comes out the same whichever way it is loaded. ``archive`` (outside the source tree) receives files once a later batch
@@ -107,7 +97,7 @@ def ingest(
     def take(files: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in files.collect()]
         if paths:
-            write_batch(READERS[kind](spark, paths), batch_id, rules, target, _stream_id(spark, checkpoint))
+            write_batch(read_source(spark, kind, paths), batch_id, rules, target, _stream_id(spark, checkpoint))
 
     query = (
         reader.load(source).select("path").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
