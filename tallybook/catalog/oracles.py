@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from tallybook.catalog.inputs import CONFLICT_RULE, FEES, RULE_ROWS, TYPE_CLASS
 from tallybook.catalog.queries import CTX, DRIFT, EVENT_DRIFT, RANGE
 from tallybook.functions.dates import to_date
@@ -221,6 +223,11 @@ SELECT a.term, a.name AS entity, a.classification, b.term AS matches_with, b.nam
   'Overlap: ''' || a.term || ''' (' || a.name || ') occurs in ''' || b.term || ''' (' || b.name || ')' AS summary
 FROM entries a JOIN entries b ON contains(b.term, a.term) AND (a.rule_ord <> b.rule_ord OR a.pos <> b.pos)
 WHERE regexp_matches(b.term, '(^|\W)' || regexp_escape(a.term) || '(\W|$)')"""
+ORACLES["overlap_classes"] = rf"""{RULES},
+sizes AS (SELECT term, COUNT(*) AS n FROM (SELECT UNNEST(terms) AS term FROM rules) GROUP BY term)
+SELECT a.term, b.term AS matches_with, a.n AS n_entries, b.n AS n_others, a.n * (b.n - CASE WHEN a.term = b.term THEN 1 ELSE 0 END) AS n_pairs
+FROM sizes a JOIN sizes b ON contains(b.term, a.term) AND (a.term <> b.term OR a.n > 1)
+WHERE regexp_matches(b.term, '(^|\W)' || regexp_escape(a.term) || '(\W|$)')"""
 ORACLES["rule_counts"] = f"{RULES} SELECT classification, COUNT(*) AS n_rules FROM rules GROUP BY classification"
 ORACLES["rule_terms"] = f"{RULES} SELECT rule_ord, name, CAST(UNNEST(range(len(terms))) AS INTEGER) AS pos, UNNEST(terms) AS term FROM rules"
 ORACLES["rule_names_by_class"] = f"""{RULES}
@@ -317,12 +324,12 @@ SELECT CASE WHEN GROUPING(category) = 1 THEN 'Totale' ELSE category END AS categ
   CASE WHEN GROUPING(month_no) = 1 THEN 'Totale' ELSE {month_it("make_date(2000, CAST(month_no AS INTEGER), 1)")} END AS month, CAST(SUM(amount) AS DOUBLE) AS total
 FROM y GROUP BY CUBE (category, month_no)"""
 MELTED = " UNION ALL ".join(f"SELECT '{c}' AS series, bucket, {c} AS total FROM matrix" for c in MATRIX_COLUMNS)
-ORACLES["forecast_monthly"] = f"""{LED}, {matrix_cte(('1995-01-01', CTX.prev_month_end))},
-melted AS ({MELTED}),
-placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series ORDER BY bucket) - 1 AS t FROM melted),
+FORECAST = """placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series ORDER BY bucket) - 1 AS t FROM melted),
 fit AS (SELECT series, COALESCE(regr_slope(total, t), 0) AS b, COALESCE(regr_intercept(total, t), AVG(total)) AS a, MAX(bucket) AS last_bucket, COUNT(*) AS n FROM placed GROUP BY series),
 effect AS (SELECT p.series, month(bucket) AS m, AVG(total - (a + b * t)) AS e FROM placed p JOIN fit USING (series) GROUP BY ALL),
-future AS (SELECT fit.*, k, CAST(last_day(CAST(date_trunc('month', last_bucket) + k * INTERVAL 1 MONTH AS DATE)) AS DATE) AS bucket FROM fit, (VALUES (1), (2), (3)) steps(k))
+future AS (SELECT fit.*, k, CAST(last_day(CAST(date_trunc('month', last_bucket) + k * INTERVAL 1 MONTH AS DATE)) AS DATE) AS bucket FROM fit, (VALUES (1), (2), (3)) steps(k))"""
+ORACLES["forecast_monthly"] = f"""{LED}, {matrix_cte(('1995-01-01', CTX.prev_month_end))},
+melted AS ({MELTED}), {FORECAST}
 SELECT f.series, f.bucket, round(a + b * (n + k - 1) + COALESCE(e, 0), 4) AS total FROM future f LEFT JOIN effect ON f.series = effect.series AND month(f.bucket) = m"""
 
 # --- dashboard
@@ -484,6 +491,39 @@ SELECT 'numeric' AS section, statistic AS item, base, eval, diff_pct FROM numeri
 UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST(SUM(n) FILTER (period = 'base') AS DOUBLE), CAST(SUM(n) FILTER (period = 'eval') AS DOUBLE), NULL FROM hist GROUP BY bin
 UNION ALL SELECT 'new:classification', event_type, NULL, NULL, NULL FROM news
 UNION ALL SELECT 'new:std_description', event_type, NULL, NULL, NULL FROM news"""
+# The columns that name a row, and the numbers, of each dashboard table.
+DASHBOARD = {
+    "class_series": ("classification || '|' || bucket", ["total", "class_total", "share_pct", "class_rank"]),
+    "class_cumsum": ("classification || '|' || bucket", ["total", "running_total"]),
+    "class_trend": ("classification || '|' || bucket", ["total", "slope", "intercept", "fitted", "mean"]),
+    "year_compare": ("month_no", [f"y{y}" for y in range((to_date(RANGE[0]) - timedelta(days=365)).year, to_date(RANGE[1]).year + 1)]),
+    "year_cumsum": ("year || '|' || month_no", ["total", "running_total"]),
+    "year_stats": ("year", ["mean", "change_pct"]),
+    "top_vendors": ("std_description", ["total", "mean"]),
+    "channel_share": ("channel", ["total", "share_pct"]),
+    "product_share": ("kind", ["share_pct"]),
+    "flag_shares": ("kind", ["share_pct"]),
+    "flag_trend": ("month_start", ["essential_pct", "recurrent_pct"]),
+}
+ORACLES["dashboard_long"] = " UNION ALL ".join(
+    f"""SELECT '{section}' AS section, item, field, round(value, 6) AS value FROM (SELECT CAST({item} AS VARCHAR) AS item, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in fields)}
+FROM ({ORACLES[section]}) t) UNPIVOT INCLUDE NULLS (value FOR field IN ({', '.join(fields)}))"""
+    for section, (item, fields) in DASHBOARD.items()
+)
+ORACLES["expense_report_forecast"] = f"""{MATRIX}, melted AS ({MELTED}), {FORECAST},
+told AS (SELECT bucket, {', '.join(f"MAX(total) FILTER (series = '{c}') AS {c}" for c in MATRIX_COLUMNS)} FROM
+  (SELECT f.series, f.bucket, a + b * (n + k - 1) + COALESCE(e, 0) AS total FROM future f LEFT JOIN effect ON f.series = effect.series AND month(f.bucket) = m) GROUP BY bucket),
+whole AS (SELECT bucket, {', '.join(MATRIX_COLUMNS)} FROM matrix UNION ALL SELECT bucket, {', '.join(MATRIX_COLUMNS)} FROM told)
+SELECT CAST(bucket AS VARCHAR) AS bucket, {', '.join(f'{cents(c)} AS {c}' for c in MATRIX_COLUMNS)} FROM whole
+UNION ALL SELECT 'Mean', {', '.join(f'{cents(f"AVG({c})")} AS {c}' for c in MATRIX_COLUMNS)} FROM whole"""
+ORACLES["validate_ledger_slice"] = f"""{LED}, ranked AS (SELECT classification, ROW_NUMBER() OVER (ORDER BY MAX(txn_date) DESC, classification) AS k FROM led GROUP BY classification),
+ev AS (SELECT led.*, CASE WHEN txn_date <= {day(DRIFT[0])} THEN 'base' ELSE 'eval' END AS period FROM led JOIN ranked ON led.classification = ranked.classification
+  WHERE k = 2 AND txn_date > {START_BASE} AND txn_date <= {day(DRIFT[1])}),
+{series_cte('s', 'D', 'ev', by='period')}, {NUMERIC}, {HISTOGRAM}
+SELECT 'numeric' AS section, statistic AS item, base, eval, diff_pct FROM numeric_drift
+UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), CAST(SUM(n) FILTER (period = 'base') AS DOUBLE), CAST(SUM(n) FILTER (period = 'eval') AS DOUBLE), NULL FROM hist GROUP BY bin
+UNION ALL SELECT DISTINCT 'new:std_description', std_description, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM ev WHERE period = 'eval' AND std_description NOT IN (SELECT std_description FROM ev WHERE period = 'base')
+UNION ALL SELECT DISTINCT 'new:classification', classification, NULL, NULL, NULL FROM ev WHERE period = 'eval' AND classification NOT IN (SELECT classification FROM ev WHERE period = 'base')"""
 ORACLES["stream_ingest"] = f"""{redelivered("l_returnflag = 'R'")}
 SELECT {KEY}, channel, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY source_file) = 1 THEN 'new' ELSE 'repeat' END AS status FROM led"""
 

@@ -263,6 +263,11 @@ def rule_overlaps(spark, sf):
     return rules.rule_overlaps(inputs.part_rules(spark, sf))
 
 
+@query
+def overlap_classes(spark, sf):
+    return rules.overlap_classes(inputs.part_rules(spark, sf))
+
+
 @query
 def rule_counts(spark, sf):
     return rules.rule_counts(inputs.part_rules(spark, sf))
@@ -332,6 +337,11 @@ def expense_matrix_mean(spark, sf):
     return reports.expense_report(inputs.stored_ledger(spark, sf), CTX)
 
 
+@query
+def expense_report_forecast(spark, sf):
+    return reports.expense_report(inputs.stored_ledger(spark, sf), CTX, forecast=True)
+
+
 @query
 def budget_pivot(spark, sf):
     return reports.budget_pivot(inputs.stored_ledger(spark, sf), CTX)
@@ -546,6 +556,16 @@ def report_long(spark, sf):
     return reports.report_long(inputs.stored_ledger(spark, sf), CTX)
 
 
+@query
+def dashboard_long(spark, sf):
+    return dashboard.dashboard_long(inputs.stored_ledger(spark, sf), CTX)
+
+
+@query
+def validate_ledger_slice(spark, sf):
+    return drift.validate_long(inputs.stored_ledger(spark, sf), *DRIFT, slice_index=2)
+
+
 @query
 def validate_long(spark, sf):
     return drift.validate_long(inputs.events_ledger(spark, sf), *EVENT_DRIFT)

@@ -167,30 +167,64 @@ def tag_ledger(ledger: DataFrame, rules: DataFrame, text: str = "description") -
     )
 
 
-def _inner_phrases(term: Column) -> Column:
-    """All substrings that start at the text's start or after a non-word character and
-    end at its end or before one."""
-    size = F.length(term)
-    spots = F.sequence(F.lit(1), size)
-    not_word = lambda i: F.substring(term, i, F.lit(1)).rlike(r"(?U)^\W$")
-    starts = F.filter(spots, lambda i: (i == 1) | not_word(i - 1))
-    ends = F.filter(spots, lambda i: (i == size) | not_word(i + 1))
-    cut = lambda i: F.transform(F.filter(ends, lambda j: j >= i), lambda j: F.substring(term, i, j - i + 1))
-    return F.array_distinct(F.flatten(F.transform(starts, cut)))
+def _words(term: Column) -> Column:
+    """The distinct words of a term."""
+    return F.array_distinct(F.regexp_extract_all(term, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def _marks(term: Column) -> Column:
+    """The distinct characters of a term that belong to no word, so written that they equal no word."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(term, F.lit(r"(?Us)\W"), F.lit(0))), lambda c: F.concat(F.lit(" "), c))
+
+
+def _inside(term: Column, other: Column) -> Column:
+    """Whether a term occurs in another between word boundaries."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.contains(other, term) & F.rlike(other, F.concat(F.lit(r"(?U)(^|\W)"), literal, F.lit(r"(\W|$)")))
+
+
+def _trimmed_entries(rules: DataFrame) -> DataFrame:
+    """One row per term, blanks around it gone: ``(rule_ord, name, classification, pos, term)``."""
+    return rule_terms(rules).withColumn("term", trim_all("term"))
+
+
+def _held_terms(entries: DataFrame) -> DataFrame:
+    """Every pair of distinct terms of which one occurs in the other at word boundaries: ``(term, matches_with)``.
+
+    Every word of a term that occurs between boundaries is a whole word of the other. So a term is found through its word that
+    the fewest terms hold, in the postings of all terms by word; a term without words through such a character. Then the two are compared.
+    """
+    distinct = entries.select("term").filter(F.length("term") > 0).distinct()
+    keyed = distinct.select("term", _words(F.col("term")).alias("words"), _marks(F.col("term")).alias("marks"))
+    postings = keyed.select("term", F.explode(F.concat("words", "marks")).alias("key"))
+    counts = postings.groupBy("key").agg(F.count("*").alias("n_terms"))
+    own = keyed.select("term", F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(F.col("marks"))).alias("key"))
+    rarest = own.join(as_lookup(counts), "key").groupBy("term").agg(F.min_by("key", F.struct("n_terms", "key")).alias("key"))
+    tried = postings.withColumnRenamed("term", "matches_with").join(as_lookup(rarest), "key")
+    return tried.filter(_inside(F.col("term"), F.col("matches_with"))).select("term", "matches_with")
+
+
+def overlap_classes(rules: DataFrame) -> DataFrame:
+    """Overlaps between distinct terms, entries counted: ``(term, matches_with, n_entries, n_others, n_pairs)``.
+
+    However many rules list one term, it has one row here. A term that only one entry lists does not overlap itself.
+    """
+    entries = _trimmed_entries(rules)
+    sizes = entries.groupBy("term").agg(F.count("*").alias("n_entries"))
+    others = sizes.select(F.col("term").alias("matches_with"), F.col("n_entries").alias("n_others"))
+    counted = _held_terms(entries).join(as_lookup(sizes), "term").join(as_lookup(others), "matches_with")
+    same = (F.col("term") == F.col("matches_with")).cast("bigint")
+    pairs = F.col("n_entries") * (F.col("n_others") - same)
+    return counted.select("term", "matches_with", "n_entries", "n_others", pairs.alias("n_pairs")).filter("n_pairs > 0")
 
 
 def rule_overlaps(rules: DataFrame) -> DataFrame:
     """Ordered pairs of different term entries where one term occurs inside the other at word boundaries.
 
-    Each distinct term is cut into the phrases it holds and meets equal terms through
-    an equi join, so no pair is tried that does not overlap.
+    The pairs of distinct terms are found first, then their entries are joined; ``overlap_classes`` counts
+    them instead, where a term is listed so often that its pairs are too many to look at.
     """
-    entries = rules.select("rule_ord", "name", "classification", F.posexplode("descriptions").alias("pos", "term")).filter(
-        F.length("term") > 0
-    ).withColumn("term", trim_all("term"))
-    distinct = entries.filter(F.length("term") > 0).select("term").distinct()
-    holders = distinct.select(F.col("term").alias("matches_with"), F.explode(_inner_phrases(F.col("term"))).alias("term"))
-    held = holders.join(as_lookup(distinct), "term")
+    entries = _trimmed_entries(rules)
     inner = entries.select("term", F.col("name").alias("entity"), "classification", "rule_ord", "pos")
     outer = entries.select(
         F.col("term").alias("matches_with"),
@@ -199,7 +233,7 @@ def rule_overlaps(rules: DataFrame) -> DataFrame:
         F.col("rule_ord").alias("other_ord"),
         F.col("pos").alias("other_pos"),
     )
-    pairs = as_lookup(held).join(inner, "term").join(outer, "matches_with")
+    pairs = as_lookup(_held_terms(entries)).join(inner, "term").join(outer, "matches_with")
     return pairs.filter((F.col("rule_ord") != F.col("other_ord")) | (F.col("pos") != F.col("other_pos"))).select(
         "term",
         "entity",

@@ -13,19 +13,33 @@ from tallybook.functions.scalars import money, month_name, null_if_zero, short_l
 from tallybook.operators.filters import in_range
 from tallybook.operators.series import month_ends_within, resample, trend_and_mean
 from tallybook.schema import CHANNEL_SHOP, CHANNEL_WEB
-from tallybook.session import small_table
+from tallybook.session import small_table, staged
+
+
+def _sums() -> list[Column]:
+    """All sums and counts that rankings and shares are made of. A plan works out only those it uses."""
+    essential, recurrent = F.col("essential"), F.col("recurrent")
+    flags = [f(c).alias(f"{n}_{c}") for c in ("product", "essential", "recurrent") for n, f in (("sum", F.sum), ("n", F.count))]
+    return [
+        total("amount").alias("amount"), F.count("amount").alias("n_amounts"), F.count("*").alias("n_rows"), *flags,
+        F.count_if((essential == 1) & (recurrent == 1)).alias("n_both"), F.count_if((essential == 0) & (recurrent == 0)).alias("n_neither"),
+    ]
+
+
+def _share(part: str, whole: str, digits: int) -> Column:
+    """Percent of two counts, each added up over the groups of a summary."""
+    return F.round(F.try_divide(F.sum(part), F.sum(whole)) * 100, digits)
+
+
+def _top_vendors(sums: DataFrame, n: int, digits: int) -> DataFrame:
+    top = sums.orderBy(F.desc("amount"), "std_description").limit(n)
+    exact = F.col("amount").cast("double")
+    return top.select("std_description", short_label("std_description").alias("label"), exact.alias("total"), F.round(exact / F.col("n_amounts"), digits).alias("mean"))
 
 
 def top_vendors(ledger: DataFrame, n: int = 10, digits: int = 4) -> DataFrame:
     """The n standard names with the largest sums; ties by name, fewer rows if there are fewer names."""
-    sums = ledger.groupBy("std_description").agg(total("amount").alias("exact"), F.count("amount").alias("n_rows"))
-    top = sums.orderBy(F.desc("exact"), "std_description").limit(n)
-    return top.select(
-        "std_description",
-        short_label("std_description").alias("label"),
-        F.col("exact").cast("double").alias("total"),
-        F.round(F.col("exact").cast("double") / F.col("n_rows"), digits).alias("mean"),
-    )
+    return _top_vendors(ledger.groupBy("std_description").agg(*_sums()), n, digits)
 
 
 def channel_share(ledger: DataFrame, channels: tuple[str, ...] = (CHANNEL_SHOP, CHANNEL_WEB), digits: int = 6) -> DataFrame:
@@ -40,36 +54,41 @@ def channel_share(ledger: DataFrame, channels: tuple[str, ...] = (CHANNEL_SHOP,
     return padded.select("channel", "total", F.round(F.coalesce(share, F.lit(0.0)), digits).alias("share_pct"))
 
 
-def _percent(condition: Column, digits: int) -> Column:
-    """Share of rows in percent."""
-    return F.round(F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100, digits)
+def _product_share(sums: DataFrame, digits: int) -> DataFrame:
+    shares = sums.agg((F.try_divide(F.sum("sum_product"), F.sum("n_product")) * 100).alias("prodotti"))
+    both = shares.select(F.round("prodotti", digits).alias("prodotti"), F.round(100 - F.col("prodotti"), digits).alias("servizi"))
+    return both.unpivot([], ["prodotti", "servizi"], "kind", "share_pct")
 
 
 def product_share(ledger: DataFrame, digits: int = 6) -> DataFrame:
     """Share of rows that are products, and its complement: ``(kind, share_pct)``."""
-    shares = ledger.agg((F.avg("product") * 100).alias("prodotti"))
-    both = shares.select(F.round("prodotti", digits).alias("prodotti"), F.round(100 - F.col("prodotti"), digits).alias("servizi"))
-    return both.unpivot([], ["prodotti", "servizi"], "kind", "share_pct")
+    return _product_share(ledger.agg(*_sums()), digits)
+
+
+def _flag_shares(sums: DataFrame, digits: int) -> DataFrame:
+    shares = sums.agg(
+        _share("sum_recurrent", "n_recurrent", digits).alias("recurrent"),
+        _share("sum_essential", "n_essential", digits).alias("essential"),
+        _share("n_both", "n_rows", digits).alias("essential_and_recurrent"),
+        _share("n_neither", "n_rows", digits).alias("neither"),
+    )
+    return shares.unpivot([], shares.columns, "kind", "share_pct")
 
 
 def flag_shares(ledger: DataFrame, digits: int = 6) -> DataFrame:
     """Shares of rows by spending type: ``(kind, share_pct)``."""
-    essential, recurrent = F.col("essential"), F.col("recurrent")
-    shares = ledger.agg(
-        F.round(F.avg(recurrent) * 100, digits).alias("recurrent"),
-        F.round(F.avg(essential) * 100, digits).alias("essential"),
-        _percent((essential == 1) & (recurrent == 1), digits).alias("essential_and_recurrent"),
-        _percent((essential == 0) & (recurrent == 0), digits).alias("neither"),
+    return _flag_shares(ledger.agg(*_sums()), digits)
+
+
+def _flag_trend(sums: DataFrame, digits: int) -> DataFrame:
+    return sums.groupBy("month_start").agg(
+        _share("sum_essential", "n_essential", digits).alias("essential_pct"), _share("sum_recurrent", "n_recurrent", digits).alias("recurrent_pct")
     )
-    return shares.unpivot([], shares.columns, "kind", "share_pct")
 
 
 def flag_trend(ledger: DataFrame, digits: int = 6) -> DataFrame:
     """Share of essential and of recurrent rows per month with data."""
-    return ledger.groupBy(F.trunc("txn_date", "month").alias("month_start")).agg(
-        F.round(F.avg("essential") * 100, digits).alias("essential_pct"),
-        F.round(F.avg("recurrent") * 100, digits).alias("recurrent_pct"),
-    )
+    return _flag_trend(ledger.groupBy(F.trunc("txn_date", "month").alias("month_start")).agg(*_sums()), digits)
 
 
 def class_series(ledger: DataFrame, start: str | date, end: str | date, digits: int = 6) -> DataFrame:
@@ -151,6 +170,30 @@ def year_stats(ledger: DataFrame, start: str | date, end: str | date, classifica
     )
 
 
+GROUPED = ["inside", "month_start", "classification", "std_description", "channel"]
+BY_CLASS, BY_NAME, BY_CHANNEL = ["inside", "month_start", "classification"], ["inside", "std_description"], ["inside", "channel"]
+
+
+def _set_number(columns: list[str]) -> int:
+    """What ``grouping_id`` says for a grouping set: a bit for each column that is not in it."""
+    return sum(1 << (len(GROUPED) - 1 - i) for i, c in enumerate(GROUPED) if c not in columns)
+
+
+def dashboard_summary(ledger: DataFrame, start: str | date, end: str | date) -> DataFrame:
+    """All that the dashboard needs of the ledger, read once: sums by class and month, by name, and by channel.
+
+    ``inside`` marks the range itself, as months are compared with those of the 365 days before it. ``txn_date`` is the last date
+    of a group, so a group falls into the same ranges and months as its rows.
+    """
+    start, end = check_range(start, end)
+    rows = in_range(ledger, start - timedelta(days=365), end).withColumns({
+        "inside": F.col("txn_date") >= F.lit(start), "month_start": F.trunc("txn_date", "month"),
+    })
+    return rows.groupingSets([BY_CLASS, BY_NAME, BY_CHANNEL], *GROUPED).agg(
+        F.grouping_id().cast("int").alias("grouping"), F.max("txn_date").alias("txn_date"), *_sums()
+    )
+
+
 def dashboard_bundle(
     ledger: DataFrame,
     as_of: AsOf | str | date | None = None,
@@ -159,23 +202,45 @@ def dashboard_bundle(
     classification: str | None = None,
     n_vendors: int = 10,
 ) -> dict[str, DataFrame]:
-    """All dashboard tables, by default over the 24 months before the reference month."""
+    """All dashboard tables over one staged summary, by default over the 24 months before the reference month."""
     if start is None or end is None:
         window = AsOf.of(as_of).dashboard_window
         start, end = start or window[0], end or window[1]
     check_range(start, end)
-    rows = in_range(ledger, start, end)
-    series = class_series(ledger, start, end)
+    summary = staged(dashboard_summary(ledger, start, end), "dashboard")
+    by_class, by_name, by_channel = (summary.filter(F.col("grouping") == _set_number(s)) for s in (BY_CLASS, BY_NAME, BY_CHANNEL))
+    shown = by_class.filter("inside")
+    series = class_series(by_class, start, end)
     return {
         "class_series": series,
         "class_cumsum": class_cumsum(series),
         "class_trend": class_trend(series),
-        "year_compare": year_compare(ledger, start, end, classification),
-        "year_cumsum": year_cumsum(ledger, start, end, classification),
-        "year_stats": year_stats(ledger, start, end, classification),
-        "top_vendors": top_vendors(rows, n_vendors),
-        "channel_share": channel_share(rows),
-        "product_share": product_share(rows),
-        "flag_shares": flag_shares(rows),
-        "flag_trend": flag_trend(rows),
+        "year_compare": year_compare(by_class, start, end, classification),
+        "year_cumsum": year_cumsum(by_class, start, end, classification),
+        "year_stats": year_stats(by_class, start, end, classification),
+        "top_vendors": _top_vendors(by_name.filter("inside"), n_vendors, 4),
+        "channel_share": channel_share(by_channel.filter("inside")),
+        "product_share": _product_share(shown, 6),
+        "flag_shares": _flag_shares(shown, 6),
+        "flag_trend": _flag_trend(shown, 6),
     }
+
+
+# The columns that name a row of each dashboard table.
+DASHBOARD_KEYS = {
+    "class_series": ["classification", "bucket"], "class_cumsum": ["classification", "bucket"], "class_trend": ["classification", "bucket"],
+    "year_compare": ["month_no"], "year_cumsum": ["year", "month_no"], "year_stats": ["year"], "top_vendors": ["std_description"],
+    "channel_share": ["channel"], "product_share": ["kind"], "flag_shares": ["kind"], "flag_trend": ["month_start"],
+}
+
+
+def dashboard_long(ledger: DataFrame, as_of: AsOf | str | date | None = None, **options) -> DataFrame:
+    """The whole dashboard in one table ``(section, item, field, value)``, values as numbers; key columns of an item are joined by a bar."""
+    out = None
+    for section, table in dashboard_bundle(ledger, as_of, **options).items():
+        keys = DASHBOARD_KEYS[section]
+        numbers = [f.name for f in table.schema if f.name not in keys and isinstance(f.dataType, T.NumericType)]
+        named = table.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("item"), *[F.col(f"`{c}`").cast("double").alias(c) for c in numbers])
+        long = named.unpivot("item", numbers, "field", "value").select(F.lit(section).alias("section"), "item", "field", F.round("value", 6).alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.dates import AsOf
-from tallybook.functions.scalars import money
-from tallybook.operators.filters import slice_by_index, split_periods
+from tallybook.functions.scalars import money, total
+from tallybook.operators.filters import period_bounds, slice_value, split_periods
 from tallybook.operators.series import resample
+from tallybook.session import staged
 
 PROFILE = ["mode", "median", "mean", "skewness", "count", "std", "min", "25%", "50%", "75%", "max"]
 CATEGORICAL = ["classification", "std_description"]
@@ -95,6 +96,21 @@ def drift_histogram(series: DataFrame, bins: int = 20, digits: int = 6) -> DataF
     )
 
 
+def drift_summary(ledger: DataFrame, end_base: str | date, end_eval: str | date) -> DataFrame:
+    """All that the drift check needs of the ledger, read once: sums by day and class, and by period and value.
+
+    ``txn_date`` is the last date of a group, so a group falls into the same period as its rows.
+    """
+    start_base, end_base, end_eval = period_bounds(end_base, end_eval)
+    day = F.col("txn_date")
+    period = F.when((day > F.lit(start_base)) & (day <= F.lit(end_base)), "base").when((day > F.lit(end_base)) & (day <= F.lit(end_eval)), "eval")
+    rows = ledger.withColumns({"day": day, "period": period})
+    sets = [["day", "classification"], ["period", "classification", "std_description"]]
+    return rows.groupingSets(sets, "day", "period", "classification", "std_description").agg(
+        F.grouping("day").alias("by_value"), F.max("txn_date").alias("txn_date"), total("amount").alias("amount")
+    ).drop("day", "period")
+
+
 def validation_bundle(
     ledger: DataFrame,
     as_of: AsOf | str | date | None = None,
@@ -103,14 +119,21 @@ def validation_bundle(
     end_base: str | date | None = None,
     end_eval: str | date | None = None,
 ) -> dict[str, DataFrame]:
-    """New values, statistics and histograms; by default the last 3 months against as many days before."""
+    """New values, statistics and histograms over one staged summary; by default the last 3 months against as many days before.
+
+    A ``slice_index`` limits them to the class of that number, the one with the latest rows first; 0 or an unknown one takes all.
+    """
     if end_base is None or end_eval is None:
         ends = AsOf.of(as_of).drift_ends
         end_base, end_eval = end_base or ends[0], end_eval or ends[1]
-    rows = slice_by_index(ledger, slice_index)
-    series = drift_series(rows, end_base, end_eval, sampling)
+    summary = staged(drift_summary(ledger, end_base, end_eval), "drift")
+    days, values = summary.filter("by_value = 0"), summary.filter("by_value = 1")
+    chosen = slice_value(days, slice_index) if slice_index else None
+    if chosen is not None:
+        days, values = (f.filter(F.col("classification") == F.lit(chosen)) for f in (days, values))
+    series = drift_series(days, end_base, end_eval, sampling)
     return {
-        "new_values": new_values(rows, end_base, end_eval),
+        "new_values": new_values(values, end_base, end_eval),
         "numeric": drift_numeric(series),
         "histogram": drift_histogram(series),
     }

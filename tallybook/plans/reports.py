@@ -13,6 +13,7 @@ from tallybook.operators.filters import in_range
 from tallybook.operators.rules import groups_table, map_category
 from tallybook.operators.series import bucket_label, bucket_start, fill_gaps, forecast_months, resample
 from tallybook.schema import CATEGORY_GROUPS, MEAN_LABEL, MONTH_NAMES_IT, TOTAL_LABEL
+from tallybook.session import staged
 
 STATISTICS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 UNMAPPED = "(unmapped)"
@@ -257,9 +258,9 @@ def budget_table(ledger: DataFrame, as_of: AsOf | str | date, year: int | None =
 
 
 def report_bundle(ledger: DataFrame, as_of: AsOf | str | date, forecast: bool = False, periods: int = 3, groups: dict[str, list[str]] = CATEGORY_GROUPS) -> dict[str, DataFrame]:
-    """All report tables over one daily summary of the ledger."""
+    """All report tables over one staged daily summary of the ledger, which is read once."""
     ctx = AsOf.of(as_of)
-    daily = daily_totals(ledger)
+    daily = staged(daily_totals(ledger), "daily")
     return {
         "statistics": describe_series(daily, ctx),
         "monthly": monthly_totals(daily, ctx),
@@ -273,7 +274,7 @@ def report_bundle(ledger: DataFrame, as_of: AsOf | str | date, forecast: bool =
 def report_long(ledger: DataFrame, as_of: AsOf | str | date, forecast: bool = False, periods: int = 3, groups: dict[str, list[str]] = CATEGORY_GROUPS) -> DataFrame:
     """The whole report in one table ``(section, item, field, value)``, values as numbers."""
     ctx = AsOf.of(as_of)
-    daily = daily_totals(ledger)
+    daily = staged(daily_totals(ledger), "daily")
     sections = [
         ("statistics", "statistic", describe_series(daily, ctx)),
         ("monthly", "bucket", monthly_totals(daily, ctx).select(F.col("bucket").cast("string").alias("bucket"), "total")),

@@ -155,3 +155,16 @@ def test_missing_columns_become_null(tagged, raw):
     both = Q.union_sources(tagged([("2001-01-01", "X", 1, "casa")]), raw([("2001-01-01", "x", 1)]))
     assert sorted(map(str, rows_of(both, "classification"))) == ["('casa',)", "(None,)"]
     assert isinstance(both.toPandas(), pd.DataFrame)
+
+
+def test_slices_of_very_many_values(spark):
+    led = spark.range(100_000).selectExpr("date_add(date'2001-01-01', cast(id % 5000 as int)) as txn_date", "concat('c', lpad(id, 6, '0')) as classification")
+    numbered = filters.slice_values(led)
+    # 20 values share each day; the latest day holds 4999, 9999, ...
+    assert rows_of(numbered.filter("slice_no in (1, 2, 21, 100000)").orderBy("slice_no"), "value") == [("c004999",), ("c009999",), ("c004998",), ("c095000",)]
+    assert numbered.count() == numbered.select("slice_no").distinct().count() == 100_000
+    assert rows_of(filters.slice_by_index(led, 99_999), "classification") == [("c090000",)]
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan
+    none = led.limit(0)
+    assert filters.slice_values(none).count() == 0 and filters.slice_by_index(led, 100_001).count() == 100_000

@@ -1,10 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
 from tallybook.operators import filters, rules as R
-from tallybook.plans.load import LedgerError, load_ledger
+from tallybook.plans.load import LedgerError, load_from_statements, load_ledger
 from tallybook.sources import rule_store
 from tests.conftest import rows_of
 
@@ -150,3 +151,38 @@ def test_rules_of_a_document_store_keep_its_order(spark, tmp_path):
     )
     got = rule_store.scan_rules_document(spark, str(tmp_path / "db.json"))
     assert rows_of(got.orderBy("rule_ord"), "rule_ord", "name", "descriptions", "web", "essential") == [(1, "B", ["b"], True, 0), (2, "A", [], False, 0)]
+
+
+def test_overlaps_of_equal_and_of_very_long_terms(rules, spark):
+    many = rules([(f"n{i}", "spesa", ["coop", f"sku {i}"]) for i in range(10_000)])
+    found = {(t, m): (n, o, p) for t, m, n, o, p in rows_of(R.overlap_classes(many))}
+    assert found == {("coop", "coop"): (10_000, 10_000, 10_000 * 9_999)}
+    long = " ".join(f"w{i}" for i in range(2_000))
+    table = rules([("L", "spesa", [long]), ("A", "casa", ["w7", "w1999", "w5 w6", "w19", "w6 w5", "5"])])
+    assert sorted(rows_of(R.rule_overlaps(table), "term", "other_entity")) == [("w19", "L"), ("w1999", "L"), ("w5 w6", "L"), ("w7", "L")]
+
+
+def test_overlap_counts_are_those_of_the_pairs(rules):
+    rng = random.Random(8)
+    words = ["rod", "blue rod", "rod-x", "caffè", "caffè rod", "-", "--", "a - b", "a", " rod ", "è", "x", "x-"]
+    table = rules([(f"n{i}", "spesa", rng.sample(words, 4)) for i in range(9)])
+    pairs = Counter(rows_of(R.rule_overlaps(table), "term", "matches_with"))
+    assert {(t, m): n for t, m, n in rows_of(R.overlap_classes(table), "term", "matches_with", "n_pairs")} == pairs and pairs
+
+
+def test_load_from_statement_folders(spark, raw, rules, tmp_path):
+    card, bank = tmp_path / "card" / "owner_a", tmp_path / "bank" / "conto"
+    card.mkdir(parents=True), bank.mkdir(parents=True)
+    (card / "due.txt").write_text("05/03/2025 05/03/2025 pane\n80,00\n04/03/2025 05/03/2025 latte\n1,00\n")
+    (card / "small.txt").write_text("05/03/2025 05/03/2025 pane\n7,00\n")
+    (bank / "b.csv").write_text("Data Contabile,Data Valuta,Causale / Descrizione,Importo,Canale,Divisa\n05/03/2025,05/03/2025,luce,-100,W,EUR\n")
+    history = raw([("2025-01-01", "pane", 1, "spesa individuale"), ("2025-01-01", "pane", 2)])
+    sources = {"card_text": str(tmp_path / "card"), "bank_csv": str(tmp_path / "bank")}
+    table = rules([("PANE", "spesa", ["pane"]), ("LUCE", "casa", ["luce"], True)])
+    got = load_from_statements(spark, sources, table, history, include_personal=False)
+    assert sorted(rows_of(got, "std_description", "amount", "source_file")) == [
+        ("PANE", 2.0, "f1"), ("PANE", 7.0, "small.txt"), ("PANE", 80.0, "due.txt"), ("imposta di bollo", 2.0, "due.txt"), ("latte", 1.0, "due.txt"),
+    ]
+    assert load_from_statements(spark, sources, table, fees={"after": "2025-04-01"}).count() == 3
+    with pytest.raises(ValueError, match="unknown kind"):
+        load_from_statements(spark, {"pdf": "x"}, table)

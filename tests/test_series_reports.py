@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallybook.facade import Ledger, Report, Rules
 from tallybook.functions.scalars import money_problem
 from tallybook.operators import series as S
-from tallybook.plans import dashboard as D, reports as R
+from tallybook.operators.filters import in_range, slice_by_index
+from tallybook.plans import dashboard as D, drift, reports as R
 from tallybook.schema import CATEGORY_GROUPS, MONTH_NAMES_IT
 from tests.conftest import d, rows_of
 
@@ -214,3 +215,39 @@ def test_reports_keep_fractions_of_a_cent(tagged):
     assert rows_of(R.expense_matrix(daily, "2024-06-10"), "per_casa", "Totale") == [(2.0, 1e16 + 2)]
     assert rows_of(R.budget_delta(daily, "2024-06-10").filter("category = 'per_casa'"), "this_year") == [(2.0,)]
     assert {r[0]: r[1] for r in rows_of(D.class_cumsum(D.class_series(led, "2024-05-01", "2024-05-31")), "classification", "running_total")} == {"casa": 2.0, "auto": 1e16}
+
+
+def test_bundles_read_the_ledger_once(spark, tagged, tmp_path):
+    path = str(tmp_path / "ledger")
+    random_ledger(tagged).write.parquet(path)
+    led = spark.read.parquet(path)
+    tables = {**Report.report(led, "2024-06-10", forecast=True), **Report.dashboard(led, "2024-06-10"), **Report.validate(led, "2024-06-10", slice_index=1)}
+    for name, table in tables.items():
+        # only the staged summary is read, which was written in one pass
+        assert len({f.rsplit("/", 1)[0] for f in table.inputFiles()}) == 1 and not any("/ledger/" in f for f in table.inputFiles()), name
+    for summary in (R.daily_totals(led), D.dashboard_summary(led, "2023-06-01", "2024-05-31"), drift.drift_summary(led, "2024-02-29", "2024-05-31")):
+        assert summary._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_dashboard_tables_of_the_summary_equal_those_of_the_ledger(tagged):
+    led = random_ledger(tagged)
+    start, end = "2023-08-10", "2024-05-20"
+    bundle = D.dashboard_bundle(led, start=start, end=end, classification="casa", n_vendors=3)
+    rows = in_range(led, start, end)
+    plain = {
+        "class_series": D.class_series(led, start, end), "year_compare": D.year_compare(led, start, end, "casa"), "year_cumsum": D.year_cumsum(led, start, end, "casa"),
+        "year_stats": D.year_stats(led, start, end, "casa"), "top_vendors": D.top_vendors(rows, 3), "channel_share": D.channel_share(rows),
+        "product_share": D.product_share(rows), "flag_shares": D.flag_shares(rows), "flag_trend": D.flag_trend(rows),
+    }
+    for name, table in plain.items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, bundle[name].collect())), name
+    long = D.dashboard_long(led, start=start, end=end)
+    assert {r[0] for r in rows_of(long.select("section").distinct())} == set(D.DASHBOARD_KEYS)
+
+
+def test_a_sliced_validation_equals_that_of_the_slice(tagged):
+    led = random_ledger(tagged)
+    for k in (1, 2, 99):
+        whole = drift.validate_long(led, "2024-02-29", "2024-05-31", slice_index=k)
+        part = drift.validate_long(slice_by_index(led, k), "2024-02-29", "2024-05-31")
+        assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect()))
