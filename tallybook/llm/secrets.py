@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,6 +29,9 @@ ENCODINGS = [
 LENGTHS = [28, 40, 64]  # bounds of the length classes
 BINS = 20
 FALSE_SHARE = 0.1
+# The runs and the serial test look at the same order; for even values their scores correlate at 0.75. So the joint statistic, minus twice the
+# sum of three logarithms, has mean 6 and variance 12 plus 2 * 4 * 0.75 ** 2, as JOINT_SCALE times a chi-squared of JOINT_FREE degrees has.
+JOINT_SCALE, JOINT_FREE = 16.5 / 12, 72 / 16.5
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,found:string>>"
 
 
@@ -39,8 +43,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """All matches of a pattern, leftmost and not overlapping, with places in code points.
 
-    The pieces between matches come from splitting at the same pattern, so lengths add up to places.
+    The pieces between matches come from splitting at the same pattern, so lengths add up to places. They are
+    added up in chunks, as many as a chunk has matches, and the chunks are then moved to their places, so that
+    no array is copied for each of very many matches.
     """
+    none = F.array().cast(SPAN)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -49,11 +56,26 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         more = F.when(x["hit"].isNull(), acc["spans"]).when(acc["spans"].isNull(), one).otherwise(F.concat(acc["spans"], one))
         return F.struct(end.alias("at"), more.alias("spans"))
 
+    def move(acc: Column, x: Column) -> Column:
+        """The chunk behind those before it: its place and its spans, as the text's first character counts them."""
+        one = F.array(F.struct(acc["at"].alias("at"), F.coalesce(x["spans"], none).alias("spans")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["chunks"], one).alias("chunks"))
+
+    def shifted(chunk: Column) -> Column:
+        moved = lambda c: (c + chunk["at"])
+        return F.transform(chunk["spans"], lambda s: F.struct(moved(s["start"]).alias("start"), s["kind"].alias("kind"), moved(s["end"]).alias("end"), s["found"].alias("found")))
+
+    def summed(pairs: Column) -> Column:
+        each = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / each).cast("int")), lambda i: F.slice(pairs, i * each + 1, each))
+        local = F.transform(chunks, lambda chunk: F.aggregate(chunk, start, step))
+        nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<at:bigint,spans:{SPAN}>>").alias("chunks"))
+        return F.flatten(F.transform(F.aggregate(local, nothing, move)["chunks"], shifted))
+
     def placed(found: Column) -> Column:
-        pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["spans"])
+        return F.when(F.size(found) > 0, _let(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit")), summed))
 
-    return F.coalesce(_let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), F.array().cast(SPAN))
+    return F.coalesce(_let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), none)
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -68,12 +90,18 @@ def _upper(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(600.0), F.greatest(F.lit(-600.0), 1.5976 * z + 0.07056 * z * z * z))))
 
 
-def battery(places: Column, alphabet: Column) -> Column:
+def _chi_tail(x: Column, free: Column) -> Column:
+    """Upper tail of the chi-squared distribution, whose cube root is nearly normal."""
+    spread = F.lit(2.0) / (F.lit(9.0) * free)
+    return _upper((F.pow(F.greatest(F.lit(0.0), x) / free, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+
+
+def battery(places: Column, squares: Column, alphabet: Column) -> Column:
     """Chance that a random token looks at least as uneven as this one, of ``places`` in an alphabet of that size.
 
-    Three tests: chi-squared of the character counts against uniform ones, runs above and
-    below the middle of the alphabet, and lag-one serial correlation. Fisher's method joins
-    their chances.
+    Three tests: chi-squared of the character counts, whose ``squares`` are added up, against uniform ones, runs above and
+    below the middle of the alphabet, and lag-one serial correlation. The sum of the counts' squares has the moments of a
+    multinomial draw, whatever the length. Fisher's method joins the chances, corrected for the two tests of order being related.
     """
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
     # every element but the last with the next one
@@ -82,11 +110,9 @@ def battery(places: Column, alphabet: Column) -> Column:
 
     def basics(x: Column) -> Column:
         values, k = x["values"], x["k"]
-        alike = lambda v: F.size(F.filter(values, lambda y: y == v)).cast("double")
         return F.struct(
             values.alias("values"), k.alias("k"), F.size(values).cast("double").alias("n"), F.transform(values, lambda v: (v >= k / 2).cast("double")).alias("bits"),
-            # the sum over characters of their squared counts, as every occurrence adds the count of its character
-            total(F.transform(values, alike)).alias("squares"), (total(values) / F.size(values)).alias("middle"),
+            x["squares"].alias("squares"), (total(values) / F.size(values)).alias("middle"),
         )
 
     def sums(x: Column) -> Column:
@@ -102,14 +128,15 @@ def battery(places: Column, alphabet: Column) -> Column:
         mean = 2 * x["ones"] * (n - x["ones"]) / n + 1
         spread = (mean - 1) * (mean - 2) / (n - 1)
         return F.struct(
-            ((k * x["squares"] / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("chi"),
+            # with mean k - 1 and variance 2 (k - 1) (n - 1) / n, as (n - 1) / n times a chi-squared
+            _chi_tail((k * x["squares"] / n - n) * n / (n - 1), (k - 1) * n / (n - 1)).alias("chi"),
             F.when(spread > 0, F.abs(x["turns"] - mean) / F.sqrt(spread)).otherwise(8.0).alias("runs"),
             F.when(x["power"] > 0, F.abs(x["lag"] / x["power"] + 1 / n) * F.sqrt(n)).otherwise(8.0).alias("serial"),
         )
 
-    start = F.struct(places.alias("values"), alphabet.alias("k"))
-    logs = _let(_let(_let(start, basics), sums), lambda x: _let(scores(x), lambda z: log(_upper(z["chi"])) + log(2 * _upper(z["runs"])) + log(2 * _upper(z["serial"]))))
-    return _let(logs, lambda t: F.exp(t) * (1 - t + t * t / 2))
+    start = F.struct(places.alias("values"), squares.alias("squares"), alphabet.alias("k"))
+    logs = _let(_let(_let(start, basics), sums), lambda x: _let(scores(x), lambda z: log(z["chi"]) + log(2 * _upper(z["runs"])) + log(2 * _upper(z["serial"]))))
+    return _chi_tail(-2 * logs / JOINT_SCALE, F.lit(JOINT_FREE))
 
 
 def _candidates(text: Column) -> Column:
@@ -124,8 +151,12 @@ def _candidates(text: Column) -> Column:
         length_class = sum(((F.length(s["plain"]) >= bound).cast("int") for bound in LENGTHS), F.lit(0))
 
         def chance(alphabet: Column) -> Column:
-            places = F.transform(F.filter(F.split(s["plain"], ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-            return battery(places, F.length(alphabet).cast("double"))
+            characters = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+            places = F.transform(characters(s["plain"]), lambda c: (F.position(c, alphabet) - 1).cast("double"))
+            # a count for each character of the alphabet, so that the work is linear in the token
+            held = lambda c: (F.length(s["plain"]) - F.length(F.replace(s["plain"], c, F.lit("")))).cast("double")
+            squares = F.aggregate(characters(alphabet), F.lit(0.0), lambda acc, c: acc + F.pow(held(c), F.lit(2.0)))
+            return battery(places, squares, F.length(alphabet).cast("double"))
 
         alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
         return F.struct(
@@ -136,12 +167,28 @@ def _candidates(text: Column) -> Column:
     return F.transform(F.filter(F.transform(tokens, kind), lambda c: c["encoding"].isNotNull()), rated)
 
 
+def even_part(bins: list[int]) -> float:
+    """How many of the tokens counted by bins of chances have even chances.
+
+    The upper half of the bins is even. It grows downwards bin by bin, until one holds more than its mean by two
+    standard errors, as where the pile at 0 begins.
+    """
+    flat = BINS // 2
+    while flat:
+        beyond = sum(bins[flat:])
+        mean = beyond / (BINS - flat)
+        if bins[flat - 1] > mean + 2 * math.sqrt(mean + mean * mean / max(1, beyond)):
+            break
+        flat -= 1
+    return sum(bins[flat:]) * BINS / (BINS - flat)
+
+
 def thresholds(scanned: DataFrame) -> dict[int, int]:
     """For each stratum the least bin of chances that is flagged.
 
-    Random tokens have even chances, others pile up at 0. So twice the tokens above one half
-    estimate the random ones of a stratum, and among the tokens from a bin up the share beyond
-    the random ones expected there estimates the false discoveries. The least bin that
+    Random tokens have even chances, others pile up at 0. So the even part of a stratum estimates
+    its random tokens, and among the tokens from a bin up the share beyond the random ones
+    expected there estimates the false discoveries. The least bin that
     keeps it within ``FALSE_SHARE`` is taken. Strata times bins bound what comes to the driver.
     """
     rated = scanned.select(F.explode("candidates").alias("c")).select("c.stratum", F.least(F.lit(BINS - 1), F.floor(F.col("c.chance") * BINS)).cast("int").alias("bin"))
@@ -150,7 +197,7 @@ def thresholds(scanned: DataFrame) -> dict[int, int]:
         counts.setdefault(row["stratum"], [0] * BINS)[row["bin"]] = row["count"]
     out = {}
     for stratum, bins in counts.items():
-        random = min(sum(bins), 2 * sum(bins[BINS // 2 :]))
+        random = min(sum(bins), even_part(bins))
         above = {b: sum(bins[b:]) for b in range(BINS)}
         fit = [b for b in range(BINS) if above[b] and 1 - random * (BINS - b) / BINS / above[b] <= FALSE_SHARE]
         if fit:

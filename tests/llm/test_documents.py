@@ -77,6 +77,38 @@ def test_random_tokens_are_told_from_words(spark):
     assert not [i for i in flagged if i >= 100]
 
 
+def test_chances_of_random_tokens_are_even(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    for n, alphabet in ((24, "0123456789abcdef"), (44, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")):
+        k = len(alphabet)
+        drawn = [[rng.randrange(k) for _ in range(n)] for _ in range(3000)]
+        rows = [([float(x) for x in v], float(sum(v.count(c) ** 2 for c in set(v)))) for v in drawn]
+        frame = spark.createDataFrame(rows, "places array<double>, squares double")
+        chances = sorted(r[0] for r in frame.select(secrets.battery(F.col("places"), F.col("squares"), F.lit(float(k)))).collect())
+        # the distance from even chances, of which 1.95 / sqrt(3000) would be exceeded once in a thousand times
+        assert max(abs(c - i / 3000) for i, c in enumerate(chances)) < 0.05
+    assert secrets.even_part([100] * 20) == 2000 and 950 < secrets.even_part([5000, 400] + [50] * 18) < 1050
+
+
+def test_very_long_tokens_and_very_many_matches(spark):
+    import random
+    import time
+
+    rng = random.Random(6)
+    token = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    many = " ".join(f"deadbeef{i:012d}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, token), (2, many)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(frame).collect()}
+    assert time.time() - began < 60
+    spans = [f"hex:{21 * i}:{21 * i + 20}" for i in range(20_000)]
+    assert got[2].n_hex == 20_000 and got[2].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
 def test_mixing(docs, corpus, no_docs):
     got = mixing.mix(docs, keep=["lang"]).collect()
     assert len(got) == len(corpus)
