@@ -66,13 +66,15 @@ class Batches:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"{BATCH}={uuid.uuid4().hex}"
-        rows.withColumn(MONTH, month_of(self.day)).write.partitionBy(MONTH).parquet(f"{self.target}/{folder}")
+        # a month is gathered in few files; one that holds very many rows is split
+        rows.withColumn(MONTH, month_of(self.day)).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(f"{self.target}/{folder}")
         return folder
 
     def _read(self, entries: list[dict]) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField(BATCH, T.StringType()), T.StructField(MONTH, T.IntegerType())])
         if not entries:
-            return self.spark.createDataFrame([], schema)
+            # known to be empty by the planner, which leaves out what is joined with it
+            return self.spark.range(1).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         return self.spark.read.schema(schema).option("basePath", self.target).parquet(*[f"{self.target}/{e['folder']}" for e in entries])
 
     def rows(self, months: list[int] | None = None) -> DataFrame:

@@ -62,8 +62,14 @@ def write_batch(batch: DataFrame, batch_id: int, rules: DataFrame, target: str,
     own_or_later = (F.col("source_id") == source_id) & (F.col("batch_id") >= batch_id)
     history = at.rows(months).filter(~own_or_later & (F.col(STATUS) == "new"))
     looks = F.xxhash64(*COPY_KEY)
-    alike = history.join(tagged.select(looks.alias("looks")).distinct(), looks == F.col("looks"), "left_semi")
-    marked = mark_repeats(tagged, alike)
+    own = tagged.groupBy(looks.alias("looks")).agg(F.count("*").alias("n"))
+    of_batch = own.select("looks")
+    alike = staged(history.join(of_batch, looks == of_batch["looks"], "left_semi").select(*COPY_KEY).distinct(), "alike")
+    # All other rows are new: nothing in the batch or in history looks like them.
+    doubtful = staged(own.filter("n > 1").select("looks").unionByName(alike.select(looks.alias("looks"))).distinct(), "doubtful")
+    same = looks == doubtful["looks"]
+    fresh = tagged.join(doubtful, same, "left_anti").withColumn(STATUS, F.lit("new"))
+    marked = fresh.unionByName(mark_repeats(tagged.join(doubtful, same, "left_semi"), alike))
     at.put(marked.withColumns({"source_id": F.lit(source_id), "batch_id": F.lit(batch_id).cast("bigint")}), source_id, batch_id)
 
 
