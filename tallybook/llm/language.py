@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-PER_LANGUAGE = 300  # labelled documents per language that the field is fitted on
-SPAN = 50  # words taken from each, from a place given by hash
+PER_LANGUAGE = 80  # labelled documents per language that the field is fitted on, each as a whole
 SWITCH = 10  # words between switches of language in the code-switched half of the training data
 LEXICON = 1000  # frequent words kept per language
 SLOTS = 1 << 16  # hashed affixes, n-grams and words
@@ -41,6 +40,14 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. What is neither letter nor digit may stand in a word for Python, as a raised two does; it parts words here."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     return ((h >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -163,7 +170,7 @@ def fit(samples: list[tuple[str, str]]) -> Field:
     """
     labels = sorted({lang for _, lang in samples})
     size = len(labels)
-    plain = [(WORD.findall(text.lower()), labels.index(lang)) for text, lang in samples]
+    plain = [(words_of(text), labels.index(lang)) for text, lang in samples]
     runs = [(words[i : i + SWITCH], label) for words, label in plain for i in range(0, len(words), SWITCH)]
     shuffled = [runs[i] for i in np.random.default_rng(1).permutation(len(runs))]
     words, truth, first = [], [], []
@@ -214,11 +221,10 @@ def fit(samples: list[tuple[str, str]]) -> Field:
 
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fit a field on a bounded sample: ``PER_LANGUAGE`` documents per language and ``SPAN`` words of each.
+    """Fit a field on a bounded sample: ``PER_LANGUAGE`` whole documents per language.
 
     Only documents with text and language that are not held out serve. They are chosen by a hash of the id,
-    the words by a hash too, so the sample depends on no partitioning. The driver gets at most
-    ``PER_LANGUAGE * SPAN`` words per language.
+    so the sample depends on no partitioning. The driver gets ``PER_LANGUAGE`` texts per language at most.
     """
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -227,9 +233,7 @@ def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = usable.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")))
     chosen = F.broadcast(chosen.filter(F.col("nth") <= PER_LANGUAGE).select("doc_id", "lang", "h").distinct())  # at most PER_LANGUAGE rows a language
     texts = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])
-    words = F.split("text", r"\s+")
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.size(words) - SPAN)).cast("int")
-    rows = texts.select("lang", "doc_id", F.array_join(F.slice(words, begin + 1, F.lit(SPAN)), " ").alias("text")).orderBy("lang", "doc_id").collect()
+    rows = texts.select("lang", "doc_id", "text", "h").orderBy("lang", "doc_id", "h").collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 
@@ -282,7 +286,7 @@ class _Scorer:
             counts.clear()
 
         for i, text in enumerate(texts):
-            own = [w for w in WORD.findall(text.lower()) if w.isalpha()] if text else []
+            own = words_of(text) if text else []
             if own:
                 words.extend(own)
                 counts.append((i, len(own)))

@@ -93,7 +93,8 @@ def closing(units: Column) -> Column:
 
 def _level(open_units: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
     """Settle all units of each group but one; the settled units and those left."""
-    folded = open_units.groupBy(*group).agg(pivotal(F.array_sort(F.collect_list(F.struct("rank", "key", "p", "due", "size", "gap")))).alias("r"))
+    # blocks of one class go to tasks of their own, though the class was gathered to count its blocks
+    folded = open_units.repartition("src", "class", "block").groupBy(*group).agg(pivotal(F.array_sort(F.collect_list(F.struct("rank", "key", "p", "due", "size", "gap")))).alias("r"))
     folded = materialize(folded, "mix-level")
     return folded.select(F.explode("r.done").alias("d")).select("d.*"), folded.select(*group, *[F.col(f"r.{c}").alias(c) for c in ("key", "p", "due", "size", "gap")])
 
@@ -141,7 +142,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source, doc_id = F.col(source_col), F.col(id_col)
     rows = docs.select(
         doc_id.alias("mix_id"), source.alias("mix_source"), word_count(F.col(text_col)).alias("mix_size"),
-        F.to_json(F.struct(source.alias("s"))).alias("src"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        F.to_json(F.struct(source.alias("s"))).alias("src"), F.xxhash64(F.col(text_col)).alias("mix_text"), *[F.col(c).alias(f"kept_{c}") for c in keep],
     ).withColumn("key", F.to_json(F.struct(F.col("mix_id").alias("d"), F.col("mix_source").alias("s"), F.col("mix_size").alias("n"))))
     units = rows.groupBy("key", "src").agg(F.first("mix_source").alias("source"), F.first("mix_size").alias("size"), F.count("*").alias("rows"))
     units = materialize(units, "mix-units")
@@ -154,7 +155,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = rounded(wanted.filter("p > 0").select("src", "size", "key", "p"))
     settled = wanted.join(extra, "key", "left").select("key", "rows", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("times"))
 
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    # of several texts with one id, source and size the same ones are taken in every run
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("mix_text"))
     copies = F.floor(F.col("times") / F.col("rows")) + (nth <= F.col("times") % F.col("rows")).cast("long")
     out = rows.drop("src").join(settled, "key").withColumn("copies", copies.cast("long"))
     return out.select(

@@ -11,7 +11,7 @@ from tallybook.llm.common import materialize, parts
 from tallybook.session import as_lookup
 
 SCALE = 1024
-LARGEST = 2**26  # of a scaled component; beyond it sums of products may not fit a long
+REACH = 1 << 62  # scores beyond which they are not sure to fit a long; such vectors fail the search
 VECTORS, QUERIES = 8192, 512  # most rows of a cell: a block of vectors meets a block of queries
 SLICE = 2048  # vectors of a block that are scored at once
 BITS = 9  # of a score that one round of histograms settles
@@ -20,10 +20,10 @@ BITS = 9  # of a score that one round of histograms settles
 def scaled(vector: str | Column) -> Column:
     """floor(1024 * x) of every component as doubles; null for vectors that take no part.
 
-    Out are null and empty vectors and those with a null, non-finite or over-large component.
+    Out are null and empty vectors and those with a null or non-finite component.
     """
     vector = F.col(vector) if isinstance(vector, str) else vector
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) * SCALE >= LARGEST))
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     # the product of a float and 1024 is exact, so floor() on doubles loses nothing
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("double")))
 
@@ -33,7 +33,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer products; through doubles where they are exact."""
+    """Integer products; through doubles where they are exact, else in 64 bits, where sums that fit are right even if parts of them wrap around."""
     bound = (np.abs(vectors).max(initial=0) or 1) * (np.abs(queries).max(initial=0) or 1) * vectors.shape[1]
     if bound < 2**53:
         return (queries @ vectors.T).astype(np.int64)
@@ -44,26 +44,25 @@ def _dealt(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: in
     """Cells of one block of vectors and one block of queries, each row carrying its side.
 
     Both sides are dealt by hash; a vector goes once to each block of queries and a query
-    once to each block of vectors, so a cell holds a bounded number of rows and no task more.
+    once to each block of vectors, so a cell holds a bounded number of rows and no task more. Vectors
+    meet queries of their own length only.
     """
     v, q = parts(n_vectors, VECTORS), parts(n_queries, QUERIES)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = vectors.select(
         block("row", v).alias("v_block"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q_block"), F.lit(False).alias("is_query"),
-        F.col("vec_id").alias("id"), "values", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"),
+        F.col("vec_id").alias("id"), "values", F.size("values").alias("d"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"),
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(v - 1))).alias("v_block"), block("query_id", q).alias("q_block"), F.lit(True).alias("is_query"),
-        F.col("query_id").alias("id"), "values", "low", "high",
+        F.col("query_id").alias("id"), "values", F.size("values").alias("d"), "low", "high",
     )
-    return left.unionByName(right).groupBy("v_block", "q_block")
+    return left.unionByName(right).groupBy("d", "v_block", "q_block")
 
 
 def _sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     asks = cell["is_query"].to_numpy()
-    vectors, queries = cell[~asks], cell[asks]
-    same = queries["values"].map(len).iloc[0] if len(queries) else 0
-    return vectors[vectors["values"].map(len) == same], queries
+    return cell[~asks], cell[asks]
 
 
 def top_k(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -78,16 +77,20 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
     and ties at it in order of id.
 
     Vectors that ``scaled`` leaves out and rows with a null id take no part, vectors of another length than
-    a query's are no candidates of it. A query id that occurs several times is one query, with
+    a query's are no candidates of it. Vectors so large that a score might not fit a long raise OverflowError. A query id that occurs several times is one query, with
     its least vector; repeated candidates are ranked each. Other columns are ignored.
     """
     usable = rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled(vector_col).alias("values")).filter("vec_id is not null and values is not null")
     vectors = materialize(usable.withColumn("row", F.xxhash64("vec_id", "values")), "vectors")
     asked = vectors.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("values").alias("values"))
     asked = materialize(asked, "queries")
-    size = vectors.agg(F.count("*"), F.max(F.array_max(F.transform("values", F.abs))), F.max(F.size("values"))).first()
-    n_vectors, n_queries = size[0], asked.count()
-    reach = int((size[1] or 0) ** 2) * int(size[2] or 0)
+    squared = F.aggregate("values", F.lit(0.0), lambda acc, x: acc + x * x)
+    n_vectors, longest = vectors.agg(F.count("*"), F.max(squared)).first()
+    n_queries = asked.count()
+    # no product of two vectors is larger than the square of the longest; a little is added, as the sum is rounded
+    if (longest or 0) >= REACH // 2:
+        raise OverflowError("inner products of these vectors may not fit a long")
+    reach = int((longest or 0) * (1 + 1e-9)) + 1
     rounds = parts((2 * reach + 1).bit_length(), BITS)
     low = -(1 << (rounds * BITS - 1)) - 1
     state = asked.select("query_id", F.lit(low).cast("long").alias("low"), F.lit(-low).cast("long").alias("high"), F.lit(k).cast("long").alias("missing"))

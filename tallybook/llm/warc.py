@@ -49,9 +49,13 @@ def _measure(html: pd.Series) -> pd.DataFrame:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the heads of ``SAMPLE_PAGES`` pages chosen by hash, ``SAMPLE_BYTES`` characters of each.
 
+    The share of hashes that is looked at holds twice as many pages as are wanted, however many there are, so that no more heads leave their tasks.
     Empty where there is too little to train on; archives then hold no dictionary frame.
     """
-    chosen = pages.filter("html is not null").select(F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("head"))
+    spread = 1 << 40
+    share = min(1.0, 2 * SAMPLE_PAGES / max(1, pages.filter("html is not null").count()))
+    narrow = pages.filter("html is not null").select(F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("head"))
+    chosen = narrow.filter(F.pmod("h", F.lit(spread)) < F.lit(int(share * spread))).repartition("h")
     samples = [(r["head"] or "").encode("utf-8", "surrogatepass") for r in chosen.orderBy("h", "head").limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

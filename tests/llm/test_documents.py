@@ -221,6 +221,14 @@ def test_language(docs, corpus, no_docs):
     assert language.identify(no_docs).count() == 0
 
 
+def test_every_letter_counts(spark, docs):
+    assert language.words_of("10 m² x½ house²x a_b Straße3c") == ["m", "x", "house", "x", "a", "b", "straße", "c"]
+    field = language.fit_documents(docs)
+    frame = spark.createDataFrame([("10 m² x½",), ("house²",), ("12 ½ ²",)], "text string")
+    got = [r[0].lang_pred for r in frame.select(language.predictor(field)("text")).collect()]
+    assert got[0] != "und" and got[1] != "und" and got[2] == "und"
+
+
 def test_forward_backward_is_the_plain_recursion():
     import numpy as np
 

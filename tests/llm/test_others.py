@@ -48,6 +48,19 @@ def test_top_k_ties(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_top_k_of_large_components_and_mixed_lengths(spark):
+    rows = [(0, [70000.0, 1.0]), (1, [1.0, -1.0]), (2, [-70000.0, 1.0]), (100, [1.0, 2.0, 3.0]), (101, [1.0, 0.0, 0.0]), (200, [2.0**20, 0.5]), (201, [3.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    for q in (0, 100, 200):
+        scored = sorted((-sum(x * y for x, y in zip(ints[q], b)), i) for i, b in ints.items() if i != q and len(b) == len(ints[q]))
+        assert got[q] == [(i, -s) for s, i in scored]
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>"))
+
+
 def test_near_vectors(spark):
     rows, frame = vectors(spark)
     usable = [(i, np.array(v, float), label) for i, v, label in rows if i is not None and label is not None and fit(v) and any(v)]
