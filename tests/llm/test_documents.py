@@ -38,6 +38,53 @@ def test_near_duplicates(docs, corpus, no_docs):
     assert near_text.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    """Chains and large groups of near copies, in buckets of many blocks, against all pairs."""
+    import random
+
+    from tallybook.llm import near_text
+
+    monkeypatch.setattr(near_text, "CELL", 16)
+    monkeypatch.setattr(near_text, "STAR", 8)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(4):
+        base = [rng.choice(words) for _ in range(60)]
+        for i in range(60):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            base = copy if group == 3 else base  # the last group is a chain of changes
+            rows.append((len(rows), " ".join(copy)))
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(56)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(rows))}
+
+
+def test_best_partners():
+    import numpy as np
+
+    from tallybook.llm import near_text
+
+    x, y, score = np.array([0, 0, 0, 1, 5]), np.array([1, 2, 3, 2, 6]), np.array([9, 8, 7, 1, 3])
+    assert near_text._best(x, y, score, 1).tolist() == [0, 1, 2, 4]
+    assert near_text._best(x, y, score, 9).tolist() == [0, 1, 2, 3, 4]
+
+
 def test_secrets(docs, corpus, no_docs):
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     want = []
