@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.llm.common import materialize, parts
+from tallybook.llm.secrets import _let as let
 from tallybook.session import small_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,7 +28,10 @@ CHUNK_CHARS = 48 << 20  # characters of documents that share a dictionary
 BUCKET_CHARS = 96 << 20  # characters of documents per bucket of words
 WORDS = 20_000  # distinct words whose edges one task sorts
 
-PIECES = T.StructType([T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType())])
+PIECES = T.StructType([
+    T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("free", T.BooleanType()),
+])
+Rows = tuple[tuple[str, int, float], ...]
 REQUEST = "chunk int, bucket int, words binary"
 ANSWER = "chunk int, words binary, ids binary, counts binary"
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -40,7 +45,7 @@ def _model(path: str):
 
 
 @functools.cache
-def piece_rows(path: str = MODEL) -> tuple[tuple[str, int, float], ...]:
+def piece_rows(path: str = MODEL) -> Rows:
     """Ordinary pieces of a model with ids and scores; control, unknown, unused and byte pieces match no text."""
     m = _model(path)
     special = lambda i: m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)
@@ -53,8 +58,36 @@ def byte_base(path: str = MODEL) -> int:
     return _model(path).piece_to_id("<0x00>")
 
 
-def piece_table(spark: SparkSession, rows: tuple[tuple[str, int, float], ...]) -> DataFrame:
-    return small_table(spark, list(rows), PIECES)
+@functools.cache
+def free_pieces(rows: Rows) -> frozenset[str]:
+    """Pieces of several characters that share one score, as those given by hand do: they are matched as they stand, longest first."""
+    shared = Counter(s for p, _, s in rows if len(p) > 1)
+    return frozenset(p for p, _, s in rows if len(p) > 1 and shared[s] > 1)
+
+
+@functools.cache
+def in_order(rows: Rows) -> bool:
+    """Whether every piece comes out whole if its own substrings are merged once each, by falling score.
+
+    Then one pass over the edges of any word equals merging the best pair again and again: while both ends of an edge are cuts,
+    what lies between is merged as the piece's own text is, and so is two parts when its turn comes.
+    """
+    scores, free = {p: s for p, _, s in rows}, free_pieces(rows)
+
+    def whole(piece: str) -> bool:
+        n, cuts = len(piece), set(range(len(piece) + 1))
+        edges = sorted((-scores[x], i, j) for i in range(n) for j in range(i + 2, n + 1) if (x := piece[i:j]) in scores and x not in free)
+        for _, i, j in edges:
+            if i in cuts and j in cuts and sum(c in cuts for c in range(i + 1, j)) == 1:
+                cuts -= set(range(i + 1, j))
+        return len(cuts) == 2
+
+    return all(whole(p) for p, _, _ in rows if len(p) > 1 and p not in free)
+
+
+def piece_table(spark: SparkSession, rows: Rows) -> DataFrame:
+    free = free_pieces(rows)
+    return small_table(spark, [(p, i, s, p in free) for p, i, s in rows], PIECES)
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
@@ -72,7 +105,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> Da
         .select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
     )
     matched = spread.join(F.broadcast(pieces), "piece")
-    return matched.groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score")).alias("edges"))
+    return matched.groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score", "free")).alias("edges"))
 
 
 def _bytes(char: Column, base: int) -> Column:
@@ -104,8 +137,40 @@ def viterbi(base: int, lowest: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, place, lambda best: F.element_at(best, -1)["ids"])
 
 
+def one_pass(base: int) -> Column:
+    """Ids of ``word`` by merging, for pieces that are ``in_order``: each edge of the lattice is tried once, by falling score, then from the left.
+
+    The state is a text with a mark for every place: 1 for a cut between parts, 0 inside a part. An edge fits if it runs
+    from cut to cut with one cut between, or any number if its piece is matched as it stands.
+    """
+    word, one, zero = F.col("word"), F.lit("1"), F.lit("0")
+    wide = F.filter("edges", lambda e: e["end"] - e["start"] > 1)
+    by_score = F.array_sort(F.transform(wide, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), (-e["end"]).alias("back"), e["free"].alias("free"))))
+
+    def merge(marks: Column, e: Column) -> Column:
+        own = F.substring(marks, e["start"] + 1, 1 - e["back"] - e["start"])
+        fits = F.startswith(own, one) & F.endswith(own, one) & (e["free"] | (F.replace(own, zero, F.lit("")) == "111"))
+        joined = F.concat(F.substring(marks, F.lit(1), e["start"] + 1), F.repeat(zero, -e["back"] - e["start"] - 1), F.substring(marks, 1 - e["back"], F.length(word) + 1))
+        return F.when(fits, joined).otherwise(marks)
+
+    def parts_of(marks: Column) -> Column:
+        is_part = lambda e: F.substring(marks, e["start"] + 1, e["end"] - e["start"] + 1) == F.concat(one, F.repeat(zero, e["end"] - e["start"] - 1), one)
+        own = F.transform(F.filter("edges", lambda e: (e["end"] > e["start"]) & is_part(e)), lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids"), (e["end"] - e["start"]).alias("size")))
+        return let(own, lambda found: filled(found, marks))
+
+    def filled(found: Column, marks: Column) -> Column:
+        """The parts in order; where no piece stands for a part, which then is one character, its bytes."""
+        covered = F.aggregate(found, F.lit(0), lambda n, e: n + e["size"])
+        alone = F.filter(F.sequence(F.lit(0), F.length(word) - 1), lambda i: (F.substring(marks, i + 1, F.lit(2)) == "11") & ~F.exists(found, lambda e: e["start"] == i))
+        raw = F.transform(alone, lambda i: F.struct(i.alias("start"), _bytes(F.substring(word, i + 1, F.lit(1)), base).alias("ids"), F.lit(1).alias("size")))
+        every = F.when(covered == F.length(word), found).otherwise(F.concat(found, raw))
+        return F.flatten(F.transform(F.array_sort(every), lambda e: e["ids"]))
+
+    return let(F.aggregate(by_score, F.repeat(one, F.length(word) + 1), merge), parts_of)
+
+
 def merges(base: int) -> Column:
-    """Ids of ``word`` by merging: of all edges over two neighbouring parts the best, leftmost one joins them, again and again.
+    """Ids of ``word`` by merging, for any pieces: of all edges over two neighbouring parts the best, leftmost one joins them, again and again.
 
     The state holds the cuts between parts, from single characters on.
     """
@@ -176,11 +241,15 @@ def viterbi_word(word: str, table: dict[str, tuple[int, float]], base: int, long
     return [i for ids in reversed(out) for i in ids]
 
 
-def encode_words(words: DataFrame, rows: tuple[tuple[str, int, float], ...], base: int, kind: str) -> DataFrame:
-    """Ids of distinct words: the columns of ``words`` and ``ids``. ``kind`` is ``bpe`` or ``unigram``."""
+def encode_words(words: DataFrame, rows: Rows, base: int, kind: str) -> DataFrame:
+    """Ids of distinct words: the columns of ``words`` and ``ids``. ``kind`` is ``bpe`` or ``unigram``.
+
+    A model of scores that add up takes the best path through the lattice. The scores of a merging model are ranks, and its
+    ids are not those of a best path, so its edges are folded by rank.
+    """
     longest, lowest = max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
     pieces = piece_table(words.sparkSession, rows + (("", -1, 0.0),))
-    fold = viterbi(base, lowest) if kind == "unigram" else merges(base)
+    fold = viterbi(base, lowest) if kind == "unigram" else one_pass(base) if in_order(rows) else merges(base)
     tasks = parts(words.count(), WORDS)
     short = lattice(words.filter(F.length("word") <= LONG).select("word"), pieces, longest, tasks).select("word", fold.alias("ids"))
 

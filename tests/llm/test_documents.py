@@ -227,6 +227,19 @@ def test_words_by_merging_and_by_best_path(spark):
     assert frame.filter(F.length("word") > pieces.LONG).count() == 1
 
 
+def test_words_in_one_pass(spark):
+    import random
+
+    rows, base = pieces.piece_rows(), pieces.byte_base()
+    assert pieces.in_order(rows) and all(set(p) == {pieces.SPACE} for p in pieces.free_pieces(rows))
+    table, rng = {p: (i, s) for p, i, s in rows}, random.Random(5)
+    letters = ["etaoinsrhl", "0123456789", "aàäbcçdeéèfghiïjk", pieces.SPACE * 6 + "._-the", "日本語のテ", "😀é\u0301x"]
+    words = {"".join(rng.choice(kind) for _ in range(rng.randint(1, 60))) for kind in letters for _ in range(60)} | {pieces.SPACE * n for n in range(1, 60)}
+    words |= {pieces.SPACE * n + "the" for n in range(30)}
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r.word: r.ids for r in pieces.encode_words(frame, rows, base, "bpe").collect()} == {w: pieces.merge_word(w, table, base) for w in words}
+
+
 def test_repeats(docs, corpus, no_docs):
     first, want = {}, []
     for i, text, *_ in sorted(corpus, key=lambda r: r[0]):
