@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,8 @@ MINIMA = BANDS * ROWS
 SURE = 0.59  # share of equal minima below which a pair is not looked at: 4 standard errors under 0.75
 STAR = 64  # nodes of a sub-group of a bucket that are held against one of them
 CELL = 256  # nodes of a bucket that meet in one cell
-MOST, ROUNDS = 4, 3  # partners of each node in a round before all pairs are looked at, and such rounds
+STEPS = (0, 2, 8, BANDS)  # bands whose buckets are held against a few of their nodes, step by step
+MOST, ROUNDS = 2, 3  # partners of each node in a round before all pairs are looked at, and such rounds
 
 _rng = np.random.default_rng(20240501)
 A = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,23 +113,24 @@ def _sizes_allow(a: str, b: str) -> Column:
 
 
 def _stars(met: DataFrame) -> DataFrame:
-    """Pairs that hold the nodes of each bucket against a few of them.
+    """Pairs of different components that hold the nodes of each bucket against a few of them.
 
     A bucket is dealt into sub-groups of about ``STAR`` nodes by hash, each node is paired with the least
     hash of its sub-group, and these again, level by level, until one is left. Sub-groups differ
     from bucket to bucket, so a node meets several others.
     """
-    level = met.select("bucket", "node", F.greatest(F.lit(0), F.ceil(F.log2(F.col("members") / STAR))).cast("int").alias("bits"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    level = met.join(as_lookup(sizes), "bucket").select("bucket", "node", "component", F.greatest(F.lit(0), F.ceil(F.log2(F.col("members") / STAR))).cast("int").alias("bits"))
     depth = level.agg(F.max("bits")).first()[0] or 0
     fewer = STAR.bit_length() - 1
     pairs = None
     for step in range(depth // fewer + 2):
         dealt = level.withColumn("part", F.pmod(F.xxhash64("bucket", "node", F.lit(step)), F.pow(F.lit(2.0), F.col("bits")).cast("long")))
-        centres = dealt.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("c"), F.first("bits").alias("bits"))
-        centres = materialize(centres.select("bucket", "part", "bits", F.col("c.node").alias("v")), "centres")
-        met_here = dealt.join(as_lookup(centres.select("bucket", "part", "v")), ["bucket", "part"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+        centres = dealt.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("component"))).alias("c"), F.first("bits").alias("bits"))
+        centres = materialize(centres.select("bucket", "part", "bits", F.col("c.node").alias("v"), F.col("c.component").alias("other")), "centres")
+        met_here = dealt.join(as_lookup(centres.select("bucket", "part", "v", "other")), ["bucket", "part"]).filter("component <> other").select(F.col("node").alias("u"), "v").distinct()
         pairs = met_here if pairs is None else pairs.unionByName(met_here)
-        level = centres.filter("bits > 0").select("bucket", F.col("v").alias("node"), F.greatest(F.lit(0), F.col("bits") - fewer).alias("bits"))
+        level = centres.filter("bits > 0").select("bucket", F.col("v").alias("node"), F.col("other").alias("component"), F.greatest(F.lit(0), F.col("bits") - fewer).alias("bits"))
         if step * fewer >= depth:
             break
     return pairs.distinct()
@@ -157,9 +159,9 @@ def _candidates(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray, most: int
     x, y, same = (np.concatenate(c) for c in zip(*found))
     if most is not None:
         kept = _best(x, y, same, most)
-        x, y = x[kept], y[kept]
+        x, y, same = x[kept], y[kept], same[kept]
     node = rows["node"].combine_chunks()
-    return pa.table({"u": node.take(pa.array(x)), "v": node.take(pa.array(y))})
+    return pa.table({"u": node.take(pa.array(x)), "v": node.take(pa.array(y)), "same": pa.array(same, pa.int64())})
 
 
 def _cells(rows: DataFrame, most: int | None = None) -> DataFrame:
@@ -194,8 +196,14 @@ def _cells(rows: DataFrame, most: int | None = None) -> DataFrame:
                 yield from _candidates(table.slice(0, cut), starts, np.diff(np.append(starts, cut)), most).to_batches()
 
     key = ["bucket", "i", "j"]
-    found = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(walk, "u binary, v binary")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(walk, "u binary, v binary, same long")
+    pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "same").distinct()
+    if most is None:
+        return pairs.select("u", "v")
+    # a node's best of all its cells, of which each has named a few
+    ends = pairs.select("u", "v", "same", F.explode(F.array("u", "v")).alias("end"))
+    placed = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("same"), "u", "v"))
+    return ends.withColumn("place", placed).filter(F.col("place") <= most).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,9 +229,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima")), "classes")
 
     band = lambda i: F.xxhash64(F.lit(i), F.substring("minima", 4 * ROWS * i + 1, 4 * ROWS))
-    banded = classes.select("node", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
+    banded = classes.select("node", F.posexplode(F.array(*[band(i) for i in range(BANDS)])).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    met = materialize(banded.join(as_lookup(shared), "bucket"), "met")
+    met = materialize(banded.join(as_lookup(shared.select("bucket")), "bucket"), "met")
 
     # full sets of the nodes that share a bucket
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -252,14 +260,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("u", "v")
         )
 
-    def still_open(known: DataFrame) -> DataFrame:
+    def still_open(known: DataFrame, met: DataFrame = met) -> DataFrame:
         """Nodes of the buckets that hold several components, with their component."""
         placed = met.join(as_lookup(known), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
         return placed.join(as_lookup(several), "bucket")
 
-    # a few nodes of each bucket against its other nodes
-    known = components(materialize(verified(checked(_stars(met))), "links"))
+    def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+        return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+    # a few nodes of each bucket against its other nodes; a large group is mostly joined by the first few bands, and leaves little to the others
+    known = classes.select("node", F.col("node").alias("component")).limit(0)
+    for first, last in zip(STEPS, STEPS[1:]):
+        here = materialize(still_open(known, met.filter(F.col("band").between(first, last - 1))), "here")
+        known = joined(known, materialize(verified(checked(_stars(here))), "links"))
 
     # each open node against the few most like it in other components, which joins most of what belongs together
     left = materialize(still_open(known).join(signs, "node"), "open")
@@ -267,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few = materialize(verified(materialize(_cells(left, MOST), "pairs")), "links")
         if few.isEmpty():
             break
-        known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(few))
+        known = joined(known, few)
         left = materialize(still_open(known).join(signs, "node"), "open")
 
     # what is open still: all pairs across its components
