@@ -24,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 LONG = 64  # code points; the lattice of a longer word is folded by the same rules outside of SQL
-CHUNK_CHARS = 48 << 20  # characters of documents that share a dictionary
+CHUNK_CHARS = 36 << 20  # characters of documents that share a dictionary
 BUCKET_CHARS = 96 << 20  # characters of documents per bucket of words
 WORDS = 20_000  # distinct words whose edges one task sorts
 
@@ -97,6 +97,19 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> Da
     first, to so many tasks that each holds its edges in memory, so grouping the edges by word moves none of them. The pieces, a vocabulary of
     fixed size, are broadcast. An empty edge keeps words in which no piece occurs.
     """
+    return _edges(words, pieces, longest, tasks).groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score", "free")).alias("edges"))
+
+
+def ranked_lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
+    """The same edges as merging looks at them: ``word``, ``edges`` of several characters by (cost, start, -size, ...) and ``chars`` (start, id)."""
+    size = F.col("end") - F.col("start")
+    edge = F.struct((-F.col("score")).alias("cost"), "start", (-size).alias("back"), size.alias("size"), "id", "free")
+    char = F.struct("start", "id")
+    return _edges(words, pieces, longest, tasks).groupBy("word").agg(F.collect_list(F.when(size > 1, edge)).alias("edges"), F.collect_list(F.when(size == 1, char)).alias("chars"))
+
+
+def _edges(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
+    """One row per edge: the word, its places, and the piece's id, score and kind."""
     n = F.length("word")
     spread = (
         words.repartition(tasks, "word")
@@ -104,8 +117,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> Da
         .select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
         .select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
     )
-    matched = spread.join(F.broadcast(pieces), "piece")
-    return matched.groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score", "free")).alias("edges"))
+    return spread.join(F.broadcast(pieces), "piece")
 
 
 def _bytes(char: Column, base: int) -> Column:
@@ -140,33 +152,35 @@ def viterbi(base: int, lowest: float) -> Column:
 def one_pass(base: int) -> Column:
     """Ids of ``word`` by merging, for pieces that are ``in_order``: each edge of the lattice is tried once, by falling score, then from the left.
 
-    The state is a text with a mark for every place: 1 for a cut between parts, 0 inside a part. An edge fits if it runs
+    ``edges`` are those of :func:`ranked_lattice`. The state is a text with a mark for every place: 1 for a cut between parts, 0 inside a part. An edge fits if it runs
     from cut to cut with one cut between, or any number if its piece is matched as it stands.
     """
     word, one, zero = F.col("word"), F.lit("1"), F.lit("0")
-    wide = F.filter("edges", lambda e: e["end"] - e["start"] > 1)
-    by_score = F.array_sort(F.transform(wide, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), (-e["end"]).alias("back"), e["free"].alias("free"))))
+    blank = lambda n: F.substring(F.lit("0" * LONG), F.lit(1), n)
 
     def merge(marks: Column, e: Column) -> Column:
-        own = F.substring(marks, e["start"] + 1, 1 - e["back"] - e["start"])
+        own = F.substring(marks, e["start"] + 1, e["size"] + 1)
         fits = F.startswith(own, one) & F.endswith(own, one) & (e["free"] | (F.replace(own, zero, F.lit("")) == "111"))
-        joined = F.concat(F.substring(marks, F.lit(1), e["start"] + 1), F.repeat(zero, -e["back"] - e["start"] - 1), F.substring(marks, 1 - e["back"], F.length(word) + 1))
+        joined = F.concat(F.substring(marks, F.lit(1), e["start"] + 1), blank(e["size"] - 1), F.substring(marks, e["start"] + e["size"] + 1, F.lit(LONG + 1)))
         return F.when(fits, joined).otherwise(marks)
 
     def parts_of(marks: Column) -> Column:
-        is_part = lambda e: F.substring(marks, e["start"] + 1, e["end"] - e["start"] + 1) == F.concat(one, F.repeat(zero, e["end"] - e["start"] - 1), one)
-        own = F.transform(F.filter("edges", lambda e: (e["end"] > e["start"]) & is_part(e)), lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids"), (e["end"] - e["start"]).alias("size")))
-        return let(own, lambda found: filled(found, marks))
+        # a part is marked by a cut, as many blanks as it has further characters, and a cut
+        wide = F.filter("edges", lambda e: F.substring(marks, e["start"] + 1, e["size"] + 1) == F.concat(one, blank(e["size"] - 1), one))
+        single = F.filter("chars", lambda c: F.substring(marks, c["start"] + 1, F.lit(2)) == "11")
+        found = F.concat(F.transform(wide, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))), single)
+        covered = F.size(single) + F.aggregate(wide, F.lit(0), lambda n, e: n + e["size"])
+        whole = F.transform(F.array_sort(found), lambda e: e["id"])
+        return F.when(covered == F.length(word), whole).otherwise(let(found, lambda f: filled(f, marks)))
 
     def filled(found: Column, marks: Column) -> Column:
-        """The parts in order; where no piece stands for a part, which then is one character, its bytes."""
-        covered = F.aggregate(found, F.lit(0), lambda n, e: n + e["size"])
+        """The ids in order with bytes for each part, one character then, for which no piece stands."""
         alone = F.filter(F.sequence(F.lit(0), F.length(word) - 1), lambda i: (F.substring(marks, i + 1, F.lit(2)) == "11") & ~F.exists(found, lambda e: e["start"] == i))
-        raw = F.transform(alone, lambda i: F.struct(i.alias("start"), _bytes(F.substring(word, i + 1, F.lit(1)), base).alias("ids"), F.lit(1).alias("size")))
-        every = F.when(covered == F.length(word), found).otherwise(F.concat(found, raw))
-        return F.flatten(F.transform(F.array_sort(every), lambda e: e["ids"]))
+        raw = F.transform(alone, lambda i: F.struct(i.alias("start"), _bytes(F.substring(word, i + 1, F.lit(1)), base).alias("ids")))
+        known = F.transform(found, lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids")))
+        return F.flatten(F.transform(F.array_sort(F.concat(known, raw)), lambda e: e["ids"]))
 
-    return let(F.aggregate(by_score, F.repeat(one, F.length(word) + 1), merge), parts_of)
+    return let(F.aggregate(F.array_sort("edges"), F.repeat(one, F.length(word) + 1), merge), parts_of)
 
 
 def merges(base: int) -> Column:
@@ -249,9 +263,10 @@ def encode_words(words: DataFrame, rows: Rows, base: int, kind: str) -> DataFram
     """
     longest, lowest = max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
     pieces = piece_table(words.sparkSession, rows + (("", -1, 0.0),))
-    fold = viterbi(base, lowest) if kind == "unigram" else one_pass(base) if in_order(rows) else merges(base)
+    ranked = kind != "unigram" and in_order(rows)
+    fold = one_pass(base) if ranked else viterbi(base, lowest) if kind == "unigram" else merges(base)
     tasks = parts(words.count(), WORDS)
-    short = lattice(words.filter(F.length("word") <= LONG).select("word"), pieces, longest, tasks).select("word", fold.alias("ids"))
+    short = (ranked_lattice if ranked else lattice)(words.filter(F.length("word") <= LONG).select("word"), pieces, longest, tasks).select("word", fold.alias("ids"))
 
     @F.pandas_udf("array<int>")
     def outside(batch: pd.Series) -> pd.Series:
