@@ -186,3 +186,20 @@ def test_load_from_statement_folders(spark, raw, rules, tmp_path):
     assert load_from_statements(spark, sources, table, fees={"after": "2025-04-01"}).count() == 3
     with pytest.raises(ValueError, match="unknown kind"):
         load_from_statements(spark, {"pdf": "x"}, table)
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("overlaps", [R.overlap_classes])
+def test_overlaps_gather_no_terms_on_the_driver(spark, tmp_path, overlaps):
+    """The file is small, its terms by word may not be: the planner's guess must not make it broadcast them."""
+    rows = spark.range(50).selectExpr(
+        "cast(id as int) as rule_ord", "concat('N', id) as name", "'spesa' as classification", "array(concat('old rod sku ', id), concat('sku ', id)) as descriptions"
+    )
+    rows.write.parquet(str(tmp_path / "rules"))
+    found = overlaps(spark.read.parquet(str(tmp_path / "rules")))
+    assert "Broadcast" not in plan_of(found)
+    # Each "sku" term occurs in its own long one.
+    assert found.count() == 50
