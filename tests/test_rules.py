@@ -192,7 +192,7 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("overlaps", [R.overlap_classes])
+@pytest.mark.parametrize("overlaps", [R.overlap_classes, R.rule_overlaps])
 def test_overlaps_gather_no_terms_on_the_driver(spark, tmp_path, overlaps):
     """The file is small, its terms by word may not be: the planner's guess must not make it broadcast them."""
     rows = spark.range(50).selectExpr(
