@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tallybook import session
 from tallybook.operators import filters, rules as R
 from tallybook.plans.load import LedgerError, load_from_statements, load_ledger
 from tallybook.sources import rule_store
@@ -203,3 +204,17 @@ def test_overlaps_gather_no_terms_on_the_driver(spark, tmp_path, overlaps):
     assert "Broadcast" not in plan_of(found)
     # Each "sku" term occurs in its own long one.
     assert found.count() == 50
+
+
+def test_terms_are_broadcast_only_if_counted_to_be_few(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("concat('old rod sku ', id) as term", "concat('n', id) as name").write.parquet(str(tmp_path / "terms"))
+    spark.range(300).selectExpr("concat('old rod sku ', id, ' shop') as description").write.parquet(str(tmp_path / "texts"))
+    terms, texts = (spark.read.parquet(str(tmp_path / n)) for n in ("terms", "texts"))
+    assert "Broadcast" not in plan_of(R.term_anchors(terms))
+    few = R.match_terms(texts, terms)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    many = R.match_terms(texts, terms)
+    assert "BroadcastHashJoin" in plan_of(few) and "Broadcast" not in plan_of(many)
+    assert sorted(rows_of(few)) == sorted(rows_of(many))
+    # a text holds the terms of its own number and of its beginnings
+    assert many.count() == sum(len(str(i)) for i in range(300))
