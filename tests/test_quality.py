@@ -168,3 +168,9 @@ def test_slices_of_very_many_values(spark):
     assert "Window" in plan and "SinglePartition" not in plan
     none = led.limit(0)
     assert filters.slice_values(none).count() == 0 and filters.slice_by_index(led, 100_001).count() == 100_000
+
+
+def test_ledger_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    from tallybook.catalog import inputs
+
+    assert "Broadcast" not in inputs.raw_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
