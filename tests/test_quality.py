@@ -170,6 +170,29 @@ def test_slices_of_very_many_values(spark):
     assert filters.slice_values(none).count() == 0 and filters.slice_by_index(led, 100_001).count() == 100_000
 
 
+def test_a_split_moves_no_row_and_few_copies_stay_in_place(spark, tmp_path, monkeypatch):
+    """However many fingerprints are repeated: only the rows counted for the marks, and the copies, are shuffled."""
+    monkeypatch.setattr(Q, "MARK_BITS", 1 << 11)
+    spark.range(4000).selectExpr("id div 2 as x", "cast(null as string) as y").union(
+        spark.range(10_000, 14_000).selectExpr("id as x", "'one' as y")
+    ).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    unique, copies = Q.split_repeats(rows, ["x", "y"])
+    for part in (unique, copies):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" not in plan and "LeftAnti" not in plan and "strategy=broadcast" in plan
+    # No copy is taken for a single row, though bits are shared; every row is in one part.
+    assert unique.groupBy("x", "y").count().filter("count > 1").isEmpty() and unique.filter("x < 10000").isEmpty()
+    assert sorted(rows_of(unique.unionByName(copies), "x")) == sorted(rows_of(rows, "x"))
+
+
+def test_suffixes_of_few_and_of_many_copies(spark):
+    many = Q.COPIES_IN_PLACE * 3
+    rows = spark.range(many + 3).selectExpr("case when id < 3 then 'few' else 'many' end as description", "1 as amount")
+    got = sorted(rows_of(Q.dedup_suffix(rows, key=["description", "amount"], counter_by="subset"), "description"))
+    assert got == sorted([(f"few_{i}",) for i in range(1, 4)] + [(f"many_{i}",) for i in range(1, many + 1)])
+
+
 def test_ledger_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     from tallybook.catalog import inputs
 
