@@ -19,6 +19,7 @@ LEXICON = 1000  # frequent words kept per language
 SLOTS = 1 << 16  # hashed affixes, n-grams and words
 STEPS, RATE, DECAY = 40, 0.3, 1e-4
 CHUNK = 100_000  # words scored at once
+FIT_CHUNK = 60_000  # words of a step of fitting that are held at once, or one text
 BLOCK = 64  # words of a block of forward-backward
 WORD = re.compile(r"[^\W\d_]+")
 EDGE = (2, 3)  # code points put before and after a word
@@ -162,11 +163,19 @@ def marginals(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) ->
     return joint / joint.sum(axis=1, keepdims=True)
 
 
+def _runs(first: np.ndarray) -> list[slice]:
+    """Slices of whole texts that hold about ``FIT_CHUNK`` words each; ``first`` marks where a text begins."""
+    starts = np.flatnonzero(first)
+    cuts = starts[np.diff(starts // FIT_CHUNK, prepend=-1) > 0]
+    return [slice(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(first)))]
+
+
 def fit(samples: list[tuple[str, str]]) -> Field:
     """Fit a field on (text, language) pairs by gradient steps on the likelihood of the labels.
 
     Half of the training data are plain runs of words, half are spliced from runs of
-    different languages, so that transitions learn both to stay and to switch.
+    different languages, so that transitions learn both to stay and to switch. A step goes over all
+    words, some texts at a time, so what it holds does not grow with the texts.
     """
     labels = sorted({lang for _, lang in samples})
     size = len(labels)
@@ -185,29 +194,34 @@ def fit(samples: list[tuple[str, str]]) -> Field:
     common = [w for label in range(size) for w, _ in Counter(w for run, l in plain if l == label for w in run).most_common(LEXICON)]
     lexicon = {w: i for i, w in enumerate(dict.fromkeys(common))}
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids, truth, first = np.fromiter(map(vocabulary.get, words), np.int64, len(words)), np.array(truth), np.array(first)
+    ids, truth, first = np.fromiter(map(vocabulary.get, words), np.int32, len(words)), np.array(truth, np.int8 if size < 128 else np.int32), np.array(first)
     first[0] = True
-    slots, owner = slots_of(list(vocabulary))
+    slots, owner = (a.astype(np.int32) for a in slots_of(list(vocabulary)))
     entry = np.array([lexicon.get(w, -1) for w in vocabulary])
     known = np.flatnonzero(entry >= 0)
+    types = len(vocabulary)
+    del plain, runs, shuffled, words, vocabulary
 
     weights, transitions, member = np.zeros((SLOTS, size)), np.zeros((size, size)), np.zeros((len(lexicon), size))
     past = [np.full_like(a, 1e-8) for a in (weights, transitions, member)]
-    gold = np.eye(size)[truth]
     inner = ~first[1:]
     pairs = np.zeros((size, size))
     np.add.at(pairs, (truth[:-1][inner], truth[1:][inner]), 1)
+    texts = _runs(first)
     for _ in range(STEPS):
-        local = np.stack([np.bincount(owner, weights[slots, l], len(vocabulary)) for l in range(size)], axis=1)
+        local = np.stack([np.bincount(owner, weights[slots, l], types) for l in range(size)], axis=1)
         local[known] += member[entry[known]]
-        scores = local[ids]
-        forward, backward, energy = forward_backward(scores, first, transitions)
-        posterior = forward * backward
-        miss = gold - posterior / posterior.sum(axis=1, keepdims=True)
-        by_word = np.stack([np.bincount(ids, miss[:, l], len(vocabulary)) for l in range(size)], axis=1)
-        after = energy[1:][inner] * backward[1:][inner]
-        joint = forward[:-1][inner][:, :, None] * np.exp(transitions) * after[:, None, :]
-        expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        by_word, expected = np.zeros((types, size)), np.zeros((size, size))
+        for some in texts:
+            forward, backward, energy = forward_backward(local[ids[some]], first[some], transitions)
+            posterior = forward * backward
+            miss = np.eye(size)[truth[some]] - posterior / posterior.sum(axis=1, keepdims=True)
+            for label in range(size):
+                by_word[:, label] += np.bincount(ids[some], miss[:, label], types)
+            within = ~first[some][1:]
+            after = energy[1:][within] * backward[1:][within]
+            joint = forward[:-1][within][:, :, None] * np.exp(transitions) * after[:, None, :]
+            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         steps = (
             np.stack([np.bincount(slots, by_word[owner, l], SLOTS) for l in range(size)], axis=1),
             pairs - expected,

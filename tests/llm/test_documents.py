@@ -309,3 +309,21 @@ def test_forward_backward_is_the_plain_recursion():
             g[t] /= g[t].sum()
         want.append(f * g / (f * g).sum(axis=1, keepdims=True))
     assert np.allclose(language.marginals(scores, first, moves), np.concatenate(want))
+
+
+def test_fitting_holds_some_texts_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    some = [(" ".join(rng.choice([f"{lang}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], 6000)), lang) for lang in "abcd" for _ in range(15)]
+    monkeypatch.setattr(language, "STEPS", 1)
+    tracemalloc.start()
+    field = language.fit(some)  # 720,000 words with the spliced ones
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    monkeypatch.setattr(language, "FIT_CHUNK", 1 << 40)
+    whole = language.fit(some)
+    assert np.allclose(field.weights, whole.weights) and np.allclose(field.transitions, whole.transitions)
