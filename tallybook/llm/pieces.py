@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 LONG = 64  # code points; the lattice of a longer word is folded by the same rules outside of SQL
-CHUNK_CHARS = 36 << 20  # characters of documents that share a dictionary
-BUCKET_CHARS = 96 << 20  # characters of documents per bucket of words
+CHUNK_CHARS = 8 << 20  # characters of documents that share a dictionary
+BUCKET_CHARS = 48 << 20  # characters of documents per bucket of words, which a worker of Python holds as objects
 WORDS = 20_000  # distinct words whose edges one task sorts
 
 PIECES = T.StructType([
@@ -286,7 +286,12 @@ def words_of(text: str) -> list[str]:
 
 
 def _bucket(word: str, buckets: int) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % buckets
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+
+
+def _bucket_of(word: str, buckets: int) -> Column:
+    """The same number as a column, so that no second worker of Python runs beside that of the buckets."""
+    return F.pmod(F.crc32(F.col(word).cast("binary")), F.lit(buckets)).cast("int")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -374,8 +379,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     requests = materialize(chunked.groupBy("chunk").applyInArrow(ask, REQUEST), "requests")
     known = requests.groupBy("bucket").applyInArrow(union, "word string")
     encoded = materialize(encode_words(materialize(known, "words"), rows, base, kind), "encoded")
-    in_bucket = F.pandas_udf(lambda w: w.map(lambda x: _bucket(x, buckets)).astype("int32"), "int")
-    answers = requests.groupBy("bucket").cogroup(encoded.withColumn("bucket", in_bucket("word")).groupBy("bucket")).applyInArrow(answer, ANSWER)
+    answers = requests.groupBy("bucket").cogroup(encoded.withColumn("bucket", _bucket_of("word", buckets)).groupBy("bucket")).applyInArrow(answer, ANSWER)
     answers = materialize(answers, "answers")
     out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, ENCODED)
     return out.withColumnRenamed("doc_id", id_col)

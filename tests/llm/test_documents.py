@@ -327,3 +327,13 @@ def test_fitting_holds_some_texts_at_a_time(monkeypatch):
     monkeypatch.setattr(language, "FIT_CHUNK", 1 << 40)
     whole = language.fit(some)
     assert np.allclose(field.weights, whole.weights) and np.allclose(field.transitions, whole.transitions)
+
+
+def test_many_small_chunks_and_buckets_of_words(spark, docs, monkeypatch):
+    words = ["a", "▁the", "é́", "日本", "😀", "▁" * 40]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r.word: r.b for r in frame.select("word", pieces._bucket_of("word", 7).alias("b")).collect()} == {w: pieces._bucket(w, 7) for w in words}
+    whole = {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect()}
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(pieces, "BUCKET_CHARS", 2000)
+    assert {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect()} == whole
