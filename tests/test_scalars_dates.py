@@ -64,3 +64,10 @@ def test_columns_agree_with_as_of(spark):
             if name not in ("day", "report_start", "report_end"):
                 assert row[name] == getattr(ctx, name), (name, row["day"])
         assert (row["report_start"], row["report_end"]) == ctx.report_window
+
+
+def test_amount_is_worked_out_once(spark):
+    frame = spark.createDataFrame([("- 3,60",), ("",), ("n.d.",), (None,)], "v string")
+    parsed = frame.select(S.parse_amount(F.upper("v")).alias("a"))
+    assert [r.a for r in parsed.collect()] == [-3.6, None, None, None]
+    assert parsed._jdf.queryExecution().analyzed().toString().count("upper(") <= 3
