@@ -154,3 +154,11 @@ def test_strict_dates(spark):
     assert rows_of(tables.date_violations(frame, ["day"], ["k"])) == [(2, "day", "2001-02-30")]
     with pytest.raises(Exception):
         tables.type_dates(frame, ["day"], strict=True).collect()
+
+
+def test_lines_are_moved_once_for_totals_and_rows(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(["01/02/2024 02/02/2024 uno 1,00", "01/02/2024 02/02/2024 due", "2,00-", "saldo 9,00"] * 50))
+    paired = st.pair_amounts(st.read_statement_lines(spark, str(tmp_path)))
+    assert sorted(rows_of(paired, "k", "amount_text"))[:3] == [(1, "1,00"), (2, "2,00-"), (3, "1,00")]
+    paired.collect()
+    assert "ReusedExchange" in paired._jdf.queryExecution().executedPlan().toString()
