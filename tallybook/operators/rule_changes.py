@@ -133,11 +133,20 @@ def resolve_renames(renames: DataFrame) -> DataFrame:
     given = steps.select(F.col("new_name").alias("key"), "seq", F.lit(None).cast("bigint").alias("asked_at"), "name", "new_name")
     later = Window.partitionBy("key").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
     linked = asked.unionByName(given).withColumn("next_seq", F.min("asked_at").over(later))
-    links = staged(linked.filter("name is not null").select("name", "seq", "new_name", "next_seq"), "renames")
-    while not links.filter("next_seq is not null").isEmpty():
-        onward = links.select(F.col("name").alias("via"), F.col("seq").alias("via_seq"), F.col("new_name").alias("to"), F.col("next_seq").alias("to_seq"))
-        jumped = links.join(onward, (links.new_name == onward.via) & (links.next_seq == onward.via_seq), "left")
-        links = staged(jumped.select("name", "seq", F.coalesce("to", "new_name").alias("new_name"), F.col("to_seq").alias("next_seq")), "renames")
+    # A request is known by its number and its name; jumps carry a number of their own for it, and no name.
+    here = linked.filter("name is not null").select("name", "seq", "new_name", "next_seq").withColumn("id", F.monotonically_increasing_id())
+    requests = staged(here, "renames")
+    onward = requests.select(F.col("name").alias("via"), F.col("seq").alias("via_seq"), F.col("id").alias("to"), F.col("next_seq").isNotNull().alias("open"))
+    met = (requests.new_name == onward.via) & (requests.next_seq == onward.via_seq)
+    links = staged(requests.filter("next_seq is not null").join(onward, met).select("id", "to", onward.open), "renames")
+    while not links.filter("open").isEmpty():
+        # those that have reached the end of their chain stay as they are, as targets of the others
+        further = links.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("open").alias("more"))
+        jumped = links.join(further, "to", "left").select("id", F.coalesce("beyond", "to").alias("to"), F.coalesce("more", F.lit(False)).alias("open"))
+        links = staged(jumped, "renames")
+    ends = requests.select(F.col("id").alias("to"), F.col("new_name").alias("last_name"))
+    ended = links.join(ends, "to").select("id", "last_name")
+    links = requests.join(ended, "id", "left").select("name", "seq", F.coalesce("last_name", "new_name").alias("new_name"))
     return links.groupBy("name").agg(F.min_by("new_name", "seq").alias("new_name"))
 
 

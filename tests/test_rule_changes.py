@@ -135,3 +135,14 @@ def test_a_rule_with_very_many_terms(spark, rules):
     changes = change_set(spark, [{"seq": i, "op": "remove_term", "name": "A", "term": t} for i, t in enumerate(terms)] + [{"seq": 99_999, "op": "add_term", "name": "A", "term": "new"}])
     assert dict(rows_of(C.apply_rule_changes(table, changes), "name", "descriptions")) == {"A": ["new"], "B": ["t1", "t1"]}
     assert took < 20
+
+
+def test_jumps_carry_no_names(spark, monkeypatch):
+    from tallybook.operators import rule_changes
+
+    kept, stage = [], rule_changes.staged
+    monkeypatch.setattr(rule_changes, "staged", lambda frame, name: kept.append(dict(frame.dtypes)) or stage(frame, name))
+    chain = spark.createDataFrame([(i, f"n{i}", f"n{i + 1}") for i in range(20)] + [(30, "x", "y")], "seq long, name string, new_name string")
+    got = {r.name: r.new_name for r in rule_changes.resolve_renames(chain).collect()}
+    assert got == {f"n{i}": "n20" for i in range(20)} | {"x": "y"}
+    assert len(kept) > 2 and all("string" not in types.values() for types in kept[1:])
