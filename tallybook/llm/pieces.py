@@ -16,21 +16,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.llm.common import materialize, parts
+from tallybook.llm.common import discard, materialize, parts, setting
 from tallybook.llm.secrets import _let as let
 from tallybook.session import small_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-LONG = 64  # code points; the lattice of a longer word is folded by the same rules outside of SQL
+LONG = 62  # code points, whose cuts fit into one number; the lattice of a longer word is folded by the same rules outside of SQL
 CHUNK_CHARS = 8 << 20  # characters of documents that share a dictionary
-BUCKET_CHARS = 48 << 20  # characters of documents per bucket of words, which a worker of Python holds as objects
+BUCKET_CHARS = 32 << 20  # characters of documents per bucket of words, which a worker of Python holds as objects
 WORDS = 20_000  # distinct words whose edges one task sorts
 
 PIECES = T.StructType([
     T.StructField("piece", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("free", T.BooleanType()),
 ])
+RANKED = T.StructType([T.StructField("piece", T.StringType()), T.StructField("code", T.LongType())])
+# An edge of a ranked lattice as one number: rank of the score, start, LONG less the size, id, kind. Numbers sort as edges are tried.
+RANK, START, BACK, ID = 30, 24, 18, 1
+IDS = 1 << 17  # ids of single characters stand in for them as characters of the private planes
+PRIVATE = 0xF0000
+UNKNOWN = IDS  # a single character without a piece
 Rows = tuple[tuple[str, int, float], ...]
 REQUEST = "chunk int, bucket int, words binary"
 ANSWER = "chunk int, words binary, ids binary, counts binary"
@@ -90,6 +96,13 @@ def piece_table(spark: SparkSession, rows: Rows) -> DataFrame:
     return small_table(spark, [(p, i, s, p in free) for p, i, s in rows], PIECES)
 
 
+def ranked_table(spark: SparkSession, rows: Rows) -> DataFrame:
+    """Pieces of several characters with the part of an edge's number that does not depend on its place; the empty piece has none."""
+    free, rank = free_pieces(rows), {x: i for i, x in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    code = lambda p, i, s: rank[s] << RANK | (LONG - len(p)) << BACK | i << ID | (p in free)
+    return small_table(spark, [(p, code(p, i, s)) for p, i, s in rows if 1 < len(p) <= LONG] + [("", None)], RANKED)
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
     """Edges of each distinct word: ``word`` and an array of (start, end, id, score).
 
@@ -97,27 +110,28 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> Da
     first, to so many tasks that each holds its edges in memory, so grouping the edges by word moves none of them. The pieces, a vocabulary of
     fixed size, are broadcast. An empty edge keeps words in which no piece occurs.
     """
-    return _edges(words, pieces, longest, tasks).groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score", "free")).alias("edges"))
+    return _edges(words, pieces, longest, tasks, 1).groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score")).alias("edges"))
 
 
 def ranked_lattice(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
-    """The same edges as merging looks at them: ``word``, ``edges`` of several characters by (cost, start, -size, ...) and ``chars`` (start, id)."""
-    size = F.col("end") - F.col("start")
-    edge = F.struct((-F.col("score")).alias("cost"), "start", (-size).alias("back"), size.alias("size"), "id", "free")
-    char = F.struct("start", "id")
-    return _edges(words, pieces, longest, tasks).groupBy("word").agg(F.collect_list(F.when(size > 1, edge)).alias("edges"), F.collect_list(F.when(size == 1, char)).alias("chars"))
+    """The same edges as merging looks at them, each as one number: ``word`` and ``edges`` of several characters."""
+    edges = _edges(words, pieces, longest, tasks, 2).select("word", (F.col("code") + F.shiftleft(F.col("start").cast("long"), START)).alias("edge"))
+    return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
 
-def _edges(words: DataFrame, pieces: DataFrame, longest: int, tasks: int) -> DataFrame:
-    """One row per edge: the word, its places, and the piece's id, score and kind."""
-    n = F.length("word")
+def _edges(words: DataFrame, pieces: DataFrame, longest: int, tasks: int, least: int) -> DataFrame:
+    """One row per edge of ``least`` characters or more, and an empty one: the word, its places, and the piece's columns."""
+    n, size = F.length("word"), F.col("size")
     spread = (
         words.repartition(tasks, "word")
-        .select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-        .select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size"))
-        .select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.substring(F.col("word"), F.col("start") + 1, F.col("size")).alias("piece"))
+        .select("word", F.explode(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))).alias("start"))
+        .select("word", "start", F.explode(F.sequence(F.when(F.col("start") == 0, least - 1).otherwise(least), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+        .select("word", "start", (F.col("start") + size).alias("end"), F.coalesce(F.when(size >= least, F.substring(F.col("word"), F.col("start") + 1, size)), F.lit("")).alias("piece"))
+        .withColumn("key", F.xxhash64("piece"))
     )
-    return spread.join(F.broadcast(pieces), "piece")
+    # found by a number, which Spark looks up faster than a text, and then compared as a text
+    same = F.col("piece").startswith(F.col("other")) & F.col("other").startswith(F.col("piece"))
+    return spread.join(F.broadcast(pieces.withColumn("key", F.xxhash64("piece")).withColumnRenamed("piece", "other")), "key").filter(same)
 
 
 def _bytes(char: Column, base: int) -> Column:
@@ -149,38 +163,50 @@ def viterbi(base: int, lowest: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, place, lambda best: F.element_at(best, -1)["ids"])
 
 
-def one_pass(base: int) -> Column:
+def one_pass(base: int, rows: Rows) -> Column:
     """Ids of ``word`` by merging, for pieces that are ``in_order``: each edge of the lattice is tried once, by falling score, then from the left.
 
-    ``edges`` are those of :func:`ranked_lattice`. The state is a text with a mark for every place: 1 for a cut between parts, 0 inside a part. An edge fits if it runs
-    from cut to cut with one cut between, or any number if its piece is matched as it stands.
+    ``edges`` are those of :func:`ranked_lattice`. The state is a number with a bit for every place: 1 for a cut between parts, 0 inside a part. An edge fits if it runs
+    from cut to cut with one cut between, or any number if its piece is matched as it stands. Single characters need no edge: their ids are put in their places.
     """
-    word, one, zero = F.col("word"), F.lit("1"), F.lit("0")
-    blank = lambda n: F.substring(F.lit("0" * LONG), F.lit(1), n)
+    word = F.col("word")
+    two, low = F.lit(3).cast("long"), F.lit((1 << 32) - 1)
+    shifted = lambda value, n: F.call_function("shiftleft", value, n)
+    uncut = shifted(F.lit(2).cast("long"), F.length(word)) - 1
+
+    def bits(e: Column) -> Column:
+        """An edge by the bits of its ends and of its whole span, its start and id as one number, and its kind."""
+        field = lambda at: F.shiftright(e, at).bitwiseAND(F.lit(63)).cast("int")
+        top = F.call_function("shiftright", F.lit(1 << LONG), field(BACK))
+        part = F.shiftleft(field(START).cast("long"), 32) + F.shiftright(e, ID).bitwiseAND(F.lit(IDS - 1))
+        return F.struct(shifted(top + 1, field(START)).alias("ends"), shifted(top + top - 1, field(START)).alias("span"), part.alias("part"), (e.bitwiseAND(F.lit(1)) == 1).alias("free"))
 
     def merge(marks: Column, e: Column) -> Column:
-        own = F.substring(marks, e["start"] + 1, e["size"] + 1)
-        fits = F.startswith(own, one) & F.endswith(own, one) & (e["free"] | (F.replace(own, zero, F.lit("")) == "111"))
-        joined = F.concat(F.substring(marks, F.lit(1), e["start"] + 1), blank(e["size"] - 1), F.substring(marks, e["start"] + e["size"] + 1, F.lit(LONG + 1)))
-        return F.when(fits, joined).otherwise(marks)
-
-    def parts_of(marks: Column) -> Column:
-        # a part is marked by a cut, as many blanks as it has further characters, and a cut
-        wide = F.filter("edges", lambda e: F.substring(marks, e["start"] + 1, e["size"] + 1) == F.concat(one, blank(e["size"] - 1), one))
-        single = F.filter("chars", lambda c: F.substring(marks, c["start"] + 1, F.lit(2)) == "11")
-        found = F.concat(F.transform(wide, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))), single)
-        covered = F.size(single) + F.aggregate(wide, F.lit(0), lambda n, e: n + e["size"])
-        whole = F.transform(F.array_sort(found), lambda e: e["id"])
-        return F.when(covered == F.length(word), whole).otherwise(let(found, lambda f: filled(f, marks)))
-
-    def filled(found: Column, marks: Column) -> Column:
-        """The ids in order with bytes for each part, one character then, for which no piece stands."""
-        alone = F.filter(F.sequence(F.lit(0), F.length(word) - 1), lambda i: (F.substring(marks, i + 1, F.lit(2)) == "11") & ~F.exists(found, lambda e: e["start"] == i))
-        raw = F.transform(alone, lambda i: F.struct(i.alias("start"), _bytes(F.substring(word, i + 1, F.lit(1)), base).alias("ids")))
-        known = F.transform(found, lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids")))
-        return F.flatten(F.transform(F.array_sort(F.concat(known, raw)), lambda e: e["ids"]))
-
-    return let(F.aggregate(F.array_sort("edges"), F.repeat(one, F.length(word) + 1), merge), parts_of)
+        fits = (marks.bitwiseAND(e["ends"]) == e["ends"]) & ((F.bit_count(marks.bitwiseAND(e["span"])) == 3) | e["free"])
+        return F.when(fits, marks.bitwiseAND(F.bitwise_not(e["span"] - e["ends"]))).otherwise(marks)
+
+    single = {p: i for p, i, _ in rows if len(p) == 1}
+    named = F.translate(word, "".join(single), "".join(chr(PRIVATE + i) for i in single.values()))
+
+    def parts_of(edges: Column, marks: Column) -> Column:
+        # a part is a cut, as many blanks as it has further characters, and a cut
+        wide = F.transform(F.filter(edges, lambda e: marks.bitwiseAND(e["span"]) == e["ends"]), lambda e: e["part"])
+        places = F.filter(F.sequence(F.lit(0), F.length(word) - 1), lambda i: F.call_function("shiftright", marks, i).bitwiseAND(two) == two)
+        char = lambda text, i: F.ascii(F.substring(text, i + 1, F.lit(1)))
+        number = lambda text, i: F.when(char(text, i) >= PRIVATE, char(text, i) - PRIVATE).otherwise(UNKNOWN)
+        found = lambda text: F.transform(places, lambda i: F.shiftleft(i.cast("long"), 32) + number(text, i))
+        alone = marks.bitwiseAND(F.shiftright(marks, 1)) != 0
+        return let(F.when(alone, F.sort_array(F.concat(wide, let(named, found)))).otherwise(F.sort_array(wide)), filled)
+
+    def filled(found: Column) -> Column:
+        """The ids in order, with bytes for each character that no piece stands for."""
+        number = lambda f: f.bitwiseAND(low).cast("int")
+        raw = lambda f: _bytes(F.substring(word, F.shiftright(f, 32).cast("int") + 1, F.lit(1)), base)
+        mixed = F.flatten(F.transform(found, lambda f: F.when(number(f) == UNKNOWN, raw(f)).otherwise(F.array(number(f)))))
+        return F.when(F.exists(found, lambda f: number(f) == UNKNOWN), mixed).otherwise(F.transform(found, number))
+
+    tried = F.transform(F.sort_array("edges"), bits)
+    return let(tried, lambda edges: let(F.aggregate(edges, uncut, merge), lambda marks: parts_of(edges, marks)))
 
 
 def merges(base: int) -> Column:
@@ -262,11 +288,17 @@ def encode_words(words: DataFrame, rows: Rows, base: int, kind: str) -> DataFram
     ids are not those of a best path, so its edges are folded by rank.
     """
     longest, lowest = max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
-    pieces = piece_table(words.sparkSession, rows + (("", -1, 0.0),))
-    ranked = kind != "unigram" and in_order(rows)
-    fold = one_pass(base) if ranked else viterbi(base, lowest) if kind == "unigram" else merges(base)
+    spark = words.sparkSession
+    ranked = kind != "unigram" and max(i for _, i, _ in rows) < IDS and in_order(rows)
+    fold = one_pass(base, rows) if ranked else viterbi(base, lowest) if kind == "unigram" else merges(base)
     tasks = parts(words.count(), WORDS)
-    short = (ranked_lattice if ranked else lattice)(words.filter(F.length("word") <= LONG).select("word"), pieces, longest, tasks).select("word", fold.alias("ids"))
+    fits = (F.length("word") <= LONG) & ~F.col("word").rlike(rf"[\x{{{PRIVATE:x}}}-\x{{10ffff}}]")
+    inside = words.filter(fits).select("word")
+    if ranked:
+        short = ranked_lattice(inside, ranked_table(spark, rows), longest, tasks)
+    else:
+        short = lattice(inside, piece_table(spark, rows + (("", -1, 0.0),)), longest, tasks)
+    short = short.select("word", fold.alias("ids"))
 
     @F.pandas_udf("array<int>")
     def outside(batch: pd.Series) -> pd.Series:
@@ -274,15 +306,36 @@ def encode_words(words: DataFrame, rows: Rows, base: int, kind: str) -> DataFram
         one = (lambda w: viterbi_word(w, table, base, longest, lowest)) if kind == "unigram" else (lambda w: merge_word(w, table, base))
         return batch.map(one)
 
-    return short.unionByName(words.filter(F.length("word") > LONG).select("word", outside("word").alias("ids")))
+    return short.unionByName(words.filter(~fits).select("word", outside("word").alias("ids")))
 
 
-def words_of(text: str) -> list[str]:
+@functools.cache
+def unit_pattern(rows: Rows) -> re.Pattern:
+    """What is encoded by itself: spaces with the letters, or the other characters, that follow them; a line end.
+
+    No piece may hold a letter beside another character, spaces before it apart, so that a word's ids are those of its units. A letter
+    that some piece joins to other characters counts as one of those; if there are many of them, words are not cut at all.
+    """
+    joined = ""
+    while len(joined) < 100:
+        letter, other = rf"[^\W\d_{joined}]", rf"(?:[\d_{joined}]|[^\w{SPACE}\n])"
+        unit = re.compile(f"{SPACE}*(?:{letter}+|{other}+)|{SPACE}+|\n")
+        cut = [found for p, _, _ in rows if len(p) > 1 and len(found := unit.findall(p)) > 1 and SPACE not in p[1:].lstrip(SPACE)]
+        more = {c for found in cut for c in "".join(found) if re.match(letter, c)}
+        if not cut:
+            return unit
+        if not more:
+            break
+        joined += "".join(sorted(more))
+    return WORD
+
+
+def words_of(text: str, unit: re.Pattern = WORD) -> list[str]:
     """Words of a text: each begins where spaces begin, line ends stand alone. A space is put before the text.
 
-    No piece holds a space after another character, or a line end, so words are encoded one by one.
+    No piece holds a space after another character, or a line end, so words are encoded one by one, and so are the units they are cut into.
     """
-    return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def _bucket(word: str, buckets: int) -> int:
@@ -319,6 +372,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     spark = docs.sparkSession
     base, rows = byte_base(model), piece_rows(model)
+    unit = unit_pattern(rows)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = narrow.agg(F.sum(F.length("text"))).first()[0]
     chunks, buckets = parts(size, CHUNK_CHARS), parts(size, BUCKET_CHARS)
@@ -327,7 +381,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         coder, known = zstandard.ZstdDecompressor(), set()
         for packed in table["packed"].to_pylist():
-            known.update(words_of(_unpack(coder, packed)))
+            known.update(words_of(_unpack(coder, packed), unit))
         known.discard("\n")
         lists: list[list[str]] = [[] for _ in range(buckets)]
         for word in sorted(known):
@@ -368,7 +422,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         found, lengths = [], []
         for packed in texts["packed"].to_pylist():
-            words = np.fromiter(map(at.__getitem__, words_of(_unpack(coder, packed))), np.int64)
+            words = np.fromiter(map(at.__getitem__, words_of(_unpack(coder, packed), unit)), np.int64)
             some, _ = _gather(offsets, values, words)
             found.append(some)
             lengths.append(len(some))
@@ -377,10 +431,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         return pa.table({"doc_id": texts["doc_id"], "ids": pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)))})
 
     requests = materialize(chunked.groupBy("chunk").applyInArrow(ask, REQUEST), "requests")
-    known = requests.groupBy("bucket").applyInArrow(union, "word string")
-    encoded = materialize(encode_words(materialize(known, "words"), rows, base, kind), "encoded")
+    known = materialize(requests.groupBy("bucket").applyInArrow(union, "word string"), "words")
+    # a task groups the edges of its words as they come, without sorting them
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * WORDS)):
+        encoded = materialize(encode_words(known, rows, base, kind), "encoded")
+    discard(known)
     answers = requests.groupBy("bucket").cogroup(encoded.withColumn("bucket", _bucket_of("word", buckets)).groupBy("bucket")).applyInArrow(answer, ANSWER)
     answers = materialize(answers, "answers")
+    discard(requests, encoded)
     out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, ENCODED)
     return out.withColumnRenamed("doc_id", id_col)
 

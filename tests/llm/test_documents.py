@@ -337,3 +337,31 @@ def test_many_small_chunks_and_buckets_of_words(spark, docs, monkeypatch):
     monkeypatch.setattr(pieces, "CHUNK_CHARS", 3000)
     monkeypatch.setattr(pieces, "BUCKET_CHARS", 2000)
     assert {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect()} == whole
+
+
+def test_units_of_words(spark):
+    rows = pieces.piece_rows()
+    unit = pieces.unit_pattern(rows)
+    assert all(unit.findall(p) == [p] for p, _, _ in rows if len(p) > 1)
+    assert pieces.words_of("Say. x_{². ab1\n", unit) == ["▁Say", ".", "▁x", "_{².", "▁ab", "1", "\n"]
+    assert pieces.unit_pattern((("a.", 0, -1.0),)).findall("▁a.b") == ["▁a.", "b"]
+    table, base = {p: (i, s) for p, i, s in rows}, pieces.byte_base()
+    for text in ("Say.&&& (x_{²..)  ab1c—d", "ÑCIES-- '\"é́!!"):
+        whole = [i for w in pieces.words_of(text) for i in pieces.merge_word(w, table, base)]
+        assert [i for w in pieces.words_of(text, unit) for i in pieces.merge_word(w, table, base)] == whole
+    words = ["\U000f0005x", "\U00100001", "😀the", "\U000f0005" + "a" * 70]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r.word: r.ids for r in pieces.encode_words(frame, rows, base, "bpe").collect()} == {w: pieces.merge_word(w, table, base) for w in words}
+
+
+def test_encoding_leaves_one_stage_in_the_scratch_folder(spark, docs, monkeypatch):
+    import os
+
+    from tallybook.llm import common
+
+    written = []
+    monkeypatch.setattr(common, "scratch_path", lambda spark, name, path=common.scratch_path: written.append(path(spark, name)) or written[-1])
+    assert pieces.encode(docs).count() == docs.count()
+    assert [os.path.basename(p).split("-")[0] for p in written if os.path.exists(p)] == ["answers"]
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    assert spark.conf.get(name) == "128"
