@@ -39,7 +39,7 @@ PRIVATE = 0xF0000
 UNKNOWN = IDS  # a single character without a piece
 Rows = tuple[tuple[str, int, float], ...]
 REQUEST = "chunk int, bucket int, words binary"
-ANSWER = "chunk int, words binary, ids binary, counts binary"
+ANSWER = "chunk int, bucket int, ids binary, counts binary"
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -342,6 +342,16 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
 
+def _in_buckets(words: list[str], buckets: int) -> tuple[list[bytes], list[np.ndarray], list[int]]:
+    """Words as bytes, the sorted places of those of each bucket that holds some, and these buckets."""
+    texts = [w.encode("utf-8", "surrogatepass") for w in words]
+    bucket = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)) % buckets
+    ranked = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
+    order = ranked[np.argsort(bucket[ranked], kind="stable")]
+    at, starts = np.unique(bucket[order], return_index=True)
+    return texts, np.split(order, starts[1:]) if len(at) else [], at.tolist()
+
+
 def _bucket_of(word: str, buckets: int) -> Column:
     """The same number as a column, so that no second worker of Python runs beside that of the buckets."""
     return F.pmod(F.crc32(F.col(word).cast("binary")), F.lit(buckets)).cast("int")
@@ -366,7 +376,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Chunks of documents ask for the words they hold; words are gathered in buckets, each distinct word is
     encoded once through the lattice, and the answers go back to the chunks, which put the ids of their
-    texts together. Texts move in packed form, words as sorted packed lists.
+    texts together. Texts move in packed form, words as sorted packed lists, and answers without the words, whose order the chunk knows.
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored.
     """
@@ -383,11 +393,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for packed in table["packed"].to_pylist():
             known.update(words_of(_unpack(coder, packed), unit))
         known.discard("\n")
-        lists: list[list[str]] = [[] for _ in range(buckets)]
-        for word in sorted(known):
-            lists[_bucket(word, buckets)].append(word)
-        pack = zstandard.ZstdCompressor(level=3)
-        out = [(key[0].as_py(), b, pack.compress("\n".join(some).encode("utf-8", "surrogatepass"))) for b, some in enumerate(lists) if some]
+        pack, out = zstandard.ZstdCompressor(level=3), []
+        texts, order, at = _in_buckets(list(known), buckets)
+        for b, some in zip(at, order):
+            out.append((key[0].as_py(), b, pack.compress(b"\n".join(map(texts.__getitem__, some.tolist())))))
         return pa.table({"chunk": pa.array([r[0] for r in out], pa.int32()), "bucket": pa.array([r[1] for r in out], pa.int32()), "words": pa.array([r[2] for r in out], pa.binary())})
 
     def union(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -402,30 +411,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         lists = encoded["ids"].combine_chunks()
         offsets, values = _flat(lists)
         out = []
-        for chunk, packed in zip(asked["chunk"].to_pylist(), asked["words"].to_pylist()):
+        for chunk, bucket, packed in zip(*(asked[c].to_pylist() for c in ("chunk", "bucket", "words"))):
             found = np.fromiter(map(at.__getitem__, _lines(coder, packed)), np.int64)
             ids, counts = _gather(offsets, values, found)
-            out.append((chunk, packed, pack.compress(ids.astype("<i4").tobytes()), pack.compress(counts.astype("<i4").tobytes())))
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("words", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())))})
+            out.append((chunk, bucket, pack.compress(ids.astype("<i4").tobytes()), pack.compress(counts.astype("<i4").tobytes())))
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())))})
 
     def assemble(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
         coder = zstandard.ZstdDecompressor()
-        at: dict[str, int] = {}
+        at = {"\n": 0}
+        places = [np.fromiter((at.setdefault(w, len(at)) for w in words_of(_unpack(coder, packed), unit)), np.int32) for packed in texts["packed"].to_pylist()]
+        # the answers hold the words in the order in which this chunk asked for them
+        _, order, _ = _in_buckets(list(at)[1:], buckets)
+        asked = np.concatenate([np.zeros(1, np.int64), *(some + 1 for some in order)])
+        row = np.empty(len(at), np.int64)
+        row[asked] = np.arange(len(at))
+        del at
         ids, counts = [np.array([10 + base], np.int32)], [np.array([1], np.int32)]
-        at["\n"] = 0
-        for words, some, sizes in zip(*(answers[c].to_pylist() for c in ("words", "ids", "counts"))):
-            lines = _lines(coder, words)
-            at.update(zip(lines, range(len(at), len(at) + len(lines))))
+        for _, some, sizes in sorted(zip(*(answers[c].to_pylist() for c in ("bucket", "ids", "counts")))):
             ids.append(np.frombuffer(coder.decompress(some), "<i4"))
             counts.append(np.frombuffer(coder.decompress(sizes), "<i4"))
         values, sizes = np.concatenate(ids), np.concatenate(counts)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        found, lengths = [], []
-        for packed in texts["packed"].to_pylist():
-            words = np.fromiter(map(at.__getitem__, words_of(_unpack(coder, packed), unit)), np.int64)
-            some, _ = _gather(offsets, values, words)
-            found.append(some)
-            lengths.append(len(some))
+        found = [_gather(offsets, values, row[words])[0] for words in places]
+        lengths = [len(some) for some in found]
         flat = np.concatenate(found) if found else np.empty(0, np.int32)
         bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
         return pa.table({"doc_id": texts["doc_id"], "ids": pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)))})

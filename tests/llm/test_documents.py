@@ -365,3 +365,14 @@ def test_encoding_leaves_one_stage_in_the_scratch_folder(spark, docs, monkeypatc
     assert [os.path.basename(p).split("-")[0] for p in written if os.path.exists(p)] == ["answers"]
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     assert spark.conf.get(name) == "128"
+
+
+def test_words_keep_their_order_in_buckets():
+    words = ["▁the", "é", "a", "日本", "😀", "▁", "b.", "the"]
+    texts, order, at = pieces._in_buckets(words, 3)
+    assert at == sorted({pieces._bucket(w, 3) for w in words})
+    assert [[words[i] for i in some] for some in order] == [sorted((w for w in words if pieces._bucket(w, 3) == b), key=str.encode) for b in at]
+    again, shuffled, _ = pieces._in_buckets(words[::-1], 3)
+    assert [[again[i] for i in some] for some in shuffled] == [[texts[i] for i in some] for some in order]
+    assert pieces._in_buckets([], 3) == ([], [], [])
+    assert "words" not in pieces.ANSWER
