@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -371,8 +373,8 @@ def _lines(coder: zstandard.ZstdDecompressor, packed: bytes) -> list[str]:
     return _unpack(coder, packed).split("\n")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "bpe") -> DataFrame:
-    """Piece ids of every text: the id column and ``ids``.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "bpe", digest: bool = False) -> DataFrame:
+    """Piece ids of every text: the id column and ``ids``, with ``digest`` also ``decoded_sha256`` of the text decoded from them.
 
     Chunks of documents ask for the words they hold; words are gathered in buckets, each distinct word is
     encoded once through the lattice, and the answers go back to the chunks, which put the ids of their
@@ -437,7 +439,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         lengths = [len(some) for some in found]
         flat = np.concatenate(found) if found else np.empty(0, np.int32)
         bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
-        return pa.table({"doc_id": texts["doc_id"], "ids": pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)))})
+        out = {"doc_id": texts["doc_id"], "ids": pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)))}
+        if digest:
+            text = _text_of(rows, base)
+            out["decoded_sha256"] = pa.array([hashlib.sha256(text(some).encode()).hexdigest() for some in found], pa.string())
+        return pa.table(out)
 
     requests = materialize(chunked.groupBy("chunk").applyInArrow(ask, REQUEST), "requests")
     known = materialize(requests.groupBy("bucket").applyInArrow(union, "word string"), "words")
@@ -448,7 +454,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     answers = requests.groupBy("bucket").cogroup(encoded.withColumn("bucket", _bucket_of("word", buckets)).groupBy("bucket")).applyInArrow(answer, ANSWER)
     answers = materialize(answers, "answers")
     discard(requests, encoded)
-    out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, ENCODED)
+    out = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, T.StructType([*ENCODED.fields, T.StructField("decoded_sha256", T.StringType())]) if digest else ENCODED)
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -464,20 +470,25 @@ def _gather(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[
     return values[np.repeat(offsets[rows] - ends + counts, counts) + np.arange(total)], counts
 
 
+def _text_of(rows: Rows, base: int) -> Callable[[np.ndarray], str]:
+    """The text of an array of ids."""
+    table = {i: p.replace(SPACE, " ").encode() for p, i, _ in rows} | {base + b: bytes([b]) for b in range(256)}
+    return lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+
+
 def decoder(model: str = MODEL):
     """A column function from ids to text: pieces joined, byte pieces as bytes, the space put before the text taken off."""
 
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
-        base = byte_base(model)
-        table = {i: p.replace(SPACE, " ").encode() for p, i, _ in piece_rows(model)} | {base + b: bytes([b]) for b in range(256)}
-        join = lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return batch.map(lambda ids: None if ids is None else join(ids).removeprefix(" "))
+        text = _text_of(piece_rows(model), byte_base(model))
+        return batch.map(lambda ids: None if ids is None else text(ids))
 
     return decode
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Ids of every text with their number and the digest of the text decoded from them: id, ``n_tokens``, ``ids``, ``decoded_sha256``."""
-    encoded = encode(docs, id_col, text_col, model)
-    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(decoder(model)("ids").cast("binary"), 256).alias("decoded_sha256"))
+    # decoded where they are put together: a step of its own would hold a second worker of Python for each task
+    encoded = encode(docs, id_col, text_col, model, digest=True)
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")

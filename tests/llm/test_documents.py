@@ -376,3 +376,11 @@ def test_words_keep_their_order_in_buckets():
     assert [[again[i] for i in some] for some in shuffled] == [[texts[i] for i in some] for some in order]
     assert pieces._in_buckets([], 3) == ([], [], [])
     assert "words" not in pieces.ANSWER
+
+
+def test_encoding_and_decoding_share_a_worker(spark, docs):
+    got = pieces.encode_documents(docs)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    decode = pieces.decoder()
+    rows = got.select("decoded_sha256", decode("ids").alias("text")).collect()
+    assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
