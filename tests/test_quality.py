@@ -197,3 +197,56 @@ def test_ledger_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     from tallybook.catalog import inputs
 
     assert "Broadcast" not in inputs.raw_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_moved_once_after_they_are_collapsed(spark, monkeypatch):
+    """Copy groups and counter groups are found in one arrangement; groups too large for a task in ranges, with the same rows."""
+    led = ledger_with_copies(spark, 4, 400)
+    exchanges = {}
+    for limit in (Q.ROWS_IN_GROUP, 1):
+        monkeypatch.setattr(Q, "ROWS_IN_GROUP", limit)
+        for counter_by in ("all", "subset"):
+            done = Q.dedup_suffix(led, counter_by=counter_by)
+            plan = done._jdf.queryExecution().optimizedPlan().toString()
+            exchanges[counter_by, limit] = (sorted(map(str, done.collect())), plan)
+    for counter_by in ("all", "subset"):
+        (few, plan), (ranged, _) = exchanges[counter_by, 1_000_000], exchanges[counter_by, 1]
+        assert few == ranged and len(few) == 400
+        assert "Join Inner" not in plan
+        executed = Q._count_in_groups(*_counted(led, counter_by))[1]._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("Exchange ") == 1 and "rangepartitioning(txn_date" in executed
+
+
+def _counted(led, counter_by):
+    counter = [c for c in led.columns if c != "description"] if counter_by == "all" else list(COPY_KEY)
+    order = [c for c in ("source_file", "booking_date", "description") if c not in counter]
+    order += [c for c in led.columns if c not in counter and c not in order]
+    return Q.collapse_copies(led).localCheckpoint(), COPY_KEY, counter, order, [c for c in COPY_KEY if c in counter]
+
+
+def test_rows_without_a_copy_are_not_counted(raw, spark, monkeypatch):
+    """A row that only shares its mark with a copy keeps its text and takes no number."""
+    monkeypatch.setattr(Q, "MARK_BITS", 1 << 10)
+    led = raw([("2001-01-01", f"t{i:04d}", i % 3) for i in range(3000)] + [("2001-01-01", "t2999", 2999 % 3)])
+    done = Q.dedup_suffix(led, key=["txn_date", "description", "amount", "owner"])
+    assert sorted(r[0] for r in rows_of(done, "description") if "_" in r[0]) == ["t2999_1", "t2999_2"] and done.count() == 3001
+
+
+def test_what_was_staged_can_go(spark):
+    from tallybook.session import discard, staged
+
+    stored = staged(spark.range(3), "gone")
+    assert stored.count() == 3
+    discard(stored)
+    assert not spark._jvm.java.io.File(stored.scratch).exists()
+
+
+def test_the_stored_ledger_joins_its_tables_once(spark, monkeypatch):
+    from tallybook.catalog import inputs
+
+    made, joined = [], inputs.raw_ledger
+    monkeypatch.setattr(inputs, "staged", lambda frame, name: made.append(inputs_staged(frame, name)) or made[-1])
+    inputs_staged = __import__("tallybook.session", fromlist=["staged"]).staged
+    monkeypatch.setattr(inputs, "_stored", {})
+    assert inputs.stored_ledger(spark, "/root/testdata/sf0.001").count() == joined(spark, "/root/testdata/sf0.001").count()
+    assert len(made) == 2 and not any(spark._jvm.java.io.File(m.scratch).exists() for m in made)
