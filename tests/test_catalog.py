@@ -34,3 +34,18 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry_returns_rows(spark):
     assert entry(spark).count() > 0
+
+
+def test_the_load_keeps_no_joined_tables_and_equals_its_sql(spark, monkeypatch):
+    """The joined tables leave the disk once the tagged rows are staged; what is returned does not read them."""
+    from tallybook.catalog import queries as catalog
+
+    made, stage = [], catalog.staged
+    monkeypatch.setattr(catalog, "staged", lambda frame, name: made.append(stage(frame, name)) or made[-1])
+    loaded = REGISTRY["load_ledger"](spark, SF)
+    assert len(made) == 1 and not spark._jvm.java.io.File(made[0].scratch).exists()
+    db = duckdb.connect()
+    for file in os.listdir(SF):
+        db.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
+    want = db.execute(f"SELECT description, std_description, source_file, amount FROM ({ORACLES['load_ledger']})").fetchall()
+    assert sorted(map(tuple, loaded.select("description", "std_description", "source_file", "amount").collect())) == sorted(want)
