@@ -137,3 +137,30 @@ def test_a_failed_batch_leaves_the_store_as_it_was(spark, raw, rules, tmp_path):
     with pytest.raises(Exception, match="broken"):
         G.write_batch(raw([("2001-01-03", "c", 2)]).withColumn("amount", F.raise_error(F.lit("broken")).cast("double")), 1, rules([]), target)
     assert rows_of(G.ledger_so_far(spark, target), "description") == [("b",)]
+
+
+def test_repeats_are_found_in_one_move_and_by_joins_alike(spark, raw, rules, tmp_path, monkeypatch):
+    """Equal rows of one file and of others, with and without history: the same whether groups fit into a task or not."""
+    from tallybook.operators import quality as Q
+    from tallybook.operators.rules import tag_ledger
+
+    table = rules([("PANE", "spesa", ["pane"])])
+    batch = tag_ledger(raw([("2001-01-0" + str(1 + i % 3), "pane", i % 4, f"f{i % 5}") for i in range(60)] + [("2001-01-01", "pane", 7, "f9")] * 20), table)
+    history = tag_ledger(raw([("2001-01-01", "pane", 0), ("2001-01-01", "pane", 0), ("2001-02-01", "x", 1)]), table)
+    moved = {}
+    for limit in (Q.ROWS_IN_GROUP, 1):
+        monkeypatch.setattr(Q, "ROWS_IN_GROUP", limit)
+        moved[limit] = sorted(rows_of(G.mark_repeats(batch, history), "txn_date", "amount", "source_file", "status"))
+    assert moved[1] == moved[1_000_000] and len(moved[1]) == 80
+    assert {r[3] for r in moved[1] if r[:2] == (d("2001-01-01"), 0.0)} == {"repeat"} and sum(r[1] == 7.0 and r[3] == "new" for r in moved[1]) == 20
+    new = {(r[0], r[1], r[2]) for r in moved[1] if r[3] == "new"}
+    assert len({(day, amount) for day, amount, _ in new}) == len(new)
+
+
+def test_a_batch_is_stored_from_where_it_is(spark, raw, rules, tmp_path, monkeypatch):
+    """Rows are gathered by month once, when the batch is staged; the store does not move them again."""
+    seen, write = [], G.Batches._write
+    monkeypatch.setattr(G.Batches, "_write", lambda self, rows, gathered=False: seen.append((gathered, rows._jdf.queryExecution().optimizedPlan().toString())) or write(self, rows, gathered))
+    G.write_batch(raw([(f"2001-0{1 + i % 9}-05", f"t{i}", i) for i in range(90)]), 0, rules([]), str(tmp_path / "ledger"))
+    assert len(seen) == 1 and seen[0][0] and "RebalancePartitions" not in seen[0][1]
+    assert G.ledger_so_far(spark, str(tmp_path / "ledger")).count() == 90
